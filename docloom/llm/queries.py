@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, packing, pii, rules, simhash
+from . import bpe, classifier, main_text, neighbours, packing, pii, rules, simhash, token_counts, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, classifier.fit(docs, _read(spark, sf_dir, "labels")))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_read(spark, sf_dir, "documents"))
 
@@ -30,15 +34,55 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_read(spark, sf_dir, "documents"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_texts(_read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op3_pii, op4_packing, op5_quality_rules, op7_bpe_round_trip, op9_simhash)
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_token_counts,
+        op3_pii,
+        op4_packing,
+        op5_quality_rules,
+        op6_neighbours,
+        op7_bpe_round_trip,
+        op8_warc,
+        op9_simhash,
+        op10_main_text,
+    )
+}
+
+#: A SHA-1's 40 hex digits, five at a time, as four digits of base 32.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha, {5 * k + 1}, 5))::BIGINT >> {15 - 5 * j}) & 31)::INT, 1)"
+    for k in range(8)
+    for j in range(4)
+)
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc": f"""
+        WITH payloads AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+        kept AS (SELECT *, max(page_id) OVER (PARTITION BY sha) AS last FROM payloads)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+               CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < last THEN last END AS refers_to
+        FROM kept""",
 }
-ORACLE_SQL: dict[str, str] = {}
