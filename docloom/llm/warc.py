@@ -34,6 +34,7 @@ RECORDS_PER_FILE = 2000
 #: Fixed values of the format.
 VERSION, TERMINATOR = "WARC/1.1", "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+ONCE = frozenset(("warc-type", "warc-record-id", "warc-date", "content-length", "warc-payload-digest"))
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 
 
@@ -114,8 +115,18 @@ def _plain(data: bytes, at: int) -> Record | None:
     head_end = data.find(b"\r\n\r\n", at, at + (1 << 16))
     if head_end < 0:
         return None
-    lines = data[at:head_end].decode("utf-8", "replace").split("\r\n")[1:]
-    headers = {k.strip().lower(): v.strip() for k, colon, v in (x.partition(":") for x in lines) if colon}
+    first, *lines = data[at:head_end].decode("utf-8", "replace").split("\r\n")
+    if first not in ("WARC/1.0", "WARC/1.1"):
+        return None
+    headers: dict[str, str] = {}
+    for line in lines:
+        key, colon, value = line.partition(":")
+        if line[:1] in " \t":  # a folded line
+            continue
+        key = key.strip().lower()
+        if not colon or key in ONCE and key in headers:  # another record's head has run into this one
+            return None
+        headers[key] = value.strip()
     size = _number(headers.get("content-length"))
     start = head_end + 4
     if size is None or data[start + size : start + size + 4] != b"\r\n\r\n":
