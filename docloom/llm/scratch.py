@@ -1,49 +1,5 @@
 """Intermediate tables in the folder that the whole cluster shares."""
 
-from __future__ import annotations
+from ..storage import path, table
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not place:
-        place = tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
-def path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends."""
-    if not _written:
-        atexit.register(_clear)
-    where = f"{folder(spark)}/docloom/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, where))
-    return where
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows and reads them again, which cuts the plan: a lost executor costs no more than a read."""
-    spark = df.sparkSession
-    df.write.parquet(where := path(spark, name))
-    return spark.read.schema(df.schema).parquet(where)
-
-
-def _delete(spark: SparkSession, where: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(where)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def _clear() -> None:
-    for spark, where in _written:
-        try:
-            _delete(spark, where)
-        except Exception:  # the session may have ended before the driver does
-            return
+__all__ = ["path", "table"]
