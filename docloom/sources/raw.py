@@ -64,3 +64,55 @@ def graph(files: DataFrame) -> Graph:
     edges = own.select("doc_id", F.col("id").alias("src"), F.posexplode(refs).alias("ord", "r"))
     number = lambda i: F.get(F.split("r", " "), i).try_cast("long")
     return Graph(nodes, edges.select("doc_id", "src", (number(0) * 65536 + number(1)).alias("dst"), F.lit(REFERENCE).alias("edge_type"), F.col("ord")).where("dst is not null"))
+
+
+def xref_entries(files: DataFrame) -> DataFrame:
+    """(doc_id, section, num, gen, kind, offset) of the rows of classic cross-reference tables, sections in file order."""
+    row = "[0-9]{10} [0-9]{5} [nf]"
+    part = f"(?:[0-9]+ [0-9]+\\s+(?:{row}\\s*)*)"
+    text = files.select(F.col("path").alias("doc_id"), latin(F.col("content")).alias("text"))
+    sections = text.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"\\bxref\\s+({part}+)"), F.lit(1))).alias("section", "body"))
+    runs = sections.select("doc_id", "section", F.explode(F.regexp_extract_all("body", F.lit(part), F.lit(0))).alias("run"))
+    first = F.regexp_extract("run", "^([0-9]+)", 1).try_cast("long")
+    rows = runs.select("doc_id", "section", first.alias("first"), F.posexplode(F.regexp_extract_all("run", F.lit(row), F.lit(0))).alias("i", "row"))
+    return rows.select(
+        "doc_id", "section", (F.col("first") + F.col("i")).alias("num"), F.substring("row", 12, 5).try_cast("int").alias("gen"),
+        F.when(F.substring("row", 18, 1) == "n", "InUse").otherwise("Free").alias("kind"), F.substring("row", 1, 10).try_cast("long").alias("offset"),
+    )
+
+
+def merged_xref(entries: DataFrame) -> DataFrame:
+    """The entry of each object in the latest section that names it."""
+    last = entries.groupBy("doc_id", "num").agg(F.max_by(F.struct("gen", "kind", "offset"), "section").alias("e"))
+    return last.select("doc_id", "num", "e.*")
+
+
+def trailers(files: DataFrame) -> DataFrame:
+    """(doc_id, section, root, size, prev, n_ids, encrypted) of each trailer, in file order."""
+    text = files.select(F.col("path").alias("doc_id"), latin(F.col("content")).alias("text"))
+    each = text.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s)\\btrailer\\s*<<(.*?)>>\\s*startxref"), F.lit(1))).alias("section", "t"))
+    number = lambda key, more="": F.regexp_extract("t", f"/{key}\\s+([0-9]+){more}", 1).try_cast("long")
+    ids = F.regexp_extract("t", "/ID\\s*\\[([^\\]]*)\\]", 1)
+    return each.select("doc_id", "section", number("Root", "\\s+[0-9]+\\s+R").alias("root"), number("Size").alias("size"), number("Prev").alias("prev"), F.regexp_count(ids, F.lit("<[0-9A-Fa-f]*>|\\([^)]*\\)")).alias("n_ids"), F.col("t").contains("/Encrypt").alias("encrypted"))
+
+
+def revisions(entries: DataFrame) -> DataFrame:
+    """(doc_id, section, num, change) of each section against all before it: added, modified or deleted."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("doc_id", "num").orderBy("section")
+    before = F.lag(F.struct("kind", "offset", "gen")).over(w)
+    own = entries.withColumn("before", before)
+    change = F.when(F.col("kind") == "Free", F.when(F.col("before.kind") == "InUse", "deleted")).when(F.col("before").isNull() | (F.col("before.kind") == "Free"), "added").when((F.col("before.offset") != F.col("offset")) | (F.col("before.gen") != F.col("gen")), "modified")
+    return own.withColumn("change", change).where("change is not null").select("doc_id", "section", "num", "change")
+
+
+def offset_findings(files: DataFrame) -> DataFrame:
+    """(doc_id, code) of files whose table points past their end, or has fewer entries than the trailer says."""
+    entries = merged_xref(xref_entries(files))
+    size = files.select(F.col("path").alias("doc_id"), "length")
+    stated = trailers(files).groupBy("doc_id").agg(F.max_by("size", "section").alias("stated"))
+    by = entries.groupBy("doc_id").agg(F.max(F.when(F.col("kind") == "InUse", F.col("offset"))).alias("furthest"), F.count("*").alias("n"))
+    rows = by.join(size, "doc_id").join(stated, "doc_id", "left")
+    hits = F.array(F.when(F.col("furthest") >= F.col("length"), F.lit("XREF_PAST_END")), F.when(F.col("n") < F.col("stated"), F.lit("TRAILER_SIZE")))
+    return rows.select("doc_id", F.explode(F.array_compact(hits)).alias("code"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as tx
 from docloom.functions import values as vl
 from docloom.graph import CHILD, REFERENCE, Graph
-from docloom.operators import joins, rules, security, selectors, sets, transforms, traversal, validation, windows
+from docloom.operators import content, joins, profiles, rules, security, selectors, sets, transforms, traversal, validation, windows
 from docloom.sources import graphs, raw
 
 NODES = "doc_id string, id long, node_type string, props map<string,string>, value double, errors array<string>"
@@ -155,3 +155,82 @@ def test_order_sensitive(spark):
     pairs = spark.createDataFrame([(1, "a\nb\nb", "b\nc"), (2, None, "x")], "pair_id int, old_text string, new_text string")
     got = sorted(map(tuple, sets.line_changes(pairs).collect()))
     assert got == [(1, "Delete", "a", 1), (1, "Delete", "b", 1), (1, "Insert", "c", 1), (2, "Delete", "", 1), (2, "Insert", "x", 1)]
+
+
+PDF = b"""%PDF-1.4
+1 0 obj
+<< /Type /Catalog /Pages 2 0 R /Lang (en) >>
+endobj
+2 0 obj
+<< /Type /Pages /Count 2 /Kids [3 0 R] >>
+endobj
+3 0 obj
+<< /Type /Page /Parent 2 0 R >>
+endobj
+xref
+0 4
+0000000000 65535 f 
+0000000009 00000 n 
+0000000070 00000 n 
+0000000130 00000 n 
+trailer
+<< /Root 1 0 R /Size 4 /ID [<aa> <bb>] >>
+startxref
+170
+%%EOF
+4 0 obj
+<< /Type /Font /Subtype /Type1 >>
+endobj
+xref
+3 2
+0000000000 00001 f 
+0000999999 00000 n 
+trailer
+<< /Root 1 0 R /Size 9 /Prev 170 >>
+startxref
+400
+%%EOF
+"""
+
+
+def test_tables_of_raw_files(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(PDF)
+    files = raw.read(spark, str(tmp_path))
+    entries = raw.xref_entries(files)
+    assert sorted((r["section"], r["num"], r["kind"]) for r in entries.collect()) == [(0, 0, "Free"), (0, 1, "InUse"), (0, 2, "InUse"), (0, 3, "InUse"), (1, 3, "Free"), (1, 4, "InUse")]
+    assert {r["num"]: r["offset"] for r in raw.merged_xref(entries).collect()}[4] == 999999
+    assert sorted((r["section"], r["num"], r["change"]) for r in raw.revisions(entries).collect()) == [(0, 1, "added"), (0, 2, "added"), (0, 3, "added"), (1, 3, "deleted"), (1, 4, "added")]
+    assert [(r["root"], r["size"], r["prev"], r["n_ids"]) for r in raw.trailers(files).orderBy("section").collect()] == [(1, 4, None, 2), (1, 9, 170, 0)]
+    assert sorted(r["code"] for r in raw.offset_findings(files).collect()) == ["TRAILER_SIZE", "XREF_PAST_END"]
+    g = raw.graph(files)
+    found = {(r["code"], r["severity"]) for r in profiles.issues(g).collect()}
+    assert {("PAGES_COUNT_MISMATCH", "Error"), ("FONT_NOT_EMBEDDED", "Error"), ("METADATA_MISSING", "Warning")} <= found
+    assert not {c for c, _ in found} & {"CATALOG_MISSING", "LANG_MISSING", "CATALOG_WITHOUT_PAGES", "ENCRYPTED"}
+    status = {r["profile"]: r["status"] for r in profiles.validate_all(g).collect()}
+    assert status == {"structure": "NonCompliant", "archive": "NonCompliant", "print": "NonCompliant", "access": "PartiallyCompliant"}
+
+
+def test_page_programs(spark):
+    program = "q 1 0 0 1 72.5 -3. cm % note\nBT /F1 12 Tf (Hel\\(lo) Tj [(Wo) -20 (rld)] TJ ET\n0 0 10 10 re f* XX Q 7"
+    df = spark.createDataFrame([("a", program), ("b", ""), ("c", None)], "doc_id string, program string")
+    ops = content.operations(df)
+    rows = ops.orderBy("ord").collect()
+    assert [r["op"] for r in rows] == ["q", "cm", "BT", "Tf", "Tj", "TJ", "ET", "re", "f*", "XX", "Q"]
+    assert rows[1]["operands"] == ["1", "0", "0", "1", "72.5", "-3."] and rows[3]["operands"] == ["/F1", "12"] and rows[9]["group"] == "unknown"
+    assert content.shown_text(ops).first()["text"] == "Hel(lo World"
+    depth = {r["op"]: r["depth"] for r in content.nesting(ops, ["q"], ["Q"]).collect()}
+    assert (depth["q"], depth["Tj"], depth["Q"]) == (1, 1, 0)
+    assert {r["op"]: r["state"] for r in content.carried(ops, "Tf").collect()}["Tj"] == ["/F1", "12"]
+
+
+def test_laid_out_text(spark):
+    spans = [(1, 0.0, 0.0, 10.0, 10.0, 3.0, "a"), (1, 12.0, 1.0, 10.0, 10.0, 3.0, "b"), (1, 40.0, 1.0, 5.0, 10.0, 3.0, "far"), (1, 0.0, 20.0, 5.0, 10.0, 3.0, "next"), (2, 0.0, 0.0, 5.0, 10.0, 3.0, "z")]
+    df = spark.createDataFrame(spans, "page int, x double, y double, width double, height double, space double, text string")
+    got = sorted((r["page"], r["line"], r["text"]) for r in content.text_lines(df, ["page"]).collect())
+    assert got == [(1, 1, "a b"), (1, 2, "far"), (1, 3, "next"), (2, 1, "z")]
+    codes = spark.createDataFrame([(65,), (66,), (100,), (9,)], "code int")
+    singles = spark.createDataFrame([(66, "!")], "code int, char string")
+    ranges = spark.createDataFrame([(60, 70, 97), (64, 66, 48)], "low int, high int, start int")
+    assert {r["code"]: r["char"] for r in content.mapped_codes(codes, singles, ranges).collect()} == {65: "f", 66: "!", 100: None, 9: None}
+    one = spark.range(1).select(content.confidence(F.lit(4), F.lit(0.5), F.lit(2), F.lit(True)).alias("c")).first()["c"]
+    assert one == pytest.approx(0.7)
