@@ -25,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages that weights are learnt from, at most: those of smallest hash among the marked ones.
-SAMPLE = 2000
+from .sampling import by_hash
+
+#: Pages that weights are learnt from, at most: the marked ones among those of smallest id hash.
+SAMPLE = 3000
 #: Elements by what their content is.
 RAW = frozenset("script style noscript template iframe textarea title svg math object canvas".split())
 ASIDE = frozenset("nav footer aside form head select button menu dialog".split())
@@ -123,14 +125,14 @@ def counts(page: str) -> Counter:
 
 
 def learn(pages: DataFrame, bound: int = SAMPLE) -> dict[str, float]:
-    """Weights from a bounded sample of marked pages: smoothed log-odds of standing inside."""
-    marked = pages.select(F.col("html").cast("string").alias("html")).where(F.lower("html").rlike("<(article|main)[\\s>]"))
-    chosen = marked.orderBy(F.xxhash64("html"), "html").limit(bound)
+    """Weights from the marked pages of a bounded sample: smoothed log-odds of standing inside."""
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
+    chosen = by_hash(own, "page_id", bound, pages.count()).select("html")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
         for f in frames:
-            for page in f["html"]:
+            for page in f["html"].dropna():
                 total += counts(page)
         rows = [(k, inside, n) for (k, inside), n in total.items() if len(k) < 24]
         yield pd.DataFrame(rows, columns=["feature", "inside", "n"])
