@@ -30,6 +30,8 @@ CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Fixed value: the vocabulary's pre-token pattern.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 PRETOKEN = regex.compile(PATTERN)
+#: White space after other characters: a chunk begins there.
+EDGE = re.compile(f"(?<=[^{SPACE}])[{SPACE}]")
 NONE = 1 << 60
 #: Chunks kept by a worker in each of two generations, and the longest chunk kept.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 40
@@ -52,6 +54,15 @@ def byte_letters() -> list[str]:
     return letters
 
 
+def parts(text: str, edge: re.Pattern, size: int = 1 << 20) -> Iterator[str]:
+    """The text in parts of about so many characters, cut at edges only, so that lists stay short."""
+    start = 0
+    while len(text) - start > 2 * size and (m := edge.search(text, start + size)):
+        yield text[start : m.start()]
+        start = m.start()
+    yield text[start:] if start else text
+
+
 class Generations(dict):
     """A bounded cache: entries not asked for while a generation fills up are forgotten."""
 
@@ -197,19 +208,20 @@ class BytePairCodec:
 
     def learn(self, texts: list[str]) -> None:
         """Encodes the chunks that are new in these texts, words of like length together."""
-        parts: dict[str, list[str]] = {}
-        for chunk in set().union(*map(CHUNK.findall, texts)).difference(self.chunks).difference(self.chunks.old):
+        words_of: dict[str, list[str]] = {}
+        seen = set().union(*(CHUNK.findall(p) for text in texts for p in parts(text, EDGE)))
+        for chunk in seen.difference(self.chunks).difference(self.chunks.old):
             if len(chunk) <= CACHE_CHARS:
                 alone = chunk.isalpha() or chunk[0] == " " and chunk[1:].isalpha()
-                parts[chunk] = [chunk] if alone else PRETOKEN.findall(chunk)
+                words_of[chunk] = [chunk] if alone else PRETOKEN.findall(chunk)
         by_bits: dict[int, list[tuple[str, bytes]]] = {}
-        for word in set().union(*parts.values()):
+        for word in set().union(*words_of.values()):
             text = word.encode()
             by_bits.setdefault(max(3, (len(text) - 1).bit_length()), []).append((word, text))
         known: dict[str, bytes] = {}
         for bits, words in by_bits.items():
             known |= zip((w for w, _ in words), self.merge_many([text for _, text in words], bits))
-        for chunk, words in parts.items():
+        for chunk, words in words_of.items():
             self.chunks.put(chunk, known[chunk] if len(words) == 1 else b"".join(map(known.__getitem__, words)))
 
     def _encode_chunk(self, chunk: str) -> bytes:
@@ -219,16 +231,21 @@ class BytePairCodec:
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers; special tokens' strings are theirs."""
         if self.special is None or not self.special.search(text):
-            return b"".join(map(self.chunks.__getitem__, CHUNK.findall(text)))
+            return self._encode_plain(text)
         out, end = [], 0
         for m in self.special.finditer(text):
-            out += [*map(self.chunks.__getitem__, CHUNK.findall(text[end : m.start()])), self.special_ids[m[0]]]
+            out += [self._encode_plain(text[end : m.start()]), self.special_ids[m[0]]]
             end = m.end()
-        return b"".join([*out, *map(self.chunks.__getitem__, CHUNK.findall(text[end:]))])
+        return b"".join([*out, self._encode_plain(text[end:])])
+
+    def _encode_plain(self, text: str) -> bytes:
+        return b"".join(b"".join(map(self.chunks.__getitem__, CHUNK.findall(p))) for p in parts(text, EDGE))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, special tokens as their strings; broken UTF-8 becomes U+FFFD."""
-        return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        all_ids, step = np.frombuffer(ids, "<u4"), 1 << 20
+        blocks = (all_ids[k : k + step].tolist() for k in range(0, len(all_ids), step))
+        return b"".join(b"".join(map(self.token_bytes.__getitem__, b)) for b in blocks).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)

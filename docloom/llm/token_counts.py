@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import parts
+
 #: Nodes of a worker's trie, and characters of a pre-token that enters it.
 MAX_NODES, LONGEST = 800_000, 48
 #: A line's end is a piece of its own; a run of spaces goes with what follows it.
-PRETOKEN = re.compile("\n| *[^ \n]+| +")
+PRETOKEN, EDGE = re.compile("\n| *[^ \n]+| +"), re.compile("(?<=[^ ])[ \n]")
 #: Offset of Zipf's law, and the score of a character that is spelt by its bytes.
 OFFSET, BYTE_SCORE = 2.7, -25.0
 
@@ -126,11 +128,13 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         for batch in batches:
             words, tokens = [], []
             for text in batch["text"]:
-                found = PRETOKEN.findall(text.as_py() or "")
-                known = own.terminal
-                counts = [known[w] if w in known else own.count(w) for w in found]
-                words.append(len(found))
-                tokens.append(sum(counts))
+                n = total = 0
+                for part in parts(text.as_py() or "", EDGE):
+                    found, known = PRETOKEN.findall(part), own.terminal
+                    n += len(found)
+                    total += sum([known[w] if w in known else own.count(w) for w in found])
+                words.append(n)
+                tokens.append(total)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
 
     schema = "doc_id long, n_pretokens long, n_tokens long"

@@ -135,3 +135,12 @@ def test_token_counts_as_the_library_has_them():
         word = " " + "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(1, 12)))
         assert own.count(word) == own._alone(word) == len(other.encode(word).tokens)
     assert len(own.scores) < 600  # it started anew on the way
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab \n\t é", max_size=80), st.integers(1, 9))
+def test_parts_do_not_change_chunks(text, size):
+    cut = list(bpe.parts(text, bpe.EDGE, size))
+    assert "".join(cut) == text and [c for p in cut for c in bpe.CHUNK.findall(p)] == bpe.CHUNK.findall(text)
+    cut = list(bpe.parts(text, token_counts.EDGE, size))
+    assert "".join(cut) == text and [c for p in cut for c in token_counts.PRETOKEN.findall(p)] == token_counts.PRETOKEN.findall(text)
