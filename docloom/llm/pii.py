@@ -22,6 +22,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -322,13 +323,13 @@ def examples(n: int, seed: int = 11) -> list[tuple[str, set[Span]]]:
 
 @lru_cache(maxsize=1)
 def field(n: int = 500) -> SemiMarkovField:
-    """The trained field; each worker process trains it once, from the same seed, in about a second."""
+    """The trained field: the driver trains it once, in about a second, and it travels with the tasks."""
     return SemiMarkovField().fit(examples(n))
 
 
-def all_spans(text: str, base: list[Span]) -> list[Span]:
+def all_spans(text: str, base: list[Span], own: SemiMarkovField) -> list[Span]:
     """Base spans, and those of the field that touch none of them."""
-    own, more = field(), []
+    more = []
     for start, end in regions(text):
         region = Region(text, start, end)
         if region.by_end:
@@ -350,6 +351,7 @@ def written(spans: list[Span]) -> str:
 
 def detect(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to counts and a digest of the base spans, and all spans with their places."""
+    own = field()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,7 +360,7 @@ def detect(docs: DataFrame) -> DataFrame:
                 text = text.as_py() or ""
                 base = base_spans(text)
                 counts = [sum(s[2] == k for s in base) for k in KINDS]
-                rows.append((*counts, hashlib.sha256(written(base).encode()).hexdigest(), written(all_spans(text, base))))
+                rows.append((*counts, hashlib.sha256(written(base).encode()).hexdigest(), written(all_spans(text, base, own))))
             names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
@@ -368,10 +370,10 @@ def detect(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def mask(text: str) -> str:
+def mask(text: str, own: SemiMarkovField) -> str:
     """The text with each span, overlapping ones taken together, replaced by its first kind's name."""
     out, end = [], 0
-    for a, b, kind in all_spans(text, base_spans(text)):
+    for a, b, kind in all_spans(text, base_spans(text), own):
         if a >= end:
             out += [text[end:a], f"[{kind.upper()}]"]
         end = max(end, b)
@@ -380,9 +382,10 @@ def mask(text: str) -> str:
 
 def masked(docs: DataFrame) -> DataFrame:
     """The rows with personal data in ``text`` replaced; a null text stays null, all other columns stay."""
+    own = field()
 
     @F.pandas_udf("string")
-    def hide(texts):
-        return texts.map(mask, na_action="ignore")
+    def hide(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: mask(t, own), na_action="ignore")
 
     return docs.withColumn("text", hide(F.col("text").cast("string")))
