@@ -36,21 +36,25 @@ INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i img input
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
 #: Words of class and id names, and roles, of boilerplate elements.
-ASIDE_NAMES = frozenset("ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup sidebar widget nav navbar navigation menu breadcrumb breadcrumbs footer header masthead toolbar share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond login search pagination pager copyright disclaimer skip".split())
+ASIDE_NAMES = frozenset("ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent notice notices alert alerts announcement toast gdpr popup modal overlay newsletter subscribe subscription signup hidden sidebar widget nav navbar navigation menu breadcrumb breadcrumbs footer header masthead toolbar share sharing social related recommended recommendations comment comments commentlist discussion disqus feedback reply replies respond login search pagination pager copyright disclaimer skip".split())
+ASIDE_ENDS = ("menu", "nav", "navbar", "sidebar", "footer", "comments", "banner", "popup")
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar".split())
 
 MARKUP = re.compile(r"""<!--|<([/]?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)""")
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 NAME = re.compile(r"[a-z]+")
+HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s/]|=|$)(?!["']?false)""")
 
 
 def _is_aside(name: str, attributes: str, in_main: bool) -> bool:
-    if name in ASIDE or name == "header" and not in_main:
+    if name in ASIDE or name == "header" and not in_main or HIDDEN.search(attributes):
         return True
     for key, *values in ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), "".join(values).lower()
-        if key in ("class", "id") and name not in ("body", "html") and not ASIDE_NAMES.isdisjoint(NAME.findall(value)):
-            return True
+        if key in ("class", "id") and name not in ("body", "html"):
+            words = set(NAME.findall(value)) - ({"header"} if in_main else set())  # a header inside the article is its own
+            if not ASIDE_NAMES.isdisjoint(words) or any(w.endswith(ASIDE_ENDS) for w in words):
+                return True
         if key == "role" and value in ASIDE_ROLES or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
             return True
     return False
