@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
+from .sampling import by_hash
 
 NEIGHBOURS, QUERY_EVERY = 20, 20
 #: Rows that codebooks are fitted on at most.
@@ -105,7 +106,7 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, every: int = QUERY_EVERY, sh
     total, asked = usable.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
     if not asked:
         return spark.createDataFrame([], schema)
-    sample = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()  # bounded
+    sample = by_hash(usable, "vec_id", SAMPLE, total).toPandas()  # bounded
     x = np.stack(sample["embedding"])
     half, rng = x.shape[1] // 2, np.random.default_rng(SEED)
     codes = min(len(x), max(LEAST_CODES, min(MAX_CODES, round((total / CELL_ROWS) ** 0.5))))
@@ -134,13 +135,13 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, every: int = QUERY_EVERY, sh
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             found = [visited(books[0] @ v[:half], books[1] @ v[half:], rows, enough) for v in f["embedding"]]
-            yield pd.DataFrame({"query_id": f["vec_id"], "query": f["embedding"], "cells": found})
+            yield pd.DataFrame({"query_id": f["vec_id"], "cells": found})
 
-    asks = usable.where(F.col("vec_id") % every == 0).mapInPandas(route, "query_id long, query array<double>, cells array<int>")
-    asks = asks.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
-    routed = asks.select("query_id", "chunk", F.explode("cells").alias("cell")).join(where, "cell")
-    routed = routed.groupBy("query_id", "chunk", "shard").agg(F.collect_set("cell").alias("cells"))
-    routed = routed.join(asks.select("query_id", "query"), "query_id")
+    asks = usable.where(F.col("vec_id") % every == 0)
+    routed = asks.mapInPandas(route, "query_id long, cells array<int>").select("query_id", F.explode("cells").alias("cell"))
+    routed = routed.join(where, "cell").groupBy("query_id", "shard").agg(F.collect_set("cell").alias("cells"))
+    routed = routed.join(asks.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
+    routed = routed.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
     filed = index.join(where, "cell").where(F.col("part") == F.pmod(F.xxhash64("vec_id"), F.col("parts")))
     filed = filed.select("vec_id", "embedding", "cell", F.col("shard").alias("at"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("with_chunk"))
 
