@@ -3,7 +3,8 @@
 Every document's ids (with a closing id) are cut into pieces.  A piece as long as a
 window fills one by itself.  The shorter rests of a few hundred documents at a time are
 dealt to windows by differencing: partial partitions are merged with opposing imbalances,
-those of largest spread first, which leaves windows of nearly equal sums.  If the fullest
+those of largest spread first, which leaves windows of nearly equal sums.  Long rests give
+up a short tail each, as small pieces even the sums out at the end.  If the fullest
 window is over its capacity, the number of windows rises by one and the rests are dealt
 again.  All of it happens inside the task that reads the documents: no shuffle, and
 memory is bounded by one group of rests and one document.
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 WINDOW, CLOSING_ID = 2048, 1
 #: Windows that a group of rests is gathered for.
 GROUP_WINDOWS = 128
+#: A rest of over so many tokens is cut once more; tails have these lengths in turn.
+LEAST_CUT, TAILS = 400, (8, 16, 32, 64, 128)
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -92,19 +95,26 @@ class Packer:
     def __init__(self, task: int, window: int, group_windows: int):
         self.next_id, self.window, self.room = task << 32, window, window * group_windows
         self.rests: list[tuple] = []
-        self.held = 0
+        self.held = self.cuts = 0
 
     def add(self, doc_id: int, ids: np.ndarray) -> Iterator[tuple]:
         raw, n = memoryview(ids.astype("<u4", copy=False)).cast("B"), len(ids)
-        for start in range(0, n, self.window):
-            length = min(self.window, n - start)
-            piece = (doc_id, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), n)
-            if length == self.window:
-                yield (*piece, self.next_id, 0)
-                self.next_id += 1
-            else:
-                self.rests.append(piece)
-                self.held += length
+
+        def piece(start: int, end: int) -> tuple:
+            return doc_id, start, end - start, zlib.crc32(raw[4 * start : 4 * end]), n
+
+        whole = n - n % self.window
+        for start in range(0, whole, self.window):
+            yield (*piece(start, start + self.window), self.next_id, 0)
+            self.next_id += 1
+        if whole < n:
+            cut = n
+            if n - whole > LEAST_CUT:
+                cut -= TAILS[self.cuts % len(TAILS)]
+                self.rests.append(piece(cut, n))
+                self.cuts += 1
+            self.rests.append(piece(whole, cut))
+            self.held += n - whole
         if self.held >= self.room:
             yield from self.flush()
 
