@@ -61,3 +61,23 @@ def test_entry_works_without_the_subpackage(tmp_path):
     shutil.rmtree(tmp_path / "docloom" / "llm")
     code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True)
+
+
+def _tables(spark, folder, docs, labels):
+    docs.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    labels.write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_every_stage_with_odd_and_empty_tables(spark, docs, no_docs, tmp_path):
+    labels = spark.createDataFrame([(i, i % 2, None, "x") for i in range(14)] + [(None, 1, 0, "x"), (3, None, None, None)], "doc_id long, quality int, toxic int, text string")
+    odd = docs.select("doc_id", "text", "lang", "source", "n_chars", "words", "fp", F.lit(True).alias("kept"), F.lit(1.0).alias("d2"), F.lit("p").alias("pool"))
+    for name, rows, known in (("odd", odd, labels), ("none", no_docs.select(*odd.columns[:5]), labels), ("unlabelled", odd, labels.limit(0))):
+        folder = _tables(spark, tmp_path / name, rows, known)
+        given = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, given, folder)
+            assert out.columns == corpus_pipeline.COLUMNS and out.count() <= given.count()
+        pieces = corpus_pipeline.packed(spark, given, folder)
+        assert pieces.select("doc_id").distinct().count() == given.select("doc_id").distinct().count()
+        assert corpus_pipeline.run(spark, folder).count() >= 0
