@@ -72,7 +72,9 @@ def links(vertices: DataFrame, radius: int = RADIUS) -> DataFrame:
     that is within the radius; the rest of its group, bounded by the ball, is paired in full.
     """
     masks = F.array(*[F.lit(m) for m in flips(-(-radius // 2))])
-    balls = vertices.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
+    # rows that are small now and many soon: dealt out first, as one small file would be one long task
+    parts = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    balls = vertices.repartition(parts, "fp").select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     met = balls.groupBy("variant").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
     star = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
     if radius % 2:  # two members of a ball can then lie one further apart than the radius
