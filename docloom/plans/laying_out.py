@@ -1,12 +1,15 @@
-"""Page programs, laid-out text and code maps, made from the part, customer and line tables."""
+"""Page programs, laid-out text, code maps, codecs and sinks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Tables
+from .. import storage
+from ..functions import filters, values
+from ..graph import CUSTOMER, NATION, Graph, Tables, org_graph
 from ..operators import content
+from ..sources import graphs
 from .registry import query
 
 
@@ -59,3 +62,49 @@ def content_confidence(t: Tables) -> DataFrame:
     """Orders as reconstructions of their lines."""
     by = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.avg("l_discount").alias("mean"), F.count_if(F.col("l_returnflag") == "N").alias("ok"), F.bool_or(F.col("l_linestatus") == "O").alias("rebuilt"))
     return by.select("l_orderkey", F.round(content.confidence(F.col("n"), F.col("mean"), F.col("ok"), F.col("rebuilt")), 6).alias("confidence"))
+
+
+@query(
+    """WITH b AS (SELECT 'documents' AS src, text FROM documents UNION ALL SELECT 'pages', html FROM pages UNION ALL SELECT 'events', props FROM events),
+    f AS (SELECT src, text, left(text, 1000) AS head FROM b),
+    k AS (SELECT src, CASE WHEN length(head) > 0 AND length(regexp_replace(head, '[^\\x00-\\x7F]', '', 'g')) / length(head) > 0.8 THEN 'Text' ELSE 'Other' END AS kind FROM f)
+    SELECT src, kind, count(*) AS n FROM k GROUP BY 1, 2"""
+)
+def codec_content_class(t: Tables) -> DataFrame:
+    """Which texts are plain enough for a text codec."""
+    both = t.documents.select(F.lit("documents").alias("src"), "text").unionAll(t.pages.select(F.lit("pages"), "html")).unionAll(t.events.select(F.lit("events"), "props"))
+    kind = F.when(filters.content_class(F.col("text")) == "Text", "Text").otherwise("Other")
+    return both.groupBy("src", kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, html AS back FROM pages")
+def codec_filter_chain(t: Tables) -> DataFrame:
+    """Pages through hex and deflate, and back through a chain of two filters."""
+    coded = F.concat(F.hex(values.deflate(F.col("html").cast("binary"))), F.lit(">")).cast("binary")
+    names = F.array(F.lit("ASCIIHexDecode"), F.lit("FlateDecode"))
+    return t.pages.select("page_id", filters.decoded(coded, names, ratio=1000).cast("string").alias("back"))
+
+
+@query("SELECT n_nationkey, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}' AS json FROM nation")
+def sink_json(t: Tables) -> DataFrame:
+    """Rows as JSON texts, with the key that they are read back by."""
+    rows = graphs.as_json(t.nation.select("n_nationkey", "n_name", "n_regionkey"))
+    return rows.select(F.from_json("json", "n_nationkey int").getField("n_nationkey").alias("n_nationkey"), "json")
+
+
+@query("SELECT n_regionkey::BIGINT AS doc_id, n_nationkey + 100::BIGINT AS id, 'nation_' || n_name AS stable_id FROM nation")
+def sink_stable_ids(t: Tables) -> DataFrame:
+    """Names of nations that stay the same from export to export."""
+    g = org_graph(t)
+    upper = Graph(g.of_type("region", "nation"), g.edges.where(F.col("dst") < CUSTOMER))
+    return graphs.stable_ids(upper, {"nation": "name"}).where(F.col("id") >= NATION).select("doc_id", "id", "stable_id")
+
+
+@query("SELECT count(*) AS nodes, count(*) FILTER (src IS NOT NULL) AS edges FROM (SELECT NULL AS src FROM region UNION ALL SELECT n_regionkey FROM nation)")
+def sink_graph_round_trip(t: Tables) -> DataFrame:
+    """A graph written as JSON lines and read back."""
+    g = org_graph(t)
+    upper = Graph(g.of_type("region", "nation"), g.edges.where(F.col("dst") < CUSTOMER))
+    graphs.write(upper, where := storage.path(t.spark, "graph"), "json")
+    back = graphs.read(t.spark, where, "json")
+    return back.nodes.agg(F.count("*").alias("nodes")).crossJoin(back.edges.agg(F.count("*").alias("edges")))  # two single rows

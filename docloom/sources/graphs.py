@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph
@@ -31,3 +31,34 @@ def read(spark: SparkSession, path: str, form: str = "parquet") -> Graph:
             raise ValueError(f"{path}/{name} is of another major version than {VERSION}")
         parts[name] = df.drop("schema_version")
     return Graph(parts["nodes"], parts["edges"])
+
+
+def stable_ids(g: Graph, named: dict[str, str] | None = None) -> DataFrame:
+    """(doc_id, id, stable_id): the same in every export of a document.
+
+    A node of a named type is called by that property (``{"Font": "BaseFont"}``), others by a
+    digest of their place: ids from the root down.  Nodes of one name are told apart by number.
+    """
+    from pyspark.sql import Window
+
+    from ..operators import traversal
+
+    paths = traversal.paths_to_root(g.children(), g.nodes.select("doc_id", "id"))
+    kind = F.lower("node_type")
+    name = F.concat(kind, F.lit("_"), F.substring(F.md5(F.array_join(F.col("path").cast("array<string>"), "/")), 1, 12))
+    for t, key in (named or {}).items():
+        value = F.try_element_at("props", F.lit(key))
+        name = F.when((F.col("node_type") == t) & value.isNotNull(), F.concat(kind, F.lit("_"), value)).otherwise(name)
+    own = g.nodes.join(paths, ["doc_id", "id"]).withColumn("name", name)
+    number = F.row_number().over(Window.partitionBy("doc_id", "name").orderBy("id"))
+    return own.withColumn("n", number).select("doc_id", "id", F.when(F.col("n") == 1, F.col("name")).otherwise(F.concat_ws("_", "name", "n")).alias("stable_id"))
+
+
+def as_json(df: DataFrame, name: str = "json") -> DataFrame:
+    """Each row as one JSON text."""
+    return df.select(F.to_json(F.struct(*df.columns)).alias(name))
+
+
+def as_xml(df: DataFrame, name: str = "xml", row: str = "row") -> DataFrame:
+    """Each row as one XML text."""
+    return df.select(F.to_xml(F.struct(*df.columns), {"rowTag": row}).alias(name))

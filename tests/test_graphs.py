@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.functions import filters
 from docloom.functions import text as tx
 from docloom.functions import values as vl
 from docloom.graph import CHILD, REFERENCE, Graph
@@ -234,3 +235,43 @@ def test_laid_out_text(spark):
     assert {r["code"]: r["char"] for r in content.mapped_codes(codes, singles, ranges).collect()} == {65: "f", 66: "!", 100: None, 9: None}
     one = spark.range(1).select(content.confidence(F.lit(4), F.lit(0.5), F.lit(2), F.lit(True)).alias("c")).first()["c"]
     assert one == pytest.approx(0.7)
+
+
+def lzw_encoded(data, early=1):
+    """Every code in turn, without clearing: short data only."""
+    table, word, codes = {bytes([i]): i for i in range(256)}, b"", [256]
+    for c in data:
+        if word + bytes([c]) in table:
+            word += bytes([c])
+        else:
+            codes.append(table[word])
+            table[word + bytes([c])] = len(table) + 2
+            word = bytes([c])
+    codes += [table[word]] if word else []
+    bits, size, known = "", 9, 258
+    for i, c in enumerate([*codes, 257]):
+        bits += format(c, f"0{size}b")
+        known += i > 1
+        size += size < 12 and known + early >= 1 << size
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def test_filter_chains(spark):
+    import zlib
+
+    for data in (b"", b"a", b"ababababab" * 30, bytes(range(256)) * 3):
+        assert filters.lzw(lzw_encoded(data)) == data
+    packed = zlib.compress(b"hello" * 10)
+    assert filters.chain(packed.hex().encode() + b">", ["ASCIIHexDecode", "FlateDecode"]) == b"hello" * 10
+    assert filters.chain(packed, ["Unknown"]) is None and filters.chain(b"broken", ["FlateDecode"]) is None and filters.chain(None, ["FlateDecode"]) is None
+    assert filters.chain(zlib.compress(b"0" * 10**6), ["FlateDecode"]) is None  # over the ratio
+    assert filters.chain(zlib.compress(b"0" * 10**6), ["FlateDecode"], most=1000, ratio=10**6) is None
+    df = spark.createDataFrame([(packed, ["FlateDecode"]), (b"x", None), (None, [])], "d binary, f array<string>")
+    assert [None if r[0] is None else bytes(r[0]) for r in df.select(filters.decoded(F.col("d"), F.col("f"))).collect()] == [b"hello" * 10, b"x", None]
+
+
+def test_stable_ids(spark):
+    g = make(spark, [(1, "root", {}, []), (2, "Font", {"BaseFont": "A"}, []), (3, "Font", {"BaseFont": "A"}, []), (4, "Font", {}, [])], [(1, 2, CHILD, 1), (1, 3, CHILD, 2), (2, 4, CHILD, 1)])
+    names = {r["id"]: r["stable_id"] for r in graphs.stable_ids(g, {"Font": "BaseFont"}).collect()}
+    assert names[2] == "font_A" and names[3] == "font_A_2" and names[4].startswith("font_") and len(set(names.values())) == 4
+    assert graphs.as_xml(spark.createDataFrame([(1, "a<b")], "k int, v string")).first()["xml"].count("&lt;") == 1
