@@ -35,6 +35,8 @@ ASIDE = frozenset("nav footer aside form head select button menu dialog".split()
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
+#: Elements whose end tags may be left out.
+LOOSE = frozenset("p li dt dd tr td th".split())
 #: Words of class and id names, and roles, of boilerplate elements.
 ASIDE_NAMES = frozenset("ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent notice notices alert alerts announcement toast gdpr popup modal overlay newsletter subscribe subscription signup hidden sidebar widget nav navbar navigation menu breadcrumb breadcrumbs footer header masthead toolbar share sharing social related recommended recommendations comment comments commentlist discussion disqus feedback reply replies respond login search pagination pager copyright disclaimer skip".split())
 ASIDE_ENDS = ("menu", "nav", "navbar", "sidebar", "footer", "comments", "banner", "popup")
@@ -65,6 +67,7 @@ def items(page: str) -> list[tuple[str, str, bool]]:
     out: list[tuple[str, str, bool]] = []
     at, end, mains, links = 0, len(page), 0, 0
     skipped, depth = "", 0  # the boilerplate element that is open, and how many of its name
+    inner = 0  # elements open within a boilerplate element that may end without a tag
 
     def words(a: int, b: int) -> None:
         if a < b:
@@ -91,18 +94,26 @@ def items(page: str) -> list[tuple[str, str, bool]]:
             if skipped and skipped not in MAIN and not _is_aside(name, m[3], False):
                 skipped, depth = "", 0  # an element that was never closed
         out.append((f"{'</' if closing else '<'}{name}", "", mains > 0 and not (name in MAIN)))
+        loose = skipped in LOOSE and name not in INLINE and name not in LOOSE
         if closing:
             if name == skipped:
                 depth -= 1
                 skipped = skipped if depth else ""
+            elif loose:
+                inner -= 1
+                skipped = skipped if inner >= 0 else ""  # what holds the element has ended
             continue
+        if skipped in LOOSE and name == skipped and not inner or skipped == "p" and loose:
+            skipped = ""  # the next of its kind, or a block within a paragraph
+        elif loose and name not in VOID:
+            inner += 1
         if name in RAW and not m[3].endswith("/"):
             close = re.compile(f"</{name}(?=[\\s/>]|$)", re.I).search(page, at)
             at = close.start() if close else end
         elif name == skipped:
             depth += 1
         elif not skipped and name not in VOID and _is_aside(name, m[3], mains > 0):
-            skipped, depth = name, 1
+            skipped, depth, inner = name, 1, 0
         links += name == "a"
     words(at, end)
     return out

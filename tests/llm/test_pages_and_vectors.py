@@ -125,6 +125,8 @@ def test_crafted_page(around):
 def test_odd_pages():
     for page, text in [(None, ""), ("", ""), ("plain words", "plain words"), ("<p>a", "a"), ("<p", ""), ("a < b", "a < b"), ("<!-- x", ""), ("<nav>menu</nav>", ""), ("<p>&lt;b&gt; &#233; &am", "<b> é &am"), ("<script>x", ""), ("<p>x</p><script>y</script><p>z</p>", "x z")]:
         assert main_text.extract(page, DEFAULT) == text
+    for page, text in [("<ul><li class=ad>x<li>y</ul><p>z", "y z"), ("<ul><li class=ad>x <div>q</div> r</ul><p>z", "z"), ("<p class=notice>x<div>y</div>", "y"), ("<table><tr><td class=ad>x<td>y</table>z", "y z"), ("<div class=ad><div>x</div>y</div>z", "z"), ("<p hidden>x</p><p>y", "y")]:
+        assert main_text.extract(page, DEFAULT) == text
     long = "<article>" + "<p>word</p>" * 50_000 + "<a '" * 1000
     assert len(main_text.extract(long, DEFAULT)) == 50_000 * 5 - 1
 
