@@ -28,6 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+from .sampling import by_hash
+
 #: Labelled rows that the model is fitted on, at most; a row takes part by its id's hash.
 SAMPLE = 12_000
 FEATURES, RIDGE, BANDWIDTH, SEED, FOLDS = 384, 1e-3, 0.5, 7, 4
@@ -98,7 +101,7 @@ def sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("double").alias("y")).where("doc_id is not null and y is not null")
     known = known.where(crc % 4 != 2).groupBy("doc_id").agg(F.avg("y").alias("y"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)  # at most ``bound`` rows of 16 bytes
+    chosen = by_hash(known, "doc_id", bound, labels.count())  # at most ``bound`` rows of 16 bytes
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
     return texts.join(F.broadcast(chosen), "doc_id").select("text", "y", fold.alias("fold"))
@@ -106,7 +109,6 @@ def sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, features: int = FEATURES, ridge: float = RIDGE) -> Model:
     """Fits on the sample: statistics' moments first, then the normal equations of all folds but the last."""
-    from . import scratch
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
