@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import storage
+
 CHILD, REFERENCE = "Child", "Reference"
 #: Ids of the tables' rows are shifted so that they stay apart within a document.
 NATION, CUSTOMER, ORDER, PART, SUPPLIER = 100, 1_000_000, 100_000_000, 1_000_000_000, 2_000_000_000
@@ -47,6 +49,10 @@ class Graph:
     def references(self) -> DataFrame:
         return self.edges.where(F.col("edge_type") == REFERENCE)
 
+    def stored(self) -> Graph:
+        """The graph written once to the shared folder, for work that reads it many times."""
+        return Graph(storage.table(self.nodes, "nodes"), storage.table(self.edges, "edges"))
+
     def roots(self) -> DataFrame:
         """Nodes that are no node's child."""
         below = self.children().select("doc_id", F.col("dst").alias("id"))

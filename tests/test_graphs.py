@@ -69,7 +69,7 @@ def test_paths(diamond):
 
 
 def test_references(diamond):
-    g = diamond
+    g = diamond.stored()
     assert joins.dangling(g.references(), g.nodes).count() == 2
     assert joins.reference_integrity(g.references(), g.nodes).first()["integrity"] == 0
     assert joins.reference_integrity(g.references().limit(0), g.nodes).first()["integrity"] == 1
