@@ -259,3 +259,8 @@ def test_links_of_other_radii(spark, radius):
     links = {(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), radius).collect()}
     pairs = {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= radius}
     assert links == pairs
+
+
+def test_rules_are_native(docs):
+    plan = rules.judge(docs)._jdf.queryExecution().executedPlan().toString() + rules.statistics(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|MapInArrow", plan)
