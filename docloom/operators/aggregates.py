@@ -15,12 +15,12 @@ def nearest_rank(rows: DataFrame, value: str, percents: list[int], by: list[str]
 
     Values are counted first, so the running count sorts distinct values and not rows.
     """
-    by = by or []
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    order = Window.partitionBy(*by).orderBy(value)
-    running = counts.withColumn("upto", F.sum("c").over(order))
-    total = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("total"))
-    wanted = running.join(total, by) if by else running.crossJoin(F.broadcast(total))  # the total is one row
+    own = rows.where(F.col(value).isNotNull())
+    if not by:
+        return nearest_rank(own.withColumn("_all", F.lit(1)), value, percents, ["_all"]).drop("_all")
+    counts = own.groupBy(*by, value).agg(F.count("*").alias("c"))
+    running = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*by).orderBy(value)))
+    wanted = running.join(own.groupBy(*by).agg(F.count("*").alias("total")), by)
     place = F.explode(F.array(*[F.lit(p) for p in percents])).alias("percent")
     placed = wanted.select("*", place).withColumn("place", F.floor((F.col("total") - 1) * F.col("percent") / 100))
     hit = placed.where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("c")))

@@ -53,11 +53,11 @@ def txt_tokens(t: Tables) -> DataFrame:
     return t.pages.select(tag).groupBy(F.lower("tag").alias("tag")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT source, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1")
+@query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, role, text) AS text, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1")
 def txt_join_pages(t: Tables) -> DataFrame:
-    """A source's documents in order, as one text of their ids."""
-    ids = F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda i: i.cast("string")), ",")
-    return t.documents.groupBy("source").agg(ids.alias("ids"), F.sum(F.length("text")).cast("long").alias("chars"))
+    """A conversation's turns in order, as one text with blank lines between."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    return t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda p: p["text"]), "\n\n").alias("text"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
 _URL_FINDINGS = """WITH u AS (SELECT page_id, url, lower(url) AS low FROM pages),

@@ -140,8 +140,6 @@ def test_functions(spark):
     assert get(tx.integer(F.lit("99999999999999999999"))) is None and get(tx.integer(F.lit("-7"))) == -7
     assert get(tx.real(F.lit("1e5"))) is None and get(tx.real(F.lit("-.5"))) == -0.5
     assert get(tx.decoded(F.lit(b"\xfe\xff\x00A\x00B"))) == "AB"
-    assert bytes(get(vl.run_lengths(F.lit(bytes([2, 65, 66, 67, 254, 90, 128, 1]))))) == b"ABCZZZ"
-    assert bytes(get(vl.ascii85(F.lit(b"87cURD]~>")))) == b"Hello"
     assert bytes(get(vl.inflate(F.lit(b"broken")))) == b""
     a = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"))
     b = F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1"))
@@ -261,6 +259,8 @@ def test_filter_chains(spark):
 
     for data in (b"", b"a", b"ababababab" * 30, bytes(range(256)) * 3):
         assert filters.lzw(lzw_encoded(data)) == data
+    assert filters.chain(bytes([2, 65, 66, 67, 254, 90, 128, 1]), ["RunLengthDecode"]) == b"ABCZZZ"
+    assert filters.chain(b"87cURD]~>", ["ASCII85Decode"]) == b"Hello" and filters.chain(b"\x01~>", ["ASCII85Decode"]) is None
     packed = zlib.compress(b"hello" * 10)
     assert filters.chain(packed.hex().encode() + b">", ["ASCIIHexDecode", "FlateDecode"]) == b"hello" * 10
     assert filters.chain(packed, ["Unknown"]) is None and filters.chain(b"broken", ["FlateDecode"]) is None and filters.chain(None, ["FlateDecode"]) is None
