@@ -10,21 +10,29 @@ def type_counts(nodes: DataFrame, kind: str = "node_type") -> DataFrame:
     return nodes.groupBy(kind).agg(F.count("*").alias("n"))
 
 
+#: How far to either side of a percentile its bracket reaches, and the accuracy of the approximation, whose error is far less.
+BRACKET, ACCURACY = 0.002, 10_000
+
+
 def nearest_rank(rows: DataFrame, value: str, percents: list[int], by: list[str] | None = None) -> DataFrame:
     """(by, percent, value): the value at place (n - 1) * percent / 100, rounded down, of the sorted values.
 
-    Values are counted first, so the running count sorts distinct values and not rows.
+    Exact, and without sorting a whole group: mergeable approximate percentiles bracket each
+    place, values below the bracket are counted, and only those inside it are put in order.
     """
     own = rows.where(F.col(value).isNotNull())
     if not by:
         return nearest_rank(own.withColumn("_all", F.lit(1)), value, percents, ["_all"]).drop("_all")
-    counts = own.groupBy(*by, value).agg(F.count("*").alias("c"))
-    running = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*by).orderBy(value)))
-    wanted = running.join(own.groupBy(*by).agg(F.count("*").alias("total")), by)
-    place = F.explode(F.array(*[F.lit(p) for p in percents])).alias("percent")
-    placed = wanted.select("*", place).withColumn("place", F.floor((F.col("total") - 1) * F.col("percent") / 100))
-    hit = placed.where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("c")))
-    return hit.select(*by, "percent", F.col(value).alias("value"))
+    ends = [min(1.0, max(0.0, p / 100 + d)) for p in percents for d in (-BRACKET, BRACKET)]
+    known = own.groupBy(*by).agg(F.count("*").alias("_total"), F.percentile_approx(value, ends, ACCURACY).alias("_q"))
+    each = [F.struct(F.lit(p).alias("percent"), F.col("_q")[2 * i].alias("low"), F.col("_q")[2 * i + 1].alias("high")) for i, p in enumerate(percents)]
+    brackets = known.select(*by, "_total", F.array(*each).alias("_b"))
+    placed = own.select(*by, F.col(value).alias("value")).join(brackets, by).select(*by, "value", "_total", F.explode("_b").alias("b"))
+    placed = placed.where("value <= b.high").select(*by, "_total", "b.percent", F.when(F.col("value") >= F.col("b.low"), F.col("value")).alias("value"))
+    counts = placed.groupBy(*by, "percent", "_total", "value").agg(F.count("*").alias("c"))  # a null value stands for all below
+    running = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*by, "percent").orderBy(F.asc_nulls_first("value"))))
+    place = F.floor((F.col("_total") - 1) * F.col("percent") / 100)
+    return running.where((place < F.col("upto")) & (place >= F.col("upto") - F.col("c"))).select(*by, "percent", "value")
 
 
 def predominant(rows: DataFrame, by: list[str], kind: str) -> DataFrame:

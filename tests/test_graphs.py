@@ -7,7 +7,7 @@ from docloom.functions import filters
 from docloom.functions import text as tx
 from docloom.functions import values as vl
 from docloom.graph import CHILD, REFERENCE, Graph
-from docloom.operators import content, joins, profiles, rules, security, selectors, sets, transforms, traversal, validation, windows
+from docloom.operators import aggregates, content, joins, profiles, rules, security, selectors, sets, transforms, traversal, validation, windows
 from docloom.sources import graphs, raw
 
 NODES = "doc_id string, id long, node_type string, props map<string,string>, value double, errors array<string>"
@@ -275,3 +275,17 @@ def test_stable_ids(spark):
     names = {r["id"]: r["stable_id"] for r in graphs.stable_ids(g, {"Font": "BaseFont"}).collect()}
     assert names[2] == "font_A" and names[3] == "font_A_2" and names[4].startswith("font_") and len(set(names.values())) == 4
     assert graphs.as_xml(spark.createDataFrame([(1, "a<b")], "k int, v string")).first()["xml"].count("&lt;") == 1
+
+
+def test_exact_percentiles(spark):
+    import random
+
+    r = random.Random(6)
+    rows = [(g, float(r.choice([r.gauss(0, 1), 7.0, r.randint(0, 3)]))) for g in "aab" for _ in range(4000)] + [("c", 1.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {(x["g"], x["percent"]): x["value"] for x in aggregates.nearest_rank(df, "v", [0, 1, 50, 95, 100], ["g"]).collect()}
+    for g in "abc":
+        values = sorted(v for k, v in rows if k == g)
+        assert all(got[g, p] == values[(len(values) - 1) * p // 100] for p in (0, 1, 50, 95, 100))
+    assert len(got) == 15
+    assert [x["value"] for x in aggregates.nearest_rank(df, "v", [50]).collect()] == [sorted(v for _, v in rows if v is not None)[12000 // 2]]
