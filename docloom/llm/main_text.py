@@ -38,7 +38,7 @@ MAIN = frozenset(("article", "main"))
 #: Elements whose end tags may be left out.
 LOOSE = frozenset("p li dt dd tr td th".split())
 #: Words of class and id names, and roles, of boilerplate elements.
-ASIDE_NAMES = frozenset("ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent notice notices alert alerts announcement toast gdpr popup modal overlay newsletter subscribe subscription signup hidden sidebar widget nav navbar navigation menu breadcrumb breadcrumbs footer header masthead toolbar share sharing social related recommended recommendations comment comments commentlist discussion disqus feedback reply replies respond login search pagination pager copyright disclaimer skip".split())
+ASIDE_NAMES = frozenset("ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent notice notices alert alerts announcement toast gdpr popup modal overlay newsletter subscribe subscription signup hidden sidebar nav navbar navigation menu breadcrumb breadcrumbs footer header masthead toolbar share sharing social related recommended recommendations comment comments commentlist discussion disqus feedback reply replies respond login search pagination pager copyright disclaimer skip".split())
 ASIDE_ENDS = ("menu", "nav", "navbar", "sidebar", "footer", "comments", "banner", "popup")
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar".split())
 
