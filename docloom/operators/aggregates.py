@@ -19,16 +19,17 @@ def nearest_rank(rows: DataFrame, value: str, percents: list[int], by: list[str]
 
     Exact, and without sorting a whole group: mergeable approximate percentiles bracket each
     place, values below the bracket are counted, and only those inside it are put in order.
+    A group so small that a bracket spans under two places is put in order from its least value.
     """
     own = rows.where(F.col(value).isNotNull())
     if not by:
         return nearest_rank(own.withColumn("_all", F.lit(1)), value, percents, ["_all"]).drop("_all")
     ends = [min(1.0, max(0.0, p / 100 + d)) for p in percents for d in (-BRACKET, BRACKET)]
     known = own.groupBy(*by).agg(F.count("*").alias("_total"), F.percentile_approx(value, ends, ACCURACY).alias("_q"))
-    each = [F.struct(F.lit(p).alias("percent"), F.col("_q")[2 * i].alias("low"), F.col("_q")[2 * i + 1].alias("high")) for i, p in enumerate(percents)]
+    each = [F.struct(F.lit(p).alias("percent"), F.when(F.col("_total") * BRACKET >= 2, F.col("_q")[2 * i]).alias("low"), F.col("_q")[2 * i + 1].alias("high")) for i, p in enumerate(percents)]
     brackets = known.select(*by, "_total", F.array(*each).alias("_b"))
     placed = own.select(*by, F.col(value).alias("value")).join(brackets, by).select(*by, "value", "_total", F.explode("_b").alias("b"))
-    placed = placed.where("value <= b.high").select(*by, "_total", "b.percent", F.when(F.col("value") >= F.col("b.low"), F.col("value")).alias("value"))
+    placed = placed.where("value <= b.high").select(*by, "_total", "b.percent", F.when(F.col("b.low").isNull() | (F.col("value") >= F.col("b.low")), F.col("value")).alias("value"))
     counts = placed.groupBy(*by, "percent", "_total", "value").agg(F.count("*").alias("c"))  # a null value stands for all below
     running = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*by, "percent").orderBy(F.asc_nulls_first("value"))))
     place = F.floor((F.col("_total") - 1) * F.col("percent") / 100)
