@@ -1,0 +1,132 @@
+"""Near copies by the Jaccard similarity of word shingles: banded minima, then exact verification.
+
+Each text's shingle hashes give ``BANDS`` keys of ``ROWS`` minima; texts of similarity 0.8
+share a key with a chance of 0.9996.  Up to ``FULL`` texts of a key are all paired.  More are
+dealt out over salts: each meets the smallest of its salt, and the smallest of all salts meet
+each other, so the pairs of a key grow with its texts, not with their square; of such a key,
+a text that is near to a few others only, and to no smallest one, can be missed.  Pairs
+are verified on whole shingle sets, and verified links are joined into components.  Copies
+never meet as pairs: rows of the same words are one vertex.
+
+Defined cases: a null text is the empty text; texts without words are one vertex; fewer
+words than a shingle give one shingle of all words; rows are told apart by a key of their
+own, so repeated and null ids are rows like others; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import scratch
+from .simhash import SEED, components
+
+SHINGLE, LEAST = 5, 0.8
+BANDS, ROWS, SALTS = 20, 5, 64
+#: Texts of a key that are all paired.
+FULL = 256
+BLOCK = 1 << 12
+_random = np.random.default_rng(SEED)
+FACTORS = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+SHIFTS = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()  # of bytes, as in simhash
+
+
+def shingles(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes (XXH64) of the shingles, in order."""
+    import xxhash
+
+    if not words:
+        return np.empty(0, np.uint64)
+    n = max(1, len(words) - shingle + 1)
+    joined = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, seed=SEED) for x in joined), np.uint64, n))
+
+
+def keys(hashes: np.ndarray) -> np.ndarray:
+    """The keys of the bands, as signed longs; none of a text without words."""
+    import xxhash
+
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), BLOCK):
+        mixed = FACTORS[:, None] * hashes[None, at : at + BLOCK] + SHIFTS[:, None]
+        least = np.minimum(least, mixed.min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(band.tobytes(), seed=k) for k, band in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+def marked(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The rows with ``row``, a key of each row, ``vertex``, a hash of its words, and ``keys``; written once, so that they stay."""
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vertices, found = [], []
+            for text in batch["text"]:
+                words = words_of(text.as_py())
+                vertices.append(xxhash.xxh64_intdigest(b" ".join(words), seed=SEED))
+                found.append(keys(shingles(words, shingle)))
+            own = [pa.array(np.array(vertices, np.uint64).view(np.int64)), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], [*batch.schema.names, "vertex", "keys"])
+
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    kinds = ", ".join(f"`{n}` {k}" for n, k in numbered.dtypes)
+    return scratch.table(numbered.mapInArrow(run, f"{kinds}, vertex long, keys array<long>"), "marked")
+
+
+def pairs(vertices: DataFrame) -> DataFrame:
+    """(vertex, keys) to distinct pairs (a, b), a < b, that share a key."""
+    keyed = vertices.select("vertex", F.posexplode("keys").alias("band", "key"))
+    # two ways of dealing out, so that texts that share a salt in one do not in the other
+    salt = F.pmod(F.xxhash64("vertex", F.col("band") % 2), F.lit(SALTS))
+    dealt = keyed.select("vertex", "key", salt.alias("salt"))
+    groups = dealt.groupBy("key", "salt").agg(F.collect_set("vertex").alias("own"))
+    groups = groups.select("key", F.array_min("own").alias("a"), F.size("own").alias("size"), F.when(F.size("own") > 1, F.col("own")).alias("own"))
+    groups = scratch.table(groups, "key_salts")
+    few = F.when(F.col("size") <= FULL // 16, F.coalesce("own", F.array("a")))  # else the key has too many in any case, or falls back to salts
+    heads = groups.groupBy("key").agg(F.sum("size").alias("size"), F.collect_list("a").alias("heads"), F.flatten(F.collect_list(few)).alias("own")).where("size > 1")
+    whole = F.array_sort(F.when((F.col("size") <= FULL) & (F.size("own") == F.col("size")), F.col("own")).otherwise(F.col("heads")))
+    across = heads.select(whole.alias("all")).select("all", F.posexplode("all").alias("k", "a")).select("a", F.explode(F.expr("slice(all, k + 2, size(all))")).alias("b"))
+    within = groups.where("own is not null").select("a", F.explode("own").alias("b")).where("a < b")
+    return within.unionAll(across).distinct()
+
+
+def verified(found: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """The pairs whose shingle sets have at least the Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            right = []
+            for one, other in zip(batch["one"], batch["other"]):
+                x, y = (shingles(words_of(t.as_py()), shingle) for t in (one, other))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                right.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(right, pa.bool_()))
+
+    one = texts.select(F.col("vertex").alias("a"), F.col("text").alias("one"))
+    other = texts.select(F.col("vertex").alias("b"), F.col("text").alias("other"))
+    return found.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
+
+
+def first_of_each(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """The row of smallest doc_id of each component of near copies; rows without an id stay."""
+    rows = marked(docs, shingle)
+    vertices = rows.groupBy("vertex").agg(F.min("row").alias("row"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("first"), F.min("keys").alias("keys"))
+    vertices = scratch.table(vertices, "vertices")
+    found = scratch.table(pairs(vertices.select("vertex", "keys")), "pairs")
+    ends = found.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
+    chosen = vertices.join(ends, "vertex", "left_semi").select("row")
+    texts = scratch.table(rows.join(chosen, "row", "left_semi").select("vertex", "text"), "texts")
+    roots = scratch.table(components(verified(found, texts, shingle, least)), "roots")
+    rooted = vertices.join(roots, vertices.vertex == roots.v, "left").select("first", F.coalesce("root", "vertex").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    named = rows.where("doc_id is not null").join(kept, "row", "left_semi")
+    return named.unionByName(rows.where("doc_id is null")).select(docs.columns)

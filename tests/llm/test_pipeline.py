@@ -46,6 +46,17 @@ def test_near_duplicates_with_odd_rows(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3, None}
 
 
+def test_near_copies_of_five_word_similarity_go(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = [w if i not in (40, 80, 120, 160) else "changed" for i, w in enumerate(words)]  # Jaccard 176 / 216
+    far = [w if i % 20 else "other" for i, w in enumerate(words)]  # under 0.8
+    rows = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate([words, near, far], 1)]
+    rows += [(10 + k, " ".join([*words[:100], f"z{k}", *words[101:]]), "en", "s", 1) for k in range(150)]  # one large group
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert (simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(rows[1][1])).bit_count() > 2  # op9's radius does not reach
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3}
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
