@@ -112,14 +112,17 @@ def _plain(data: bytes, at: int) -> Record | None:
     """The uncompressed record that begins there, if it passes its checks."""
     if not data.startswith(b"WARC/1.", at):
         return None
-    head_end = data.find(b"\r\n\r\n", at, at + (1 << 16))
-    if head_end < 0:
-        return None
-    first, *lines = data[at:head_end].decode("utf-8", "replace").split("\r\n")
-    if first not in ("WARC/1.0", "WARC/1.1"):
+    if data[at : at + 10] not in (b"WARC/1.0\r\n", b"WARC/1.1\r\n"):
         return None
     headers: dict[str, str] = {}
-    for line in lines:
+    start = at + 10
+    while True:  # as far as the lines are headers, however long they are
+        line_end = data.find(b"\r\n", start)
+        if line_end < 0:
+            return None
+        line, start = data[start:line_end].decode("utf-8", "replace"), line_end + 2
+        if not line:
+            break
         key, colon, value = line.partition(":")
         if line[:1] in " \t":  # a folded line
             continue
@@ -128,7 +131,6 @@ def _plain(data: bytes, at: int) -> Record | None:
             return None
         headers[key] = value.strip()
     size = _number(headers.get("content-length"))
-    start = head_end + 4
     if size is None or data[start + size : start + size + 4] != b"\r\n\r\n":
         return None
     block = data[start : start + size]
@@ -215,7 +217,8 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Writes archives of the pages into the shared folder and returns a row for each record read back."""
+    """Writes archives of the pages into the shared folder and returns a row for each record read back; a gap is an error."""
     write(pages, where := scratch.path(pages.sparkSession, "warc"), least_bytes)
-    records = read(pages.sparkSession, where).where("record_type is not null")
+    lost = F.raise_error(F.concat_ws(" ", F.lit("a record was not read back:"), "file", "start", "end"))
+    records = read(pages.sparkSession, where).withColumn("record_type", F.coalesce("record_type", lost.cast("string")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -44,6 +44,14 @@ def test_warc_round_trip(spark, pages):
     assert {r["record_type"] for r in warc.round_trip(pages, least_bytes=10**6).collect()} == {"response"}
 
 
+def test_pages_of_very_long_urls_come_back(spark, monkeypatch):
+    page = spark.createDataFrame([(1, "data:," + "x" * 70_000, "<p>a"), (2, "u", "<p>b"), (3, "v", "<p>a")], "page_id long, url string, html string")
+    assert {r["page_id"]: r["refers_to"] for r in warc.round_trip(page).collect()} == {1: 3, 2: None, 3: None}
+    monkeypatch.setattr(warc, "VERSION", "WARC/9.9")  # records that the reader does not take
+    with pytest.raises(Exception, match="not read back"):
+        warc.round_trip(page).collect()
+
+
 def test_files_hold_whole_records(spark, pages, tmp_path):
     warc.write(pages, f"{tmp_path}/w", records_per_file=2)
     rows = warc.read(spark, f"{tmp_path}/w", payloads=True).collect()
