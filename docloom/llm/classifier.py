@@ -6,8 +6,8 @@ its normal equations, partitions' sums are added on Spark, and the driver solves
 system.  A fold of the sample that the ridge has not seen calibrates its outputs by
 pool-adjacent-violators.  Scoring is a pass over the texts with no shuffle.
 
-The sample is bounded: ``SAMPLE`` labelled rows, those of smallest hash, so that it does
-not depend on the order of rows.  Scores use the text alone: labels, languages, sources and ids are never inputs.
+The sample is bounded: ``SAMPLE`` labelled ids, those of smallest hash, so that it does
+not depend on the order of rows, and one text for each (of rows that share an id, that of smallest hash).  Scores use the text alone: labels, languages, sources and ids are never inputs.
 
 Defined cases: a null text is the empty text, which is scored like any other; without
 labelled rows, or with one class only, every score is that class's share (0.5 if none); repeated rows
@@ -101,10 +101,12 @@ def sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("double").alias("y")).where("doc_id is not null and y is not null")
     known = known.where(crc % 4 != 2).groupBy("doc_id").agg(F.avg("y").alias("y"))
-    chosen = by_hash(known, "doc_id", bound, labels.count())  # at most ``bound`` rows of 16 bytes
+    chosen = by_hash(known, "doc_id", bound, known.count())  # at most ``bound`` rows of 16 bytes
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
-    return texts.join(F.broadcast(chosen), "doc_id").select("text", "y", fold.alias("fold"))
+    own = texts.join(F.broadcast(chosen), "doc_id")
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")  # repeats of an id meet in part before they are shuffled
+    return own.groupBy("doc_id", "y").agg(first).select(F.col("first.text").alias("text"), "y", fold.alias("fold"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, features: int = FEATURES, ridge: float = RIDGE) -> Model:

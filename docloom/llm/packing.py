@@ -10,7 +10,8 @@ again.  All of it happens inside the task that reads the documents: no shuffle,
 memory is bounded by one group of rests and one document.
 
 Defined cases: a null or empty text is the closing id alone; a very long text becomes
-many full windows and one rest; ties go by position, so a task that runs again gives
+many full windows and one rest, runs of one character of any length included (where the
+library's matcher gives up, this subpackage's own codec gives the ids); ties go by position, so a task that runs again gives
 the same rows; repeated rows are packed as often as they occur; an empty table gives an
 empty result; other columns of the input are not read.
 """
@@ -89,6 +90,16 @@ def tokenizer(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+def ids_of(text: str, path: str) -> np.ndarray:
+    """The text's ids; the library's matcher gives up on very long white space, which the codec of ``bpe`` takes."""
+    try:
+        return tokenizer(path).encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        from .bpe import codec
+
+        return np.frombuffer(codec(path).encode(text), "<u4")
+
+
 class Packer:
     """Packs one task's documents, in the order in which they come."""
 
@@ -138,12 +149,11 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, g
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, packer = tokenizer(path), Packer(TaskContext.get().partitionId(), window, group_windows)
+        packer = Packer(TaskContext.get().partitionId(), window, group_windows)
 
         def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                ids = own.encode_to_numpy(text.as_py() or "", allowed_special="all")
-                yield from packer.add(doc_id, np.append(ids, np.uint32(CLOSING_ID)))
+                yield from packer.add(doc_id, np.append(ids_of(text.as_py() or "", path), np.uint32(CLOSING_ID)))
 
         def framed(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
             if columns := list(zip(*found)):

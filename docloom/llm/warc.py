@@ -5,10 +5,12 @@ a ``response``, the others are ``revisit`` records without a payload.  Records a
 text writer, whose line separator is the format's record terminator, so files can lie in
 any store that Spark reaches and a task that runs again replaces its own file.
 
-The reader takes whole files, of a bounded number of records each.  It checks each
+The reader takes whole files.  Those of the writer hold a bounded number of bytes: pages
+are written by classes of size, larger pages fewer to a file.  The reader checks each
 record's length, terminator and digest.  Where a check fails it searches for the next
 version line or gzip member that begins a valid record, goes on from there, and logs the bytes
-between as a quarantined gap.
+between as a quarantined gap.  A gzip member is fed to the engine in blocks, so its cost is its own
+length, and one that grows beyond ``MOST_MEMBER`` bytes fails its check.
 
 Defined cases: a null html is the empty payload; a null page_id is the smallest, and a
 null url is not written; rows that share a page_id and a payload are all responses if
@@ -30,7 +32,10 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-RECORDS_PER_FILE = 2000
+#: Bytes of a file at most, about, and records; a page larger than that has a file of its own.
+FILE_BYTES, RECORDS_PER_FILE = 128 << 20, 2000
+#: A gzip member's length at most once it is uncompressed, and the bytes that are fed to the engine at a time.
+MOST_MEMBER, FED = 1 << 30, 1 << 16
 #: Fixed values of the format.
 VERSION, TERMINATOR = "WARC/1.1", "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -53,12 +58,13 @@ def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     url = F.col("url").cast("string") if "url" in {c.lower() for c in pages.columns} else F.lit(None).cast("string")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html"))
+    size = [F.col("size_class")] if "size_class" in pages.columns else []
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html"), *size)
     own = own.withColumn("digest", base32_sha1(F.col("html").cast("binary")))
     groups = own.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.count("*").alias("copies"), F.max("page_id").alias("kept"))
     shared = scratch.table(groups.where("copies > 1 and kept is not null").select("digest", "kept"), "payloads")
     refers = F.when((F.col("page_id") < F.col("kept")) | F.col("page_id").isNull(), F.col("kept"))
-    return own.join(shared, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+    return own.join(shared, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"), *size)
 
 
 def record_text(least_date: str = "2024-01-01T00:00:00Z") -> Column:
@@ -87,10 +93,21 @@ def record_text(least_date: str = "2024-01-01T00:00:00Z") -> Column:
     )
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Writes a record for each page into archive files under the path."""
-    records = deduplicated(pages, least_bytes).select(record_text().alias("value"))
-    records.write.option("lineSep", TERMINATOR).option("maxRecordsPerFile", records_per_file).text(path)
+def write(pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
+    """Writes a record for each page into archive files under the path.
+
+    A class holds pages of up to a power of 16 times the bytes that ``records_per_file``
+    pages of a full file have each; it is written by itself, so that no file of many large pages arises.
+    """
+    least = max(1, file_bytes // records_per_file)
+    url = F.octet_length("url") if "url" in {c.lower() for c in pages.columns} else F.lit(0)
+    long = F.coalesce(F.octet_length("html"), F.lit(0)) + F.coalesce(url, F.lit(0))
+    size = F.ceil(F.log2(F.greatest(long / least, F.lit(1.0))) / 4).cast("int")
+    found = sorted(r[0] for r in pages.select(size.alias("size")).distinct().collect())  # a handful
+    records = deduplicated(pages.withColumn("size_class", size), least_bytes)
+    for k in found or [0]:
+        own = records.where(F.col("size_class") == k).select(record_text().alias("value"))
+        own.write.option("lineSep", TERMINATOR).option("maxRecordsPerFile", max(1, records_per_file >> 4 * k)).mode("append").text(path)
 
 
 @dataclass
@@ -152,14 +169,21 @@ def _plain(data: bytes, at: int) -> Record | None:
 
 def _member(data: bytes, at: int) -> list[Record] | None:
     """The records of the gzip member that begins there, if it and all of them pass."""
-    engine = zlib.decompressobj(31)
+    engine, fed, blocks, size = zlib.decompressobj(31), at, [], 0
     try:
-        inner = engine.decompress(memoryview(data)[at:])
+        while not engine.eof and (fed < len(data) or engine.unconsumed_tail):
+            rest = engine.unconsumed_tail
+            block = rest or data[fed : fed + FED]
+            fed += 0 if rest else len(block)
+            blocks.append(engine.decompress(block, 16 * FED))
+            size += len(blocks[-1])
+            if size > MOST_MEMBER:
+                return None
     except zlib.error:
         return None
     if not engine.eof:
         return None
-    end, out, k = len(data) - len(engine.unused_data), [], 0
+    inner, end, out, k = b"".join(blocks), fed - len(engine.unused_data), [], 0
     while k < len(inner):
         record = _plain(inner, k)
         if record is None:
@@ -216,6 +240,12 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
 
 
+def quarantine(records: DataFrame, path: str) -> DataFrame:
+    """Writes the gaps among read records (file, start, end) to a table of their own; returns the records without them."""
+    records.where("record_type is null").select("file", "start", "end").write.mode("append").parquet(path)
+    return records.where("record_type is not null")
+
+
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Writes archives of the pages into the shared folder and returns a row for each record read back; a gap is an error."""
     write(pages, where := scratch.path(pages.sparkSession, "warc"), least_bytes)

@@ -1,6 +1,7 @@
 """Personal data, quality rules, quality classifier and SimHash against brute force."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -58,7 +59,7 @@ def test_field_generalises():
     own, right = pii.field(), 0
     held_out = pii.examples(200, seed=77)
     for text, gold in held_out:
-        right += {s for a, b in pii.regions(text) for s in own.decode(pii.Region(text, a, b))} == gold
+        right += {s for a, b in pii.regions(text) for s in own.decode(text, a, b)} == gold
     assert right >= 190
 
 
@@ -71,31 +72,60 @@ def test_field_adds_what_greedy_patterns_lose():
         assert pii.mask(clean, pii.field()) == clean
 
 
-def test_decode_is_the_best_of_all_segmentations():
-    own, text = pii.field(), "a +1 555-010-2233 4111111111111111 b"
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 10**9))
+def test_decode_is_the_best_of_all_segmentations(seed):
+    own, r = pii.field(), random.Random(seed)
+    parts = ["+1 555-010-2233", "4111111111111111", "a@b.cd", "10.0.0.1", "(269) 555-3296", "12", "x", "4111.1111.1111.1111", "77@x.y", "1234.ab@c.de", "\n", "-", "3"]
+    text = "a " + r.choice(["", " "]).join(r.choice(parts) + r.choice(["", " ", " "]) for _ in range(r.randint(1, 5))) + " b"
     region = pii.Region(text)
+    memo = {}
 
     def best(end, y_after):
         if end == 0:
-            return 0.0 if y_after is None else own.w.get(f"->{y_after}", 0.0)
-        options = [(end - 1, "-", [])] + region.by_end.get(end, [])
-        return max(best(i, y) + sum(own.w.get(f, 0.0) for f in fs) + (own.w.get(f"{y}>{y_after}", 0.0) if y_after else 0.0) for i, y, fs in options)
+            return own.w.get(f"->{y_after}", 0.0)
+        if (end, y_after) not in memo:
+            options = [(end - 1, "-", [])] + region.by_end.get(end, [])
+            memo[end, y_after] = max(best(i, y) + sum(own.w.get(f, 0.0) for f in fs) + own.w.get(f"{y}>{y_after}", 0.0) for i, y, fs in options)
+        return memo[end, y_after]
 
     def score(spans):
-        e, total, after, path = len(region.symbols), 0.0, None, []
+        e, total, after = len(region.symbols), 0.0, "-"
         ends = {b: (a, k) for a, b, k in spans}
         while e > 0:
             b = region.symbols[e - 1][1]
             hit = next(((i, y, f) for i, y, f in region.by_end.get(e, []) if b in ends and ends[b] == (region.symbols[i][0], y)), (e - 1, "-", []))
-            total += sum(own.w.get(f, 0.0) for f in hit[2]) + (own.w.get(f"{hit[1]}>{after}", 0.0) if after else 0.0)
+            total += sum(own.w.get(f, 0.0) for f in hit[2]) + own.w.get(f"{hit[1]}>{after}", 0.0)
             after, e = hit[1], hit[0]
         return total + own.w.get(f"->{after}", 0.0)
 
-    assert score(own.decode(region)) == pytest.approx(best(len(region.symbols), None))
+    assert score(own.decode(text)) == pytest.approx(best(len(region.symbols), "-"))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sampled_from([" 12 ab", "1 ", "555-3296 (269) ", "word ", "@", "a.b", "+1 (2", "4111 1111 1111 1111, "]), st.integers(0, 3000))
+def test_what_stands_before_changes_no_later_span(filler, times):
+    own, tail = pii.field(), "call 555-123 4567, a@b.cd or +1 (269) 555-3296 4524132264652876 now"
+    wanted = {(a, b, k) for a, b, k in pii.all_spans(tail, pii.base_spans(tail), own)}
+    text = filler * times + "\n\n"
+    found = pii.all_spans(text + tail, pii.base_spans(text + tail), own)
+    assert {(a - len(text), b - len(text), k) for a, b, k in found if a >= len(text)} == wanted
+    near = filler * (times % 4) + "\n\n"  # no cut lies between spans, however long what stands before them is
+    again = [(a - len(near), b - len(near), k) for a, b, k in pii.all_spans(near + tail, pii.base_spans(near + tail), own) if a >= len(near)]
+    assert set(again) == wanted
+
+
+def test_spans_next_to_long_stretches():
+    own = pii.field()
+    for times in (0, 10, 660, 682, 719, 3000):
+        text = " 12 ab" * times + " 555-123 4567"
+        assert any(text[a:b] == "555-123 4567" for a, b, _ in pii.all_spans(text, pii.base_spans(text), own))
+    many = "(269) 555-3296 " * 5000
+    assert len(pii.all_spans(many, pii.base_spans(many), own)) == 5000
 
 
 def test_long_runs_take_linear_time():
-    for text in ("1" * 200_000, "a" * 200_000 + "@", "1 " * 30_000, "+1" + "(" * 100_000, "@" * 100_000):
+    for text in ("1" * 200_000, "a" * 200_000 + "@", "1 " * 200_000, "12-34 5" * 20_000, "(1" * 50_000, "+1" + "(" * 100_000, "@" * 100_000):
         pii.all_spans(text, pii.base_spans(text), pii.field())
 
 

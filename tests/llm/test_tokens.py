@@ -144,3 +144,14 @@ def test_parts_do_not_change_chunks(text, size):
     assert "".join(cut) == text and [c for p in cut for c in bpe.CHUNK.findall(p)] == bpe.CHUNK.findall(text)
     cut = list(bpe.parts(text, token_counts.EDGE, size))
     assert "".join(cut) == text and [c for p in cut for c in token_counts.PRETOKEN.findall(p)] == token_counts.PRETOKEN.findall(text)
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\xa0", "a", "!"])
+def test_long_runs_pack_as_the_library_has_them(spark, library, run):
+    texts = ["word" + run * 2_000_000 + " end"]
+    pieces = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for i, text in enumerate(texts):
+        ids = np.array([*ids_of(library, text), packing.CLOSING_ID], "<u4")
+        own = sorted((p["start"], p["length"], p["ids_crc32"]) for p in pieces if p["doc_id"] == i)
+        assert sum(n for _, n, _ in own) == len(ids) == next(p["doc_tokens"] for p in pieces if p["doc_id"] == i)
+        assert all(zlib.crc32(ids[a : a + n].tobytes()) == crc for a, n, crc in own)
