@@ -1,24 +1,30 @@
 """Quality rules: fixed limits, then robust multivariate outliers per language and source.
 
 Statistics of every whole text are built-in expressions.  Texts that pass the fixed limits
-give a transformed statistic vector; per language and source a minimum-covariance-
-determinant estimate is found by concentration steps (distances, the nearest three
-quarters, their mean and covariance, and again), and a vector whose squared Mahalanobis
-distance is over the cutoff is rejected.  Each step is a grouped sum with partial
-aggregation, so a source with a third of all rows costs no single task more than its
-share; estimates meet rows by a salted join.  There is no Python on the path.
+give a transformed statistic vector.  Per language and source the minimum-covariance-
+determinant estimate is searched for as follows: several deterministic starts (the spreads
+of each component, the correlations of squashed components, the spatial signs) take two
+concentration steps each (distances, the nearest three quarters, their mean and covariance); the start of
+least determinant goes on until its determinant falls no more.  A vector whose squared
+Mahalanobis distance is over the cutoff is rejected.  Each step is a grouped sum with
+partial aggregation, so a source with a third of all rows costs no single task more than
+its share; estimates meet rows by a salted join.  There is no Python on the path.
 
-A group of fewer than ``MIN_GROUP`` rows joins the pool of its language's small groups; a
-pool that is still smaller rejects nobody.
+The nearest three quarters are found by approximate percentiles, whose rank is off by a
+ten-thousandth of the rows at most.
+
+A group of fewer than ``MIN_GROUP`` rows has no estimate of its own: its rows are judged by
+the estimate of their whole language, or of all rows where the language has too few.
 
 Defined cases: a null or wordless text has zeros and fails the limits; null languages and
-sources are groups like others; repeated rows count each; an empty table gives an empty
-result; other columns of the input are not read.
+sources are groups like others; repeated rows count each; with few rows in all, the
+estimate of all rows judges, whatever their number (the least spreads bound it); an empty
+table gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -26,8 +32,11 @@ from . import scratch
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-MIN_GROUP, CORE, STEPS, SALTS = 30, 0.75, 3, 32
-#: Squared distance beyond which a text is rejected: far out of any tail that whole, clean texts have.
+MIN_GROUP, CORE, SALTS = 30, 0.75, 32
+#: Concentration steps of each start, and the fall of a logarithmic determinant that counts as none.
+FIRST_STEPS, NO_FALL = 2, 1e-4
+#: Squared distance beyond which a text is rejected.  By Chebyshev's inequality at most five components in a hundred,
+#: 5 %, of any distribution with the estimated mean and covariance lie beyond; clean texts, however long their tails, far fewer.
 CUTOFF = 100.0
 #: Least standard deviation of each component, so that a group of like texts does not reject small differences.
 FLOORS = {"v0": 0.3, "v1": 0.08, "v2": 0.15, "v3": 0.15, "v4": 0.15}
@@ -53,13 +62,14 @@ def statistics(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     names = {x.lower() for x in docs.columns}
     own = [F.col(c).cast("string").alias(c) if c in names else F.lit(None).cast("string").alias(c) for c in ("lang", "source")]
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *own, text.alias("text"))
+    row = F.col("row") if "row" in names else F.lit(None).cast("long")
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *own, text.alias("text"), row.alias("row"))
     df = df.withColumn("words", F.array_remove(F.split("text", "[ \\t-\\r]+"), ""))
     df = df.withColumn("lines", F.filter(F.split("text", "\\n"), lambda x: x.rlike("[^ \\t-\\r]")))
     df = df.withColumn("hashes", _window_hashes(F.col("words")))
     word = F.col("words")
     df = df.select(
-        "doc_id", "lang", "source", "hashes",
+        "doc_id", "lang", "source", "row", "hashes",
         F.size(word).cast("long").alias("n_words"),
         F.length(F.array_join(word, "")).cast("long").alias("word_chars"),
         (F.octet_length("text") - F.octet_length(_without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
@@ -92,15 +102,15 @@ def _pair(i: int, j: int) -> str:
     return f"c{i}{j}"
 
 
-def _salted(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Rows with their group's estimate; a hot group's rows are spread over salts."""
+def _salted(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with their pool's estimates; a hot pool's rows are spread over salts."""
     copies = estimates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.join(copies, ["pool", "salt"], "left")
+    return rows.join(copies, ["pool", "salt"], how)
 
 
-def _distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+def _distances(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFrame:
     """Adds ``d2``, the squared Mahalanobis distance, by forward substitution in the Cholesky factor."""
-    df = _salted(rows, estimates)
+    df = _salted(rows, estimates, how)
     for i, v in enumerate(V):
         rest = F.col(v) - F.col(f"m{i}")
         for j in range(i):
@@ -110,53 +120,126 @@ def _distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
 
 
 def _factored(moments: DataFrame) -> DataFrame:
-    """Means and the Cholesky factor l of the covariance c, whose diagonal gets the least variances."""
+    """Means and the Cholesky factor l of the covariance c, whose diagonal gets the least variances, and its logarithmic determinant."""
     df = moments
     for j, v in enumerate(V):
         square = F.col(_pair(j, j)) + FLOORS[v] ** 2 - sum((F.col(f"l{j}{k}") ** 2 for k in range(j)), F.lit(0.0))
         df = df.withColumn(f"l{j}{j}", F.sqrt(F.greatest(square, F.lit(FLOORS[v] ** 2 / 4))))
         df = df.withColumns({f"l{i}{j}": (F.col(_pair(j, i)) - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l{j}{j}") for i in range(j + 1, len(V))})
+    df = df.withColumn("logdet", 2 * sum((F.log(F.col(f"l{j}{j}")) for j in range(1, len(V))), F.log("l00")))
     return df.drop(*[_pair(i, j) for i in range(len(V)) for j in range(i, len(V))])
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """One row for each pool that is large enough: mean, factor and scale of its concentrated core."""
-    rows = rows.where("v0 is not null")
+PAIRS = [(i, j) for i in range(len(V)) for j in range(i, len(V))]
+
+
+def _starts(points: DataFrame) -> DataFrame:
+    """Three deterministic estimates for each pool, about the medians."""
     quartiles = [F.percentile_approx(v, [0.25, 0.5, 0.75], 10_000).alias(f"q{i}") for i, v in enumerate(V)]
-    start = rows.groupBy("pool").agg(F.count("*").alias("rows"), *quartiles).where(F.col("rows") >= MIN_GROUP)
-    start = start.select("pool", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(len(V))], *[
-        (F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[v])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, v in enumerate(V) for j in range(i + 1)
+    spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[v])).alias(f"s{i}") for i, v in enumerate(V)]
+    middle = points.groupBy("pool").agg(*quartiles).select("pool", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(len(V))], *spread)
+    middle = scratch.table(middle, "middle")
+    scaled = _salted(points, middle).select("pool", *[((F.col(v) - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i, v in enumerate(V)])
+    squashed, norm = [F.tanh(f"z{i}") for i in range(len(V))], F.sqrt(sum((F.col(f"z{i}") ** 2 for i in range(1, len(V))), F.col("z0") ** 2))
+    signs = [F.col(f"z{i}") / F.greatest(norm, F.lit(1e-9)) for i in range(len(V))]
+    kinds = {"squashed": squashed, "signs": signs}
+    sums = [F.avg(c[i] * c[j]).alias(f"{k}{i}{j}") for k, c in kinds.items() for i, j in PAIRS] + [F.avg(c).alias(f"squashed{i}") for i, c in enumerate(squashed)]
+    shapes = scratch.table(scaled.groupBy("pool").agg(*sums).join(middle, "pool"), "shapes")
+
+    def product(kind: str, i: int, j: int) -> Column:
+        return F.col(f"{kind}{i}{j}") - (F.col(f"squashed{i}") * F.col(f"squashed{j}") if kind == "squashed" else F.lit(0.0))
+
+    def covariance(kind: str, i: int, j: int) -> Column:
+        both = F.col(f"s{i}") * F.col(f"s{j}")
+        if i == j or kind == "spreads":
+            return both if i == j else F.lit(0.0)
+        size = F.sqrt(product(kind, i, i) * product(kind, j, j))
+        return both * F.when(size > 1e-12, product(kind, i, j) / size).otherwise(0.0)
+
+    own = [shapes.select("pool", F.lit(k).alias("start"), *[f"m{i}" for i in range(len(V))], *[covariance(k, i, j).alias(_pair(i, j)) for i, j in PAIRS]) for k in ("spreads", *kinds)]
+    return scratch.table(_factored(own[0].unionByName(own[1]).unionByName(own[2])), "starts")
+
+
+def _concentrate(points: DataFrame, now: DataFrame) -> DataFrame:
+    """One concentration step of every estimate."""
+    far = _distances(points, now)
+    limits = far.groupBy("pool", "start").agg(F.percentile_approx("d2", CORE, 10_000).alias("limit"))
+    limited = scratch.table(now.drop("logdet").join(limits, ["pool", "start"]), "limit")
+    core = _distances(points, limited).where("d2 <= limit")
+    shifted = [F.col(v) - F.col(f"m{i}") for i, v in enumerate(V)]  # about the last centre, for exact sums
+    sums = [F.avg(shifted[i]).alias(f"s{i}") for i in range(len(V))]
+    products = [F.avg(shifted[i] * shifted[j]).alias(_pair(i, j)) for i, j in PAIRS]
+    centre = [F.first(f"m{i}").alias(f"o{i}") for i in range(len(V))]
+    moments = core.groupBy("pool", "start").agg(*sums, *products, *centre)
+    moments = moments.select("pool", "start", *[(F.col(f"o{i}") + F.col(f"s{i}")).alias(f"m{i}") for i in range(len(V))], *[
+        (F.col(_pair(i, j)) - F.col(f"s{i}") * F.col(f"s{j}")).alias(_pair(i, j)) for i, j in PAIRS
     ])
-    now = scratch.table(start, "estimate")
-    for _ in range(STEPS):
-        far = _distances(rows, now).where("d2 is not null")
-        limit = scratch.table(now.join(far.groupBy("pool").agg(F.percentile_approx("d2", CORE, 10_000).alias("limit")), "pool"), "limit")
-        core = _distances(rows, limit).where("d2 <= limit")
-        shifted = [F.col(v) - F.col(f"m{i}") for i, v in enumerate(V)]  # about the last centre, for exact sums
-        sums = [F.avg(shifted[i]).alias(f"s{i}") for i in range(len(V))]
-        products = [F.avg(shifted[i] * shifted[j]).alias(_pair(i, j)) for i in range(len(V)) for j in range(i, len(V))]
-        centre = [F.first(f"m{i}").alias(f"o{i}") for i in range(len(V))]
-        moments = core.groupBy("pool").agg(*sums, *products, *centre)
-        moments = moments.select("pool", *[(F.col(f"o{i}") + F.col(f"s{i}")).alias(f"m{i}") for i in range(len(V))], *[
-            (F.col(_pair(i, j)) - F.col(f"s{i}") * F.col(f"s{j}")).alias(_pair(i, j)) for i in range(len(V)) for j in range(i, len(V))
-        ])
-        now = scratch.table(_factored(moments), "estimate")
-    middle = _distances(rows, now).where("d2 is not null").groupBy("pool").agg(F.percentile_approx("d2", 0.5, 10_000).alias("middle"))
-    return scratch.table(now.join(middle, "pool").withColumn("scale", F.greatest(F.col("middle") / CHI2_MEDIAN, F.lit(1.0))).drop("middle"), "estimate")
+    return scratch.table(_factored(moments), "estimate")
+
+
+def estimates(points: DataFrame) -> DataFrame:
+    """(pool, salt, v0 .. v4) to one row for each pool: mean, factor, determinant and scale of its concentrated core."""
+    now = _starts(points)
+    for _ in range(FIRST_STEPS):
+        now = _concentrate(points, now)
+    columns = now.columns
+    least = now.groupBy("pool").agg(F.min(F.struct("logdet", "start", *[c for c in columns if c not in ("pool", "start", "logdet")])).alias("best"))
+    now, settled = scratch.table(least.select("pool", "best.*").select(columns), "estimate"), []
+    while True:  # each turn's determinants fall, or the pool is settled
+        new = _concentrate(points, now)
+        before = now.select("pool", F.struct(*columns).alias("old"), F.col("logdet").alias("at"))
+        both = new.select("pool", F.struct(*columns).alias("new"), F.col("logdet").alias("to")).join(before, "pool")
+        falls = F.col("to") < F.col("at") - NO_FALL
+        settled.append(both.where(~falls).select(F.when(F.col("to") < F.col("at"), F.col("new")).otherwise(F.col("old")).alias("e")).select("e.*"))
+        now = scratch.table(both.where(falls).select("new.*"), "estimate")
+        if now.isEmpty():
+            break
+    found = settled[0]
+    for more in settled[1:]:
+        found = found.unionByName(more)
+    found = scratch.table(found, "settled")
+    middle = _distances(points, found).groupBy("pool").agg(F.percentile_approx("d2", 0.5, 10_000).alias("middle"))
+    scale = F.greatest(F.col("middle") / CHI2_MEDIAN, F.lit(1.0)).alias("scale")
+    return scratch.table(found.join(middle, "pool").select(*columns, scale), "estimates")
+
+
+def pools(rows: DataFrame) -> DataFrame:
+    """(lang, source) to ``pool``, whose estimate judges the group, and ``feeds``, the pools that its rows take part in."""
+    named = lambda kind, *c: F.concat(F.lit(f"{kind}:"), F.to_json(F.struct(*c), {"ignoreNullFields": "false"}))
+    sizes = rows.where("v0 is not null").groupBy("lang", "source").agg(F.count("*").alias("size"))
+    sizes = sizes.withColumn("language_size", F.sum("size").over(Window.partitionBy("lang")))
+    pool = F.when(F.col("size") >= MIN_GROUP, named("source", "lang", "source")).when(F.col("language_size") >= MIN_GROUP, named("language", "lang"))
+    groups = scratch.table(sizes.withColumn("pool", F.coalesce(pool, F.lit("all"))), "groups")
+    anywhere = not groups.where("pool = 'all'").isEmpty()
+    borrowed = F.max(F.col("pool").startswith("language:")).over(Window.partitionBy("lang"))
+    feeds = [F.when(F.col("size") >= MIN_GROUP, F.col("pool")), F.when(borrowed, named("language", "lang")), F.lit("all" if anywhere else None).cast("string")]
+    return groups.select(named("name", "lang", "source").alias("name"), "pool", F.array_compact(F.array(*feeds)).alias("feeds"))
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """Counts of each text, base_failed, kept, and the scaled squared distance (null where there is none)."""
+    return _judged(docs, cutoff).drop("row")
+
+
+def kept_rows(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of the documents that are kept, each by its own verdict, whatever its id.
+
+    They are written with a key of their own first, which stays the same when a task runs again.
+    """
+    rows = scratch.table(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    kept = _judged(rows, cutoff).where("kept").select("row")
+    return rows.join(kept, "row", "left_semi").select(docs.columns)
+
+
+def _judged(docs: DataFrame, cutoff: float) -> DataFrame:
     rows = vectors(statistics(docs))
     key = F.xxhash64("doc_id", "n_words", "word_chars")
     rows = scratch.table(rows.withColumn("salt", F.pmod(key, F.lit(SALTS)).cast("int")), "rule_rows")
-    sizes = rows.where("v0 is not null").groupBy("lang", "source").agg(F.count("*").alias("size"))
-    # null-safe keys: a null name differs from every other
-    named = F.to_json(F.struct("lang", "source"))
-    small = F.to_json(F.struct("lang"))
-    pools = sizes.select(named.alias("name"), F.when(F.col("size") >= MIN_GROUP, named).otherwise(small).alias("pool"))
-    copies = pools.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = scratch.table(rows.withColumn("name", named).join(copies, ["name", "salt"], "left").drop("name"), "pooled_rows")
-    judged = _distances(rows, estimates(rows)).withColumn("distance", F.col("d2") / F.col("scale"))
+    name = F.concat(F.lit("name:"), F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"}))
+    copies = pools(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = scratch.table(rows.withColumn("name", name).join(copies, ["name", "salt"], "left").drop("name"), "pooled_rows")
+    points = rows.where("v0 is not null").select(F.explode("feeds").alias("pool"), "salt", *V)
+    judged = _distances(rows, estimates(points), "left").withColumn("distance", F.col("d2") / F.col("scale"))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
+    own = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return judged.select("row", *own, kept.alias("kept"), "distance")

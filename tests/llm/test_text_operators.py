@@ -148,7 +148,7 @@ def test_rule_counts(docs, no_docs):
         r = rows[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, lines, repeats)
         assert r["base_failed"] == (n < 10 or 100 * repeats > 20 * n)
-        assert r["kept"] == (not r["base_failed"])  # too few rows for any pool to judge
+        assert not (r["kept"] and r["base_failed"]) and (r["distance"] is None) == r["base_failed"]
     assert rules.judge(docs).count() == docs.count() and rules.judge(no_docs).count() == 0
 
 
@@ -185,9 +185,90 @@ def test_distances_are_mahalanobis(spark):
         assert got[i] == pytest.approx((v - mean) @ inverse @ (v - mean))
 
 
+def plain_core(x, centre, cov, steps=60):
+    """Concentration steps in NumPy from one start, to a fixed core."""
+    floor, h = np.diag([f**2 for f in rules.FLOORS.values()]), int(np.ceil(rules.CORE * len(x)))
+    last = None
+    for _ in range(steps):
+        d = x - centre
+        near = np.argsort(np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d), kind="stable")[:h]
+        centre, cov = x[near].mean(axis=0), np.cov(x[near].T, bias=True) + floor
+        if last is not None and set(near) == last:
+            break
+        last = set(near)
+    return np.linalg.slogdet(cov)[1], centre
+
+
+def test_estimates_reach_the_least_determinant_of_many_starts(spark):
+    rng = np.random.default_rng(8)
+    clouds = {}
+    for k, (n, wrong) in enumerate([(120, 0), (160, 30), (200, 45), (90, 20)]):
+        x = rng.normal(size=(n, 5)) @ rng.normal(size=(5, 5))
+        x[:wrong] = x[:wrong] * 0.2 + 8 + 2 * k  # a tight cloud of outliers that would pull a plain mean
+        clouds[f"p{k}"] = x
+    rows = [(p, i % rules.SALTS, *map(float, v)) for p, x in clouds.items() for i, v in enumerate(x)]
+    found = {r["pool"]: r for r in rules.estimates(spark.createDataFrame(rows, ["pool", "salt", *rules.V])).collect()}
+    assert set(found) == set(clouds)
+    for p, x in clouds.items():
+        starts = [rng.choice(len(x), 8, replace=False) for _ in range(100)]
+        best = min((plain_core(x, x[s].mean(axis=0), np.cov(x[s].T) + 0.1 * np.eye(5)) for s in starts), key=lambda b: b[0])
+        assert found[p]["logdet"] <= best[0] + 0.05
+        assert [found[p][f"m{i}"] for i in range(5)] == pytest.approx(best[1].tolist(), abs=0.5)
+
+
+def test_small_and_null_groups_are_judged_by_what_holds_them(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(2000)]
+    text = lambda: " ".join(rng.choice(words, rng.integers(60, 200)))
+    odd = " ".join(w + "%%%" for w in words[:150])
+    rows = [(i, text(), "en", None) for i in range(100)]  # a large group without a source
+    rows += [(1000 + i, text() if i else odd, "en", "rare") for i in range(4)] + [(2000, odd, "xx", "alone"), (2001, text(), "yy", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    names = {r["name"]: r for r in rules.pools(rules.vectors(rules.statistics(docs))).collect()}
+    assert names['name:{"lang":"en","source":null}']["pool"] == 'source:{"lang":"en","source":null}'
+    assert names['name:{"lang":"en","source":"rare"}']["pool"] == 'language:{"lang":"en"}' and names['name:{"lang":"xx","source":"alone"}']["pool"] == "all"
+    assert set(names['name:{"lang":"en","source":null}']["feeds"]) == {'source:{"lang":"en","source":null}', 'language:{"lang":"en"}', "all"}
+    kept = {r["doc_id"]: r["kept"] for r in rules.judge(docs).collect()}
+    assert not kept[1000] and not kept[2000] and all(kept[i] for i in (1001, 1002, 1003, 2001)) and all(kept[i] for i in range(100))
+
+
+def test_each_row_meets_its_own_verdict(spark):
+    good = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, good, "en", "s"), (1, "too short", "en", "s"), (None, good, None, None), (None, "no", None, None)], "doc_id long, text string, lang string, source string")
+    assert {(r["doc_id"], r["text"]) for r in rules.kept_rows(docs).collect()} == {(1, good), (None, good)}
+
+
 # --- quality classifier ---
 
 
+def test_the_fit_is_the_ridge_of_a_plain_solve(spark):
+    rng = np.random.default_rng(6)
+    texts = [(i, " ".join(rng.choice(["alpha", "Beta", "gamma!", "12", "delta."], int(rng.integers(5, 60)))), int(rng.integers(0, 2))) for i in range(300)]
+    d = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string").repartition(5)
+    model = classifier.fit(d, spark.createDataFrame([(i, q) for i, _, q in texts], "doc_id long, quality int"))
+    rows = classifier.sample(d, spark.createDataFrame([(i, q) for i, _, q in texts], "doc_id long, quality int"), 1000).collect()
+    x, y = np.array([classifier.statistics(r["text"]) for r in rows]), np.array([r["y"] for r in rows])
+    assert model.mean == pytest.approx(x.mean(axis=0)) and model.scale == pytest.approx(np.maximum(x.std(axis=0), 1e-6))
+    learnt = np.array([r["fold"] != classifier.FOLDS - 1 for r in rows])
+    z = model.waves(x[learnt])
+    plain = np.linalg.solve(z.T @ z + classifier.RIDGE * len(x) * np.eye(z.shape[1]) / (z.shape[1] - 1), z.T @ y[learnt])
+    assert model.weights == pytest.approx(plain, abs=1e-6)
+    knots, values = classifier.isotonic(model.waves(x[~learnt]) @ plain, y[~learnt])
+    assert np.allclose(model.steps[0], knots, atol=1e-6) and np.allclose(model.steps[1], values)
+
+
+def test_the_sample_is_bounded_by_rows_and_not_thinned_by_repeats(spark):
+    ids = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    labels = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    repeated = labels.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(20)))).drop("k")
+    assert classifier.sample(ids, repeated, 500).count() == classifier.sample(ids, labels, 500).count() == 500
+    many = ids.where("doc_id < 50").withColumn("text", F.explode(F.transform(F.sequence(F.lit(1), F.lit(300)), lambda k: k.cast("string"))))
+    few = classifier.sample(many, labels, 500)
+    assert few.count() <= 50
+
+
+
+
 def test_classifier(spark, docs, no_docs):
     rng = np.random.default_rng(0)
     words = ["alpha", "beta", "gamma", "delta", "river", "stone", "cloud", "green", "house"]
