@@ -15,15 +15,9 @@ from docloom.llm import classifier, packing, pii, rules, scratch, similar
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is among ids; rows that share a doc_id, a null one too, share their fate."""
-    ids = ids.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(COLUMNS)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the limits or are outliers of their language and source go."""
-    return _with_ids(docs, rules.judge(docs).where("kept"))
+    return rules.kept_rows(docs).select(COLUMNS)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
