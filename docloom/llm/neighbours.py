@@ -1,15 +1,23 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
 Vectors are halved and each half is quantised by its own codebook, fitted on a bounded
-sample; every row is filed under its pair of codes.  A query goes through pairs in the order
-of summed nearness (a heap over the two sorted code lists) until the cells that it has met
-hold enough rows.  Cells are then searched as blocks: the queries that chose a cell meet
-its rows as two matrices, each block keeps a query's best rows, and a final grouping
-keeps the best of all blocks, ranked on the original vectors in double precision.
+sample; every row is filed under its pair of codes, and cells are gathered to shards of
+bounded size (a large cell has several of its own).  Queries meet rows in two rounds.  In the
+first, a query goes through pairs in the order of summed nearness (a heap over the two
+sorted code lists) until their cells hold ``FIRST`` rows; the k-th best score among those
+is a bound that its neighbours must reach.  In the second it goes through the pairs again, in the
+order of what their rows may score at most: a centroid's inner product and ``reach`` times
+the spread of the rows around it; it stops where that falls below its bound.  So a query
+among near vectors meets a few cells, and one without near vectors meets as many as it must.
 
-A cell with many rows is dealt to blocks of bounded size, so a vector with any number of
-copies is no task's burden.  What is broadcast is the two codebooks and the cells' row
-counts: at most ``MAX_CODES`` squared numbers.
+``reach`` is measured, on all rows: a bounded number of held queries is searched exactly,
+and the reach is chosen that finds the share ``RECALL`` of their true neighbours.  With
+``recall=1`` the search is exact: every query meets every row.
+
+A shard meets its queries in blocks of bounded size, ranked on the original vectors in
+double precision.  Only queries are sent to shards; a shard is copied once for each
+``SHARD_QUERIES`` queries that ask for it.  What is broadcast is the codebooks and a row for
+each cell: at most ``MAX_CODES`` squared.
 
 Defined cases: vectors that are null, zero, of another length than the first, or that
 hold null or non-finite components take no part; ties go to the smaller vec_id; repeated
@@ -21,6 +29,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,13 +40,12 @@ from . import scratch
 from .sampling import by_hash
 
 NEIGHBOURS, QUERY_EVERY = 20, 20
-#: Rows that codebooks are fitted on at most.
-SAMPLE, SEED = 20_000, 5
+#: Rows that codebooks are fitted on, and queries that the reach is measured with, at most; the share of their neighbours to be found.
+SAMPLE, HELD, RECALL, SEED = 20_000, 64, 0.97, 5
 #: Codes of a half, at least and at most, and rows of a cell on average.
 LEAST_CODES, MAX_CODES, CELL_ROWS = 6, 256, 256
-#: Rows and queries that meet in one block, and what a query meets at least: a share of all rows, or so many.
-#: Vectors without structure need such a share: their nearest neighbours are hardly nearer than others.
-SHARD_ROWS, SHARD_QUERIES, SHARE, LEAST_MET = 4096, 8192, 0.75, 4000
+#: Rows that a query's first round goes through, rows of a shard, queries of a block, and queries multiplied at a time.
+FIRST, SHARD_ROWS, SHARD_QUERIES, AT_ONCE = 2048, 4096, 8192, 512
 
 
 def taking_part(vectors: DataFrame) -> DataFrame:
@@ -63,14 +71,51 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres**2).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
 
 
-def visited(first: np.ndarray, second: np.ndarray, rows: np.ndarray, enough: int) -> list[int]:
-    """Non-empty cells by falling summed nearness of their two codes, until they hold enough rows.
+@dataclass
+class Index:
+    """Codebooks, spreads and shards: small enough to travel with each task."""
+
+    books: tuple[np.ndarray, np.ndarray]
+    spreads: tuple[np.ndarray, np.ndarray]
+    rows: np.ndarray  # of each cell
+    base: np.ndarray  # a cell's first shard
+    parts: np.ndarray  # how many shards a cell has
+    reach: float = float("inf")
+
+    @property
+    def half(self) -> int:
+        return self.books[0].shape[1]
+
+    def near(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.books[0] @ v[: self.half], self.books[1] @ v[self.half :]
+
+    def most(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What rows of each code may score at most, by the reach."""
+        halves = v[: self.half], v[self.half :]
+        return tuple(n + self.reach * np.linalg.norm(h) * s for n, h, s in zip(self.near(v), halves, self.spreads))
+
+    def first(self, v: np.ndarray) -> np.ndarray:
+        """Shards of the first round; one of each large cell is enough."""
+        return np.unique(self.base[visited(*self.near(v), self.rows, FIRST)])
+
+    def rest(self, v: np.ndarray, bound: float) -> np.ndarray:
+        """All other shards that may hold a row that scores the bound."""
+        if np.isfinite(bound) and np.isfinite(self.reach):
+            cells = visited(*self.most(v), self.rows, int(self.rows.sum()), bound)
+        else:
+            cells = np.flatnonzero(self.rows)
+        own = [np.arange(self.base[c], self.base[c] + self.parts[c]) for c in cells]
+        return np.setdiff1d(np.concatenate(own), self.first(v)) if own else np.zeros(0, int)
+
+
+def visited(first: np.ndarray, second: np.ndarray, rows: np.ndarray, enough: int, least: float = -np.inf) -> list[int]:
+    """Non-empty cells by falling sums of their two codes' values, until they hold enough rows or the sum is under the least.
 
     A pair is reached from the pairs before it in either list, so the heap holds a frontier.
     """
     a, b, k = np.argsort(-first, kind="stable"), np.argsort(-second, kind="stable"), len(second)
     heap, seen, met, cells = [(-(first[a[0]] + second[b[0]]), 0, 0)], {(0, 0)}, 0, []
-    while heap and met < enough:
+    while heap and met < enough and -heap[0][0] >= least:
         _, i, j = heapq.heappop(heap)
         cell = int(a[i]) * k + int(b[j])
         if rows[cell]:
@@ -88,78 +133,133 @@ def best_of_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
 
     Sums by row are alike for like rows, so that copies tie; those that might be among the best are all looked at.
     """
-    products = queries @ rows.T
-    for q, own, at in zip(queries, query_ids, products):
-        at[ids == own] = -np.inf
-        few = np.partition(at, len(at) - k)[len(at) - k] if len(at) > k else -np.inf
-        near = np.flatnonzero((at >= few - 1e-9 * (1 + abs(few))) & (at > -np.inf)) if few > -np.inf else np.flatnonzero(at > -np.inf)
-        scores = (rows[near] * q).sum(axis=1)
-        order = np.lexsort((ids[near], -scores))[:k]
-        yield int(own), ids[near][order], scores[order]
+    for start in range(0, len(queries), AT_ONCE):
+        some, own_ids = queries[start : start + AT_ONCE], query_ids[start : start + AT_ONCE]
+        for q, own, at in zip(some, own_ids, some @ rows.T):
+            at[ids == own] = -np.inf
+            few = np.partition(at, len(at) - k)[len(at) - k] if len(at) > k else -np.inf
+            near = np.flatnonzero((at >= few - 1e-9 * (1 + abs(few))) & (at > -np.inf)) if few > -np.inf else np.flatnonzero(at > -np.inf)
+            scores = (rows[near] * q).sum(axis=1)
+            order = np.lexsort((ids[near], -scores))[:k]
+            yield int(own), ids[near][order], scores[order]
+
+
+FOUND = "query_id long, vec_id long, score double"
+
+
+def _block(asked: pd.DataFrame, some: pd.DataFrame, k: int) -> pd.DataFrame:
+    out = []
+    if len(some) and len(asked):
+        rows, ids = np.stack(some["embedding"]), some["vec_id"].to_numpy()
+        for query_id, near, scores in best_of_block(np.stack(asked["query"]), asked["query_id"].to_numpy(), rows, ids, k):
+            out.append(pd.DataFrame({"query_id": query_id, "vec_id": near, "score": scores}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
 
+def _met(routed: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """(query_id, query, shards) and the filed rows to each query's k best rows of each shard."""
+    asked = routed.select("query_id", "query", F.explode("shards").alias("shard"))
+    blocks = asked.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_QUERIES).cast("int").alias("blocks"))
+    blocks = scratch.table(blocks, "blocks")  # its size is known when the joins are chosen
+    asked = asked.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
+    filed = index.join(blocks, "shard").select("vec_id", "embedding", F.col("shard").alias("at"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with_block"))
+    met = asked.select("query_id", "query", "shard", "block").groupBy("shard", "block").cogroup(filed.groupBy("at", "with_block"))
+    return met.applyInPandas(lambda a, s: _block(a, s, k), FOUND)
 
-def search(vectors: DataFrame, k: int = NEIGHBOURS, every: int = QUERY_EVERY, share: float = SHARE) -> DataFrame:
+
+def _reach(index: DataFrame, asks: DataFrame, own: Index, asked: int, k: int, recall: float) -> float:
+    """The reach that finds the share ``recall`` of the true neighbours of a bounded number of held queries, searched exactly over all rows."""
+    held = by_hash(asks, "vec_id", HELD, asked).toPandas()  # bounded
+    queries, query_ids = np.stack(held["embedding"]), held["vec_id"].to_numpy()
+
+    def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                ids, rows = f["vec_id"].to_numpy(), np.stack(f["embedding"])
+                cells = dict(zip(ids.tolist(), f["cell"].tolist()))
+                for q, near, scores in best_of_block(queries, query_ids, rows, ids, k):
+                    yield pd.DataFrame({"query_id": q, "vec_id": near, "score": scores, "cell": [cells[i] for i in near.tolist()]})
+
+    true = _best(index.mapInPandas(exact, f"{FOUND}, cell int"), k).select("query_id", "score", "cell").toPandas()  # k rows for each held query
+    needed = []
+    codes = len(own.books[1])
+    for query_id, v in zip(query_ids, queries):
+        mine = true[true["query_id"] == query_id]
+        (first, second), halves = own.near(v), (v[: own.half], v[own.half :])
+        a, b = mine["cell"].to_numpy() // codes, mine["cell"].to_numpy() % codes
+        spread = np.linalg.norm(halves[0]) * own.spreads[0][a] + np.linalg.norm(halves[1]) * own.spreads[1][b]
+        needed += ((mine["score"].min() - first[a] - second[b]) / np.maximum(spread, 1e-12)).tolist()
+    return max(0.0, float(np.quantile(needed, recall, method="higher"))) if needed else float("inf")
+
+
+def _shards(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each cell's first shard and number of shards; small cells in order are gathered to one."""
+    base, parts, shard, held = np.zeros(len(rows), np.int64), np.ones(len(rows), np.int64), 0, 0
+    for cell in np.flatnonzero(rows):
+        n = int(rows[cell])
+        if held and held + n > SHARD_ROWS:
+            shard, held = shard + 1, 0
+        base[cell], parts[cell] = shard, -(-n // SHARD_ROWS)
+        shard, held = shard + int(parts[cell]) - 1, held + n if n <= SHARD_ROWS else SHARD_ROWS
+    return base, parts
+
+
+def search(vectors: DataFrame, k: int = NEIGHBOURS, every: int = QUERY_EVERY, recall: float = RECALL) -> DataFrame:
     """(vec_id, embedding) to (query_id, rank, vec_id, score) for queries whose vec_id is divisible by ``every``."""
     spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
     usable = scratch.table(taking_part(vectors), "vectors")
     total, asked = usable.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
     if not asked:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = by_hash(usable, "vec_id", SAMPLE, total).toPandas()  # bounded
     x = np.stack(sample["embedding"])
     half, rng = x.shape[1] // 2, np.random.default_rng(SEED)
     codes = min(len(x), max(LEAST_CODES, min(MAX_CODES, round((total / CELL_ROWS) ** 0.5))))
-    books = k_means(x[:, :half], codes, rng), k_means(x[:, half:], codes, rng)
+    books, spreads = [], []
+    for part in (x[:, :half], x[:, half:]):
+        book = k_means(part, codes, rng)
+        code = nearest(part, book)
+        square = ((part - book[code]) ** 2).sum(axis=1) / max(1, part.shape[1])
+        n = np.bincount(code, minlength=codes)
+        # a code with few rows of the sample says little about its spread: the spread of all counts as one row more
+        books.append(book)
+        spreads.append(np.sqrt((np.bincount(code, square, codes) + square.mean()) / (n + 1)))
 
     def file(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             v = np.stack(f["embedding"]) if len(f) else np.zeros((0, x.shape[1]))
             yield f.assign(cell=nearest(v[:, :half], books[0]) * codes + nearest(v[:, half:], books[1]))
 
-    index = scratch.table(usable.mapInPandas(file, "vec_id long, embedding array<double>, cell int"), "index")
+    filed = scratch.table(usable.mapInPandas(file, "vec_id long, embedding array<double>, cell int"), "filed")
     rows = np.zeros(codes * codes, np.int64)
-    for cell, n in index.groupBy("cell").count().collect():  # at most MAX_CODES ** 2
+    for cell, n in filed.groupBy("cell").count().collect():  # at most MAX_CODES ** 2
         rows[cell] = n
-    shards, shard, held = [], 0, 0  # cells in order are gathered to shards; a large cell has shards of its own
-    for cell in np.flatnonzero(rows):
-        parts = -(-int(rows[cell]) // SHARD_ROWS)
-        if held and held + rows[cell] > SHARD_ROWS:
-            shard, held = shard + 1, 0
-        shards += [(int(cell), part, parts, shard + part) for part in range(parts)]
-        shard, held = shard + parts - 1, held + int(rows[cell]) if parts == 1 else SHARD_ROWS
-    where = F.broadcast(spark.createDataFrame(shards, "cell int, part int, parts int, shard int"))
-    chunks = -(-asked // SHARD_QUERIES)
-    enough = max(LEAST_MET, round(share * total))
+    own = Index((books[0], books[1]), (spreads[0], spreads[1]), rows, *_shards(rows))
+    asks = usable.where(F.col("vec_id") % every == 0)
+    if recall < 1:
+        own.reach = _reach(filed, asks, own, asked, k, recall)
+    cells = np.flatnonzero(rows)
+    where = spark.createDataFrame(list(zip(cells.tolist(), own.base[cells].tolist(), own.parts[cells].tolist())), "cell int, base long, parts long")
+    shard = F.col("base") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))
+    index = scratch.table(filed.join(F.broadcast(where), "cell").select("vec_id", "embedding", shard.alias("shard")), "index")  # a row for each cell: bounded
+    schema = "query_id long, query array<double>, shards array<long>"
 
-    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def begin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [visited(books[0] @ v[:half], books[1] @ v[half:], rows, enough) for v in f["embedding"]]
-            yield pd.DataFrame({"query_id": f["vec_id"], "cells": found})
+            yield pd.DataFrame({"query_id": f["vec_id"], "query": f["embedding"], "shards": [own.first(v) for v in f["embedding"]]})
 
-    asks = usable.where(F.col("vec_id") % every == 0)
-    routed = asks.mapInPandas(route, "query_id long, cells array<int>").select("query_id", F.explode("cells").alias("cell"))
-    routed = routed.join(where, "cell").groupBy("query_id", "shard").agg(F.collect_set("cell").alias("cells"))
-    routed = routed.join(asks.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
-    routed = routed.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
-    filed = index.join(where, "cell").where(F.col("part") == F.pmod(F.xxhash64("vec_id"), F.col("parts")))
-    filed = filed.select("vec_id", "embedding", "cell", F.col("shard").alias("at"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("with_chunk"))
-
-    def block(some: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(some) and len(asked):
-            v, ids, cells = np.stack(some["embedding"]), some["vec_id"].to_numpy(), some["cell"].to_numpy()
-            by_cells: dict[tuple, list[int]] = {}
-            for i, c in enumerate(asked["cells"]):
-                by_cells.setdefault(tuple(sorted(c)), []).append(i)
-            q, q_ids = np.stack(asked["query"]), asked["query_id"].to_numpy()
-            for chosen, own in by_cells.items():
-                into = np.isin(cells, chosen)
-                for query_id, near, scores in best_of_block(q[own], q_ids[own], v[into], ids[into], k) if into.any() else ():
-                    out.append(pd.DataFrame({"query_id": query_id, "vec_id": near, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    met = routed.groupBy("shard", "chunk").cogroup(filed.groupBy("at", "with_chunk"))
-    best = met.applyInPandas(lambda asked, some: block(some, asked), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def go_on(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"query_id": f["vec_id"], "query": f["embedding"], "shards": [own.rest(v, t) for v, t in zip(f["embedding"], f["bound"].fillna(-np.inf))]})
+
+    routed = scratch.table(asks.mapInPandas(begin, schema), "first_round")
+    near = scratch.table(_best(_met(routed, index, k), k).drop("rank"), "near")
+    bounds = near.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("bound"))
+    bounded = asks.join(bounds.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
+    routed = scratch.table(bounded.mapInPandas(go_on, schema), "second_round")
+    return _best(near.unionByName(_met(routed, index, k)), k).select("query_id", "rank", "vec_id", "score")

@@ -190,6 +190,30 @@ def test_neighbours_against_brute_force(spark):
     assert near_copies == list(range(3000, 3020))  # copies tie, and ties go to the smaller id
 
 
+def test_clustered_queries_meet_few_rows_and_exact_search_meets_all(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    near = centres[rng.integers(0, 40, 9000)] + 0.1 * rng.normal(size=(9000, 16))
+    x = np.vstack([near, rng.normal(size=(3000, 16))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    truth = {}
+    for q in range(0, 12000, 20):
+        scores = (x * x[q]).sum(axis=1)
+        scores[q] = -np.inf
+        truth[q] = np.lexsort((np.arange(len(x)), -scores))[:20].tolist()
+
+    def recall_of(rows):
+        got = {}
+        for r in rows:
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+        hits = {q: len({v for _, v in got[q]} & set(truth[q])) / 20 for q in truth}
+        return np.mean([h for q, h in hits.items() if q < 9000]), np.mean([h for q, h in hits.items() if q >= 9000])
+
+    assert min(recall_of(neighbours.search(df).collect())) >= 0.9
+    assert recall_of(neighbours.search(df, recall=1).collect()) == (1.0, 1.0)
+
+
 def test_few_and_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (20, [2.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.search(df).collect())
