@@ -11,6 +11,12 @@ Defined cases: a null text is the empty text; a text without words has fingerpri
 which links like any other; fewer words than a shingle give one shingle of all words;
 repeated rows share a fingerprint; an empty table gives an empty result; other columns
 of the input are not read.
+
+``first_of_each`` is the operator for texts of five-word shingles and a Jaccard similarity
+of 0.8 or more.  Fingerprints of that similarity differ in a seventh of their bits, more than any ball over
+a whole fingerprint can reach, so a longer fingerprint is cut into key blocks, each of
+which is ball-hashed by itself.  Colliding pairs are first held against the whole
+fingerprint and then verified on the exact shingle sets.  See there.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -117,3 +123,170 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     classes = scratch.table(rooted.join(named, "root").select("fp", "component_id"), "classes")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return prints.join(classes, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+# --- texts of a Jaccard similarity ---
+
+TEXT_SHINGLE, LEAST = 5, 0.8
+#: A long fingerprint's words of 64 bits, each of which gives two key blocks of so many bits, and the radius within a block.
+WORDS, BLOCK_BITS, BLOCK_RADIUS = 7, 28, 2
+#: Bits of the long fingerprint in which texts of the least similarity differ: a mean of 68 of 448, and four deviations more.
+MOST_BITS = 98
+#: Texts before it, in order, that a text of a key group is held against at first.
+LOOK_BACK = 3
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()  # of bytes, as in ``fingerprint``
+
+
+def shingle_set(words: list[bytes], shingle: int = TEXT_SHINGLE) -> np.ndarray:
+    """The distinct hashes (XXH64) of the shingles, in order."""
+    import xxhash
+
+    if not words:
+        return np.empty(0, np.uint64)
+    digest = partial(xxhash.xxh64_intdigest, seed=SEED)
+    joined = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter(map(digest, joined), np.uint64, max(1, len(words) - shingle + 1)))
+
+
+def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The majority bits of ``WORDS`` mixtures (splitmix64) of the hashes, as signed longs."""
+    ones = np.zeros((WORDS, 64), np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        for k in range(WORDS):
+            z = hashes[at : at + BLOCK] + _MIX[2] * np.uint64(k + 1)
+            z = (z ^ z >> np.uint64(30)) * _MIX[0]
+            z = (z ^ z >> np.uint64(27)) * _MIX[1]
+            z ^= z >> np.uint64(31)
+            ones[k] += np.unpackbits(z.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").view("<i8")[:, 0]
+
+
+def _marked(docs: DataFrame, shingle: int) -> DataFrame:
+    """The rows with ``row``, a key of their own, ``vertex``, a hash of their words, and ``prints``; written once, so that they stay."""
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vertices, prints = [], []
+            for text in batch["text"]:
+                words = words_of(text.as_py())
+                vertices.append(xxhash.xxh64_intdigest(b" ".join(words), seed=SEED))
+                prints.append(long_fingerprint(shingle_set(words, shingle)) if words else None)
+            own = [pa.array(np.array(vertices, np.uint64).view(np.int64)), pa.array(prints, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], [*batch.schema.names, "vertex", "prints"])
+
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    kinds = ", ".join(f"`{n}` {k}" for n, k in numbered.dtypes)
+    return scratch.table(numbered.mapInArrow(run, f"{kinds}, vertex long, prints array<long>"), "marked")
+
+
+def _keys() -> Column:
+    """Every variant of each key block of ``prints`` within half the radius, with the block's number in the high bits."""
+    low = (1 << BLOCK_BITS) - 1
+    masks = [sum(1 << b for b in bits) for d in range(BLOCK_RADIUS // 2 + 1) for bits in combinations(range(BLOCK_BITS), d)]
+    blocks = [F.get("prints", k).bitwiseAND(F.lit(low)).bitwiseOR(F.lit(2 * k << BLOCK_BITS)) for k in range(WORDS)]
+    blocks += [F.shiftright(F.get("prints", k), BLOCK_BITS).bitwiseAND(F.lit(low)).bitwiseOR(F.lit(2 * k + 1 << BLOCK_BITS)) for k in range(WORDS)]
+    return F.flatten(F.transform(F.array(*blocks), lambda b: F.transform(F.array(*map(F.lit, masks)), lambda m: b.bitwiseXOR(m))))
+
+
+def _differing(one: str, other: str) -> Column:
+    return sum((F.bit_count(F.get(one, k).bitwiseXOR(F.get(other, k))) for k in range(1, WORDS)), F.bit_count(F.get(one, 0).bitwiseXOR(F.get(other, 0))))
+
+
+def _close(found: DataFrame, vertices: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) whose whole fingerprints are near."""
+    prints = lambda v, p: vertices.select(F.col("vertex").alias(v), F.col("prints").alias(p))
+    pairs = found.distinct().join(prints("a", "p"), "a").join(prints("b", "q"), "b")
+    return pairs.where(_differing("p", "q") <= MOST_BITS).select("a", "b")
+
+
+def _verified(found: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs whose shingle sets have at least the Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            right = []
+            for one, other in zip(batch["one"], batch["other"]):
+                x, y = (shingle_set(words_of(t.as_py()), shingle) for t in (one, other))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                right.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(right, pa.bool_()))
+
+    one = texts.select(F.col("vertex").alias("a"), F.col("text").alias("one"))
+    other = texts.select(F.col("vertex").alias("b"), F.col("text").alias("other"))
+    return found.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
+
+
+def _across(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs that no links join yet."""
+    root = lambda v, r: roots.select(F.col("v").alias(v), F.col("root").alias(r))
+    pairs = found.join(root("a", "r"), "a", "left").join(root("b", "s"), "b", "left")
+    return pairs.where(F.coalesce("r", "a") != F.coalesce("s", "b")).select("a", "b")
+
+
+def text_links(rows: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``_marked`` to vertices (vertex, first) and (v, root), the components of the links between different texts.
+
+    1. One shuffle on variants.  In each key group, in the order of vertices, a text is
+       held against the first and the three before it, in a window that spills and is
+       never gathered; that is every pair of a group of up to four texts.
+    2. Of pairs whose whole fingerprints are near, each text's first is verified; then
+       those of the others that are not joined yet.
+    3. The exact way for larger groups: their texts are dealt out on variants again, and
+       in each group those of different components meet, all of them, where their whole
+       fingerprints are near.  Most groups have one component by then.
+
+    So links are lost by neither size nor order of a group, and no step makes all pairs of one.
+    """
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("first")
+    vertices = rows.groupBy("vertex").agg(F.min("row").alias("row"), first, F.min("prints").alias("prints"))
+    vertices = scratch.table(vertices, "vertices")
+    known = vertices.where("prints is not null").select("vertex", "prints")
+    # rows that are small now and many soon: dealt out first, as one small file would be one long task
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    balls = known.repartition(parts, "vertex").select("vertex", F.explode(_keys()).alias("key"))
+    order = Window.partitionBy("key").orderBy("vertex")
+    before = [F.lag("vertex", k).over(order) for k in range(1, LOOK_BACK + 1)]
+    met = balls.select("vertex", F.first("vertex").over(order).alias("head"), F.row_number().over(order).alias("at"), *[b.alias(f"b{k}") for k, b in enumerate(before)]).where("at > 1")
+    met = scratch.table(met.select(F.col("vertex").alias("b"), F.array_distinct(F.array_compact(F.array("head", *[f"b{k}" for k in range(LOOK_BACK)]))).alias("others"), (F.col("at") > LOOK_BACK + 1).alias("more")), "met")
+    found = scratch.table(_close(met.select(F.explode("others").alias("a"), "b"), known), "close")
+    ends = found.select(F.explode(F.array("a", "b")).alias("vertex"))
+    large = scratch.table(met.where("more").select(F.explode(F.array_append("others", F.col("b"))).alias("vertex")).distinct(), "large")
+    chosen = vertices.join(ends.unionByName(large).distinct(), "vertex", "left_semi").select("row")
+    texts = scratch.table(rows.join(chosen, "row", "left_semi").select("vertex", "text"), "texts")
+
+    links = scratch.table(_verified(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, shingle, least), "links")
+    roots = scratch.table(components(links), "roots")
+    links = scratch.table(links.unionByName(_verified(_across(found, roots), texts, shingle, least)), "links")
+    roots = scratch.table(components(links), "roots")
+
+    some = known.join(large, "vertex", "left_semi").join(roots.withColumnRenamed("v", "vertex"), "vertex", "left")
+    some = some.select("vertex", "prints", F.coalesce("root", "vertex").alias("root"))
+    keyed = some.repartition(parts, "vertex").select("vertex", "root", F.explode(_keys()).alias("key"))
+    mixed = scratch.table(keyed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key"), "mixed")
+    keyed = scratch.table(some.select("vertex", "prints", "root", F.explode(_keys()).alias("key")).join(mixed, "key", "left_semi"), "mixed_keys")
+    one, other = (keyed.select("key", F.col("vertex").alias(v), F.col("prints").alias(p), F.col("root").alias(r)) for v, p, r in (("a", "p", "r"), ("b", "q", "s")))
+    rest = one.join(other, "key").where((F.col("r") < F.col("s")) & (_differing("p", "q") <= MOST_BITS)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = rest.join(found, ["a", "b"], "left_anti")  # what was verified in vain
+    links = links.unionByName(_verified(scratch.table(rest, "rest"), texts, shingle, least))
+    return vertices.select("vertex", "first"), scratch.table(components(links), "roots")
+
+
+def first_of_each(docs: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAST) -> DataFrame:
+    """The row of smallest doc_id of each component of near copies; rows without an id stay.
+
+    Near copies are texts whose sets of word shingles have the Jaccard similarity, and
+    rows of the same words.  A text is lower-cased (A-Z); null is the empty text; texts without words are
+    copies of each other; fewer words than a shingle give one shingle of all words.  Rows
+    are told apart by a key of their own, so repeated ids are rows like others; other columns stay.
+    """
+    rows = _marked(docs, shingle)
+    vertices, roots = text_links(rows, shingle, least)
+    rooted = vertices.join(roots, vertices.vertex == roots.v, "left").select("first", F.coalesce("root", "vertex").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    named = rows.where("doc_id is not null").join(kept, "row", "left_semi")
+    return named.unionByName(rows.where("doc_id is null")).select(docs.columns)
