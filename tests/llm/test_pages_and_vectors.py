@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -107,6 +108,34 @@ def test_salvage_never_loses_what_is_whole(seed):
     assert [p for p in kept if p in clean] == clean or len(kept) >= 5
 
 
+def test_long_archives_take_linear_time(spark, tmp_path):
+    import time
+
+    r = random.Random(1)
+    members = [gzip.compress(record(r.randbytes(20_000).replace(b"WARC/1.", b"")), 1) for _ in range(2000)]
+    began = time.thread_time()
+    found = list(warc.salvage(b"".join(members)))
+    assert len(found) == 2000 and not any(isinstance(x, tuple) for x in found) and time.thread_time() - began < 8
+    large = spark.createDataFrame([(i, "x" * (5_000_000 + i // 2) if i < 6 else "small") for i in range(40)], "page_id long, html string")
+    warc.write(large, f"{tmp_path}/w", file_bytes=8 << 20, records_per_file=2000)
+    sizes = [p.stat().st_size for p in (tmp_path / "w").rglob("part-*")]
+    assert max(sizes) < 8 << 20 and warc.read(spark, f"{tmp_path}/w").where("record_type is not null").count() == 40
+
+
+def test_members_that_grow_without_bound_are_quarantined(monkeypatch):
+    monkeypatch.setattr(warc, "MOST_MEMBER", 1 << 20)
+    a, bomb = gzip.compress(record(b"first")), gzip.compress(record(bytes(3 << 20)))
+    found = list(warc.salvage(a + bomb + a))
+    assert [x if isinstance(x, tuple) else x.payload for x in found] == [b"first", (len(a), len(a + bomb)), b"first"]
+
+
+def test_gaps_are_kept_in_a_table(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc").write_bytes(record(b"one") + b"junk" + record(b"two!"))
+    whole = warc.quarantine(warc.read(spark, f"{tmp_path}/in"), f"{tmp_path}/gaps")
+    assert whole.count() == 2 and [r["end"] - r["start"] for r in spark.read.parquet(f"{tmp_path}/gaps").collect()] == [4]
+
+
 def test_gaps_are_logged(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(record(b"one") + b"junk" + record(b"two!"))
     rows = sorted(warc.read(spark, str(tmp_path)).collect(), key=lambda r: r["start"])
@@ -141,25 +170,66 @@ def test_odd_pages():
 
 def test_region_is_the_best():
     rng = random.Random(3)
-    for _ in range(100):
-        found = [rng.choice([("<p", "", False), ("</div", "", False), ("plain", "a b", False), ("aside", "c d e f g h i", False), ("link", "k", False)]) for _ in range(rng.randint(0, 14))]
-        weights = {**DEFAULT, "<p": -0.5, "</div": -3.0}
-        value = lambda a, b: sum(weights.get(k, -0.01) if k[0] == "<" else weights[f"{k}|"] * len(t.split()) for k, t, _ in found[a:b])  # noqa: B023, E731
-        best = max([value(a, b) for a in range(len(found)) for b in range(a, len(found) + 1)], default=0.0)
-        assert value(*main_text.region(found, weights)) == pytest.approx(max(0.0, best))
+    for _ in range(200):
+        values = [rng.choice([-3.0, -1.0, -0.01, 0.0, 0.5, 2.0]) for _ in range(rng.randint(0, 14))]
+        best = max([sum(values[a:b]) for a in range(len(values)) for b in range(a, len(values) + 1)], default=0.0)
+        a, b = main_text.region(values)
+        assert sum(values[a:b]) == pytest.approx(max(0.0, best))
+
+
+def test_names_of_articles_and_of_what_holds_them_say_nothing():
+    text = "A story of some length that goes on for a while. It has two sentences."
+    for around in ('<main class="has-sidebar">%s</main>', '<main class="content no-sidebar">%s</main>', '<article class="post has-related comments">%s</article>', '<div class="with-sidebar">%s</div>', '<div class="sidebar"><main>%s</main></div>'):
+        assert main_text.extract(around % f"<p>{text}</p>", DEFAULT) == text
+    for weak in ('<section id="discussion"><p>%s</p></section>', '<div class="related-work"><p>%s</p></div>'):
+        assert main_text.extract(f"<article><p>{text}</p>{weak % text}<p>{text}</p></article>", DEFAULT) == f"{text} {text} {text}"
+    assert main_text.extract(f'<article><p>{text}</p><p class="ad">Buy</p><form>Name</form><p>{text}</p></article>', DEFAULT) == f"{text} {text}"
+    assert main_text.extract(f'<article><p>{text}</p><p>see <span hidden>not this</span><a href="/x">that</a></p></article>', DEFAULT) == f"{text} see that"
 
 
 def test_learning_and_rows(spark):
     rows = [(i, None, PAGE % ("<article>", "</article>")) for i in range(30)] + [(99, "u", None), (None, None, "<p>no id</p>"), (1, None, PAGE % ("", ""))]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
     weights = main_text.learn(pages)
-    assert all(v < 0 for k, v in weights.items() if k[0] == "<") and weights["<p"] > weights["<nav"] and weights["plain|"] > 0
+    assert all(v < 0 for k, v in weights.items() if k[0] == "<") and weights["<p"] > weights["<nav"] and set(main_text.NAMES) <= set(weights)
     got = main_text.main_texts(pages).collect()
     assert len(got) == len(rows) and all(r["text"] == WANTED for r in got if r["page_id"] not in (99, None)) and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert main_text.main_texts(pages.drop("url")).where("url is null").count() == len(rows)
     assert main_text.main_texts(pages.limit(0)).count() == 0
     assert main_text.learn(pages.limit(0)) == DEFAULT
 
 
+def test_the_scan_alone_finds_articles_without_marks(spark, monkeypatch):
+    """Pages whose boilerplate is plain ``div`` and ``p`` elements without names, after learning from pages that mark their article."""
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(2, 9))) for _ in range(500)]
+    some = lambda a, b: " ".join(r.choice(words) for _ in range(r.randint(a, b)))
+
+    def page(marked):
+        body = [some(20, 90) + "." for _ in range(r.randint(2, 7))]
+        title = some(3, 8)
+        menu = "".join(f'<li><a href="/{k}">{some(1, 2)}</a></li>' for k in range(6))
+        links = " ".join(f'<a href="/{k}">{some(1, 3)}</a>' for k in range(5))
+        before = f"<div><ul>{menu}</ul></div><div>{some(3, 9)}.</div><div><p>{some(2, 6)}</p></div>"
+        after = f"<div><p>{links}</p></div><div>{some(8, 18)}.</div><div><p>{some(2, 5)}</p></div>"
+        name = "article" if marked else "div"
+        inner = f"<h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in body)
+        return f"<html><head><title>{title}</title></head><body>{before}<{name}>{inner}</{name}>{after}</body></html>", " ".join([title, *body])
+
+    known = main_text.learn(spark.createDataFrame([(i, page(True)[0]) for i in range(200)], "page_id long, html string"))
+
+    def f1(got, wanted):
+        got, wanted = got.split(), wanted.split()
+        both = sum((Counter(got) & Counter(wanted)).values())
+        return 2 * both / (len(got) + len(wanted))
+
+    plain = [page(False) for _ in range(100)]
+    scanned = np.mean([f1(main_text.extract(h, known), w) for h, w in plain])
+    monkeypatch.setattr(main_text, "region", lambda values: (0, len(values)))
+    whole = np.mean([f1(main_text.extract(h, known), w) for h, w in plain])
+    assert scanned >= 0.98 and whole < scanned - 0.05
+
+
 # --- nearest neighbours ---
 
 

@@ -57,6 +57,39 @@ def test_near_copies_of_five_word_similarity_go(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3}
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_near_copies_against_all_pairs(spark):
+    """Components of every pair of texts of the test table, by plain sets."""
+    rows = spark.read.parquet(f"{FOLDER.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text").collect()
+    words = {}
+    for r in rows:
+        words.setdefault(tuple((r["text"] or "").encode().lower().split()), []).append(r["doc_id"])
+    sets = {w: {w[i : i + 5] for i in range(max(1, len(w) - 4))} if w else set() for w in words}
+    top = {w: w for w in words}
+
+    def find(w):
+        while top[w] != w:
+            w = top[w]
+        return w
+
+    by_shingle = {}
+    for w, s in sets.items():
+        for x in s:
+            by_shingle.setdefault(x, []).append(w)
+    met = {(a, b) for v in by_shingle.values() for i, a in enumerate(v) for b in v[i + 1 :]}
+    links = 0
+    for a, b in met:
+        both = len(sets[a] & sets[b])
+        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            top[find(a)], links = find(b), links + 1
+    first = {}
+    for w, ids in words.items():
+        first[find(w)] = min(first.get(find(w), min(ids)), min(ids))
+    docs = spark.read.parquet(f"{FOLDER.replace('0.001', '0.01')}/documents.parquet")
+    kept = {r["doc_id"] for r in simhash.first_of_each(docs).select("doc_id").collect()}
+    assert links and kept == set(first.values())
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
