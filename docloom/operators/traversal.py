@@ -20,7 +20,7 @@ PAIR = ["doc_id", "start", "id"]
 def closure(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """(doc_id, start, id, depth): what each seed reaches over edges (doc_id, src, dst), with the least number of steps.
 
-    With a depth the edges are taken to be a forest: each pair is reached once.
+    Each pair is there once, with or without a depth, whatever ways lead from one to the other.
     """
     own = edges.select("doc_id", F.col("src").alias("id"), "dst")
     at = seeds.select("doc_id", F.col("id").alias("start"), "id")
@@ -30,25 +30,41 @@ def closure(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> Dat
         for d in range(1, depth + 1):
             at = step(at)
             levels.append(at.withColumn("depth", F.lit(d)))
-        return reduce(DataFrame.unionByName, levels)
-    found, d = [], 0
+        return reduce(DataFrame.unionByName, levels).groupBy(*PAIR).agg(F.min("depth").alias("depth"))
+    seen, d = None, 0  # the pairs met so far, one table that is written anew with each level
     while True:
         d += 1
         new = step(at).distinct()
-        for f in found:
-            new = new.join(f, PAIR, "left_anti")
+        if seen is not None:
+            new = new.join(seen.select(*PAIR), PAIR, "left_anti")
         at = storage.table(new, "frontier")
+        level = at.withColumn("depth", F.lit(d))
         if at.isEmpty():
-            break
-        found.append(at)
-    empty = at.withColumn("depth", F.lit(0))
-    return reduce(DataFrame.unionByName, [f.withColumn("depth", F.lit(i + 1)) for i, f in enumerate(found)], empty)
+            return seen if seen is not None else level
+        before, seen = seen, storage.table(level if seen is None else seen.unionByName(level), "seen")
+        if before is not None:
+            storage.free(before)
 
 
 def on_cycle(edges: DataFrame) -> DataFrame:
-    """(doc_id, id) of nodes that reach themselves."""
-    starts = edges.select("doc_id", F.col("src").alias("id")).distinct()
-    return closure(edges, starts).where("start = id").select("doc_id", "id").distinct()
+    """(doc_id, id) of nodes that reach themselves.
+
+    Nodes that nothing leads to, and nodes that lead nowhere, are peeled off with their
+    edges until none is left; what remains lies on cycles or between them.  Only there,
+    the nodes that reach themselves are told from those between by a closure.
+    """
+    left = storage.table(edges.select("doc_id", "src", "dst").distinct(), "edges")
+    n = left.count()
+    while n:
+        inner = left.join(left.select("doc_id", F.col("dst").alias("src")).distinct(), ["doc_id", "src"], "left_semi")
+        inner = inner.join(left.select("doc_id", F.col("src").alias("dst")).distinct(), ["doc_id", "dst"], "left_semi").select("doc_id", "src", "dst")
+        before, left = left, storage.table(inner, "edges")
+        storage.free(before)
+        if (more := left.count()) == n:
+            break
+        n = more
+    starts = left.select("doc_id", F.col("src").alias("id")).distinct()
+    return closure(left, starts).where("start = id").select("doc_id", "id").distinct()
 
 
 def acyclic_layers(edges: DataFrame) -> DataFrame:

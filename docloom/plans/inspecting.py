@@ -211,11 +211,10 @@ def sc_hash(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5("text").alias("md5"), F.sha2("text", 256).alias("sha256"))
 
 
-@query("SELECT doc_id, hex(text) AS hexed, to_base64(encode(text)) AS b64, text AS back FROM (SELECT doc_id, text FROM documents) WHERE doc_id >= 0 AND length(text) < 400")
+@query("SELECT doc_id, hex(text) AS hexed, to_base64(encode(text)) AS b64, text AS back FROM documents")
 def sc_decode(t: Tables) -> DataFrame:
-    """Short texts to hex and base 64 and back again."""
-    short = t.documents.where(F.length("text") < 400)
-    coded = short.select("doc_id", F.hex(F.col("text").cast("binary")).alias("hexed"), F.base64(F.col("text").cast("binary")).alias("b64"))
+    """Texts to hex and base 64 and back again."""
+    coded = t.documents.select("doc_id", F.hex(F.col("text").cast("binary")).alias("hexed"), F.base64(F.col("text").cast("binary")).alias("b64"))
     return coded.select("doc_id", "hexed", F.regexp_replace("b64", "[\\r\\n]", "").alias("b64"), vl.ascii_hex(F.concat("hexed", F.lit(">"))).cast("string").alias("back"))
 
 
@@ -245,52 +244,46 @@ def sc_literals(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", tx.unescaped_name(written).alias("p_name"), tx.without_slash(slash).alias("brand"), tx.integer(F.col("p_size").cast("string")).alias("size"))
 
 
-def _small(t: Tables) -> Graph:
-    """Regions, nations and customers alone."""
-    g = org_graph(t)
-    return Graph(g.nodes.where("node_type <> 'order'"), g.edges.where(F.col("dst") < 100_000_000))
-
-
-@query(ORG + "SELECT e.doc_id, e.dst AS id, e.src FROM e JOIN n ON e.dst = n.id AND e.doc_id = n.doc_id WHERE n.node_type IN ('nation', 'customer') AND e.src <> 103 AND e.dst <> 103")
+@query(ORG + "SELECT e.doc_id, e.dst AS id, e.src FROM e LEFT JOIN n p ON p.id = e.src AND p.doc_id = e.doc_id WHERE e.src <> 103 AND e.dst <> 103 AND p.parent IS DISTINCT FROM 103")
 def tf_remove(t: Tables) -> DataFrame:
-    """What is left without the subtree of nation 3."""
-    g = _small(t)
-    left = transforms.remove_subtree(g, s.select(g, s.has_id(103)), depth=1)
+    """What is left without nation 3, its customers and their orders."""
+    g = org_graph(t)
+    left = transforms.remove_subtree(g, s.select(g, s.has_id(103)), depth=2)
     return left.edges.select("doc_id", F.col("dst").alias("id"), "src")
 
 
-@query(ORG + "SELECT n.doc_id, n.id, CASE WHEN n.id = 1000005 THEN 101 ELSE n.parent END AS src FROM n WHERE node_type IN ('nation', 'customer')")
+@query(ORG + "SELECT n.doc_id, n.id, CASE WHEN n.id = 1000005 THEN 101 ELSE n.parent END AS src FROM n WHERE parent IS NOT NULL")
 def tf_move(t: Tables) -> DataFrame:
-    moved = transforms.move_subtree(_small(t), CUSTOMER + 5, 101)
+    moved = transforms.move_subtree(org_graph(t), CUSTOMER + 5, 101)
     return moved.edges.select("doc_id", F.col("dst").alias("id"), "src")
 
 
-@query(ORG + "SELECT doc_id, node_type, count(*) AS n FROM (SELECT doc_id, node_type FROM n WHERE node_type <> 'order' UNION ALL SELECT doc_id, node_type FROM n WHERE id = 102 OR parent = 102) GROUP BY 1, 2")
+@query(ORG + "SELECT doc_id, node_type, count(*) AS n FROM (SELECT doc_id, node_type FROM n UNION ALL SELECT doc_id, node_type FROM n WHERE id = 102 OR parent = 102 OR parent IN (SELECT id FROM n WHERE parent = 102)) GROUP BY 1, 2")
 def tf_subtree_clone(t: Tables) -> DataFrame:
-    """Nation 2 with its customers, twice."""
-    g = _small(t)
-    more = transforms.clone_subtree(g, s.select(g, s.has_id(102)), 1, 500_000_000, depth=1)
+    """Nation 2 with its customers and their orders, twice."""
+    g = org_graph(t)
+    more = transforms.clone_subtree(g, s.select(g, s.has_id(102)), 1, 5_000_000_000, depth=2)
     return more.nodes.groupBy("doc_id", "node_type").agg(F.count("*").alias("n"))
 
 
-@query(ORG + "SELECT doc_id, dst AS id, CASE WHEN src = 104 THEN 110 ELSE src END AS src FROM e WHERE dst <> 104 AND dst < 100000000")
+@query(ORG + "SELECT doc_id, dst AS id, CASE WHEN src = 104 THEN 110 ELSE src END AS src FROM e WHERE dst <> 104")
 def tf_merge(t: Tables) -> DataFrame:
     """The children of nation 4 go to nation 10."""
-    merged = transforms.merge_nodes(_small(t), 110, 104)
+    merged = transforms.merge_nodes(org_graph(t), 110, 104)
     return merged.edges.where(F.col("edge_type") == CHILD).select("doc_id", F.col("dst").alias("id"), "src")
 
 
-@query(ORG + "SELECT doc_id, id, node_type, CASE WHEN value < 0 THEN 0.0 ELSE value END AS value FROM n WHERE node_type = 'customer'")
+@query(ORG + "SELECT doc_id, id, node_type, CASE WHEN value < 0 THEN 0.0 ELSE value END AS value FROM n WHERE node_type IN ('customer', 'order')")
 def tf_update(t: Tables) -> DataFrame:
-    g = _small(t)
+    g = org_graph(t)
     patch = g.nodes.where("value < 0").select("doc_id", "id", F.lit(None).cast("string").alias("node_type"), F.lit(0.0).alias("value"))
-    return transforms.replace_values(g, patch).of_type("customer").select("doc_id", "id", "node_type", "value")
+    return transforms.replace_values(g, patch).of_type("customer", "order").select("doc_id", "id", "node_type", "value")
 
 
-@query(ORG + "SELECT e.doc_id, e.src, e.dst FROM e JOIN n ON n.doc_id = e.doc_id AND n.id = e.dst WHERE n.node_type = 'customer' AND n.value < 0")
+@query(ORG + "SELECT e.doc_id, e.src, e.dst FROM e JOIN n ON n.doc_id = e.doc_id AND n.id = e.dst LEFT JOIN n p ON p.doc_id = e.doc_id AND p.id = e.src WHERE n.node_type = 'customer' AND n.value < 0 OR n.node_type = 'order' AND p.value < 0")
 def tf_misplaced(t: Tables) -> DataFrame:
-    """With customers in debt of a type of their own, their edges are of no allowed kind."""
-    g = _small(t)
+    """With customers in debt of a type of their own, their edges and those to their orders are of no allowed kind."""
+    g = org_graph(t)
     patch = g.nodes.where("value < 0").select("doc_id", "id", F.lit("debtor").alias("node_type"), F.lit(None).cast("double").alias("value"))
     return transforms.misplaced(transforms.replace_values(g, patch)).select("doc_id", "src", "dst")
 

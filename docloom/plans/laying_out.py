@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..functions import filters, values
-from ..graph import CUSTOMER, NATION, Graph, Tables, org_graph
+from ..graph import ORDER, Tables, org_graph
 from ..operators import content
 from ..sources import graphs
-from .registry import query
+from .registry import ORG, query
 
 
 @query(
@@ -92,20 +92,17 @@ def sink_json(t: Tables) -> DataFrame:
     return rows.select(F.from_json("json", "n_nationkey int").getField("n_nationkey").alias("n_nationkey"), "json")
 
 
-@query("SELECT n_regionkey::BIGINT AS doc_id, n_nationkey + 100::BIGINT AS id, 'nation_' || n_name AS stable_id FROM nation")
+@query(ORG + "SELECT doc_id, id, node_type || '_' || name AS stable_id FROM n WHERE node_type IN ('region', 'nation', 'customer')")
 def sink_stable_ids(t: Tables) -> DataFrame:
-    """Names of nations that stay the same from export to export."""
-    g = org_graph(t)
-    upper = Graph(g.of_type("region", "nation"), g.edges.where(F.col("dst") < CUSTOMER))
-    return graphs.stable_ids(upper, {"nation": "name"}).where(F.col("id") >= NATION).select("doc_id", "id", "stable_id")
+    """Names of regions, nations and customers that stay the same from export to export; orders have no name."""
+    named = graphs.stable_ids(org_graph(t), {"region": "name", "nation": "name", "customer": "name"})
+    return named.where(F.col("id") < ORDER).select("doc_id", "id", "stable_id")
 
 
-@query("SELECT count(*) AS nodes, count(*) FILTER (src IS NOT NULL) AS edges FROM (SELECT NULL AS src FROM region UNION ALL SELECT n_regionkey FROM nation)")
+@query(ORG + "SELECT n.doc_id, n.id, n.node_type, n.name, n.value, n.parent, e.ord::BIGINT AS place FROM n LEFT JOIN e ON e.doc_id = n.doc_id AND e.dst = n.id")
 def sink_graph_round_trip(t: Tables) -> DataFrame:
-    """A graph written as JSON lines and read back."""
-    g = org_graph(t)
-    upper = Graph(g.of_type("region", "nation"), g.edges.where(F.col("dst") < CUSTOMER))
-    graphs.write(upper, where := storage.path(t.spark, "graph"), "json")
+    """The whole graph written as JSON lines and read back: every node with its parent and place."""
+    graphs.write(org_graph(t), where := storage.path(t.spark, "graph"), "json")
     back = graphs.read(t.spark, where, "json")
-    both = back.nodes.select(F.lit(1).alias("n"), F.lit(0).alias("e")).unionAll(back.edges.select(F.lit(0), F.lit(1)))
-    return both.agg(F.sum("n").alias("nodes"), F.sum("e").alias("edges"))
+    above = back.children().select("doc_id", F.col("dst").alias("id"), F.col("src").alias("parent"), F.col("ord").cast("long").alias("place"))
+    return back.nodes.join(above, ["doc_id", "id"], "left").select("doc_id", "id", "node_type", F.try_element_at("props", F.lit("name")).alias("name"), "value", "parent", "place")

@@ -165,12 +165,12 @@ def sort_priority(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT l_orderkey, l_partkey AS s, l_partkey + l_quantity::BIGINT AS e FROM lineitem WHERE l_orderkey <= 2000), m AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM r),
+    """WITH r AS (SELECT l_orderkey, l_partkey AS s, l_partkey + l_quantity::BIGINT AS e FROM lineitem), m AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM r),
     i AS (SELECT *, sum(new) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT l_orderkey, min(s) AS "start", max(e) AS "end" FROM i GROUP BY l_orderkey, k"""
 )
 def win_merged_ranges(t: Tables) -> DataFrame:
     """Overlapping ranges of an order as one: the ranges run from each line's part key over its quantity."""
-    ranges = t.lineitem.where("l_orderkey <= 2000").select("l_orderkey", F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end"))
+    ranges = t.lineitem.select("l_orderkey", F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end"))
     return windows.merged_ranges(ranges, ["l_orderkey"])
 
 

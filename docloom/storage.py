@@ -12,9 +12,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """``spark.checkpoint.dir``; a temporary folder only where that is unset and all runs in one process."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         place = tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -36,10 +38,23 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+def free(*tables: DataFrame) -> None:
+    """Deletes what ``table`` wrote for these, once nothing reads them any more: a loop's superseded steps."""
+    for df in tables:
+        files = df.inputFiles()
+        for spark, where in [w for w in _written if any(w[1] in f for f in files)]:
+            _delete(spark, where)
+            _written.remove((spark, where))
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(where)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _clear() -> None:
     for spark, where in _written:
         try:
-            place = spark._jvm.org.apache.hadoop.fs.Path(where)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(spark, where)
         except Exception:  # the session may have ended before the driver does
             return
