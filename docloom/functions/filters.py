@@ -12,7 +12,7 @@ import zlib
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes that a step may give, and times its input's bytes.
@@ -89,6 +89,122 @@ def lzw(data: bytes, most: int = MOST_BYTES, early: int = 1) -> bytes:
     return b"".join(out)
 
 
+def lzw_encode(data: bytes, early: int = 1) -> bytes:
+    """The code that ``lzw`` reads: the longest known string, then the table grows by one."""
+    out, held, bits = bytearray(), 0, 0
+    table = {bytes([i]): i for i in range(256)}
+    size, word = 9, b""
+
+    def put(code: int) -> None:
+        nonlocal held, bits
+        held, bits = held << size | code, bits + size
+        while bits >= 8:
+            bits -= 8
+            out.append(held >> bits & 255)
+        held &= (1 << bits) - 1
+
+    put(256)
+    n = 258  # codes that a reader knows by now
+    for i in range(len(data)):
+        longer = word + data[i : i + 1]
+        if longer in table:
+            word = longer
+            continue
+        put(table[word])
+        if n < 4094:
+            table[longer] = n
+            n += 1
+            # a reader learns each string one code later
+            size += size < 12 and n - 1 + early >= 1 << size
+        else:
+            put(256)
+            table, n, size = {bytes([b]): b for b in range(256)}, 258, 9
+        word = data[i : i + 1]
+    if word:
+        put(table[word])
+        size += size < 12 and n + early >= 1 << size
+    put(257)
+    if bits:
+        out.append(held << (8 - bits) & 255)
+    return bytes(out)
+
+
+def unpredict(data: bytes, kind: int, columns: int, colours: int = 1, depth: int = 8) -> bytes:
+    """Bytes as they were before prediction: 2 is by the pixel to the left, 10 and over a kind for each row; a last short row is kept."""
+    import numpy as np
+
+    step, row = max(1, colours * depth // 8), (columns * colours * depth + 7) // 8
+    if kind == 2 and depth == 8:
+        whole = len(data) - len(data) % row
+        pixels = np.frombuffer(data[:whole], np.uint8).reshape(-1, columns, colours)
+        return np.cumsum(pixels, axis=1, dtype=np.uint8).tobytes() + data[whole:]
+    if kind < 10:
+        return data
+    out, above = [], bytearray(row)
+    for at in range(0, len(data), row + 1):
+        mark, now = data[at], bytearray(data[at + 1 : at + 1 + row])
+        if mark == 1:
+            for i in range(step, len(now)):
+                now[i] = now[i] + now[i - step] & 255
+        elif mark == 2:
+            now = bytearray(a + b & 255 for a, b in zip(now, above))
+        elif mark == 3:
+            for i in range(len(now)):
+                now[i] = now[i] + ((now[i - step] if i >= step else 0) + above[i]) // 2 & 255
+        elif mark == 4:
+            for i in range(len(now)):
+                a, b, c = (now[i - step], above[i], above[i - step]) if i >= step else (0, above[i], 0)
+                near = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))
+                now[i] = now[i] + near[2] & 255
+        elif mark:
+            raise ValueError("no such row")
+        out.append(bytes(now))
+        above = now + bytearray(row - len(now))
+    return b"".join(out)
+
+
+def unpredicted(content: Column, kind: int, columns: int, colours: int = 1, depth: int = 8) -> Column:
+    """Binary content without its prediction; null for broken data."""
+
+    def one(data: bytes) -> bytes | None:
+        try:
+            return unpredict(data, kind, columns, colours, depth)
+        except (ValueError, IndexError):
+            return None
+
+    @F.pandas_udf("binary")
+    def run(data: pd.Series) -> pd.Series:
+        return data.map(one, na_action="ignore")
+
+    return run(content)
+
+
+def predicted(content: Column, columns: int) -> Column:
+    """Binary content as rows of so many bytes, each coded by what differs from the row above."""
+
+    def one(data: bytes) -> bytes:
+        above, out = bytes(columns), []
+        for at in range(0, len(data), columns):
+            now = data[at : at + columns]
+            out.append(b"\x02" + bytes(a - b & 255 for a, b in zip(now, above)))
+            above = now
+        return b"".join(out)
+
+    @F.pandas_udf("binary")
+    def run(data: pd.Series) -> pd.Series:
+        return data.map(one, na_action="ignore")
+
+    return run(content)
+
+
+def lzw_coded(content: Column) -> Column:
+    @F.pandas_udf("binary")
+    def run(data: pd.Series) -> pd.Series:
+        return data.map(lzw_encode, na_action="ignore")
+
+    return run(content)
+
+
 STEPS = {"FlateDecode": flate, "ASCIIHexDecode": hexadecimal, "ASCII85Decode": base85, "RunLengthDecode": run_length, "LZWDecode": lzw}
 
 
@@ -126,7 +242,7 @@ def _marks(text: Column, marks: list[str]) -> Column:
 
 def content_class(text: Column) -> Column:
     """Image, Text, Vector, Structured or Binary, the first that fits; text of one character for each byte is best."""
-    start = F.hex(F.left(text, F.lit(8)).cast("binary"))
+    start = F.hex(F.encode(F.regexp_replace(F.left(text, F.lit(8)), "[^\\x00-\\xFF]", "?"), "ISO-8859-1"))
     image = reduce(lambda a, b: a | b, [start.startswith(p) for p in IMAGE_PREFIXES])
     head = F.left(text, F.lit(1000))
     plain = F.length(F.regexp_replace(head, "[^\\x00-\\x7F]", "")) / F.length(head)
@@ -138,3 +254,19 @@ def content_class(text: Column) -> Column:
         .when(_marks(text, STRUCTURE_MARKS) > size / 50, "Structured")
         .otherwise("Binary")
     )
+
+
+def repetitive(text: Column) -> Column:
+    """Whether one of the first thousand characters occurs over a hundred times."""
+    head = F.split(F.left(text, F.lit(1000)), "")
+    return F.exists(F.array_distinct(head), lambda c: F.size(F.filter(head, lambda x: x == c)) > 100)
+
+
+def best_codec(kind: Column, text: Column) -> Column:
+    """The codec for a kind of content."""
+    return F.when(kind == "Image", "DCT").when(kind == "Vector", "LZW").when((kind == "Binary") & repetitive(text), "RunLength").otherwise("Flate")
+
+
+def smallest(sizes: DataFrame, key: str) -> DataFrame:
+    """(key, codec, size) of tries to the codec of each key that gives the fewest bytes; ties go to the first name."""
+    return sizes.where("size is not null").groupBy(key).agg(F.min(F.struct("size", "codec")).alias("b")).select(key, "b.codec", "b.size")

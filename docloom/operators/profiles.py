@@ -75,6 +75,11 @@ def node_rules() -> list[Rule]:
         Rule("MULTIMEDIA", "Error", (kind == "Annot") & subtype.isin(*MEDIA)),
         Rule("TRIM_BOX_MISSING", "Warning", (kind == "Page") & ~has("TrimBox")),
         Rule("TRANSPARENCY", "Warning", (subtype == "Transparency") | (F.try_element_at("props", F.lit("S")) == "Transparency")),
+        Rule("IMAGE_LZW", "Warning", (subtype == "Image") & (F.try_element_at("props", F.lit("Filter")) == "LZWDecode")),
+        Rule("ANNOTATION_NOT_ALLOWED", "Error", (kind == "Annot") & subtype.isin("Movie", "Sound", "FileAttachment")),
+        Rule("ANNOTATION_WITHOUT_APPEARANCE", "Warning", (kind == "Annot") & ~has("AP") & ~F.coalesce(subtype == "Popup", F.lit(False))),
+        Rule("DEVICE_COLOUR", "Warning", F.try_element_at("props", F.lit("ColorSpace")) == "DeviceRGB"),
+        Rule("XFA_FORM", "Error", (kind == "AcroForm") & has("XFA")),
         Rule("ALT_MISSING", "Warning", (kind == "StructElem") & F.try_element_at("props", F.lit("S")).isin("Figure", "Formula", "Table") & ~has("Alt")),
     ]
 
@@ -82,12 +87,34 @@ def node_rules() -> list[Rule]:
 #: Codes of each profile, and the severity that a profile gives to some.
 PROFILES = {
     "structure": ["EMPTY_DOCUMENT", "CATALOG_MISSING", "MULTIPLE_CATALOGS", "PAGES_MISSING", "CATALOG_WITHOUT_PAGES", "PAGES_COUNT_MISSING", "PAGES_COUNT_MISMATCH"],
-    "archive": ["CATALOG_MISSING", "PAGES_MISSING", "METADATA_MISSING", "ENCRYPTED", "FONT_NOT_EMBEDDED", "FONT_WITHOUT_ENCODING", "JAVASCRIPT", "EXTERNAL_REFERENCE", "EMBEDDED_FILE", "MULTIMEDIA", "TRANSPARENCY"],
+    "archive": ["CATALOG_MISSING", "PAGES_MISSING", "METADATA_MISSING", "ENCRYPTED", "FONT_NOT_EMBEDDED", "FONT_WITHOUT_ENCODING", "JAVASCRIPT", "EXTERNAL_REFERENCE", "EMBEDDED_FILE", "MULTIMEDIA", "TRANSPARENCY", "IMAGE_LZW", "ANNOTATION_NOT_ALLOWED", "ANNOTATION_WITHOUT_APPEARANCE", "DEVICE_COLOUR", "XFA_FORM"],
     "print": ["CATALOG_MISSING", "PAGES_MISSING", "OUTPUT_INTENTS_MISSING", "TRIM_BOX_MISSING", "FONT_NOT_EMBEDDED"],
     "access": ["CATALOG_MISSING", "NOT_TAGGED", "LANG_MISSING", "ALT_MISSING", "METADATA_MISSING"],
 }
 
 
+def file_rows(files: DataFrame) -> DataFrame:
+    """One row for each raw file: what its head, its last trailer and its catalog say of it."""
+    from ..sources import raw
+
+    head = raw.overview(files).withColumnRenamed("path", "doc_id").select("doc_id", "major", "minor")
+    catalog = document_rows(raw.graph(files)).select("doc_id", "version")
+    trailer = raw.last_trailers(files).select("doc_id", "root", "size", "n_ids")
+    return head.join(catalog, "doc_id", "left").join(trailer, "doc_id", "left")
+
+
+def file_rules() -> list[Rule]:
+    c = F.col
+    declares = F.coalesce(c("version"), F.lit("")) == "2.0"
+    return [
+        Rule("TRAILER_ROOT_MISSING", "Critical", c("root").isNull()),
+        Rule("TRAILER_SIZE_MISSING", "Error", c("size").isNull()),
+        Rule("TRAILER_ID_INVALID", "Error", F.coalesce(c("n_ids"), F.lit(0)) != 2),
+        Rule("VERSION_MISMATCH", "Error", (c("major") >= 2) != declares),
+        Rule("VERSION_TOO_NEW", "Error", ~((c("major") == 1) & (c("minor") <= 4))),
+    ]
+
+
 def issues(g: Graph) -> DataFrame:
     """(doc_id, id, code, severity) of all rules."""
     whole = findings(document_rows(g), document_rules(), "doc_id").select("doc_id", F.lit(None).cast("long").alias("id"), "code", "severity")

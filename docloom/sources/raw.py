@@ -54,8 +54,8 @@ def graph(files: DataFrame) -> Graph:
     dictionary = F.regexp_replace(F.substring_index("body", "stream", 1), "\\s+", " ")
     own = own.withColumn("dictionary", dictionary).withColumn("id", F.col("num") * 65536 + F.col("gen"))
     kind = F.regexp_extract("dictionary", "/Type ?/([A-Za-z0-9]+)", 1)
-    keys = F.regexp_extract_all("dictionary", F.lit("/([A-Za-z0-9]+) ?(/[A-Za-z0-9.]+|[0-9.+-]+(?! [0-9]+ R)\\b|\\([^)]*\\)|true|false)"), F.lit(1))
-    values = F.regexp_extract_all("dictionary", F.lit("/([A-Za-z0-9]+) ?(/[A-Za-z0-9.]+|[0-9.+-]+(?! [0-9]+ R)\\b|\\([^)]*\\)|true|false)"), F.lit(2))
+    keys = F.regexp_extract_all("dictionary", F.lit("/([A-Za-z0-9]+) ?(/[A-Za-z0-9.]+|[0-9.+-]+(?! [0-9]+ R)\\b|\\([^)]*\\)|\\[[^\\]R]*\\]|<<|true|false)"), F.lit(1))
+    values = F.regexp_extract_all("dictionary", F.lit("/([A-Za-z0-9]+) ?(/[A-Za-z0-9.]+|[0-9.+-]+(?! [0-9]+ R)\\b|\\([^)]*\\)|\\[[^\\]R]*\\]|<<|true|false)"), F.lit(2))
     pairs = F.array_distinct(F.arrays_zip(keys.alias("k"), values.alias("v")))
     first = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, 1, i), lambda q: q["k"] == p["k"]))
     props = F.map_from_entries(F.transform(first, lambda p: F.struct(p["k"], F.regexp_replace(p["v"], "^/", ""))))
@@ -116,3 +116,54 @@ def offset_findings(files: DataFrame) -> DataFrame:
     rows = by.join(size, "doc_id").join(stated, "doc_id", "left")
     hits = F.array(F.when(F.col("furthest") >= F.col("length"), F.lit("XREF_PAST_END")), F.when(F.col("n") < F.col("stated"), F.lit("TRAILER_SIZE")))
     return rows.select("doc_id", F.explode(F.array_compact(hits)).alias("code"))
+
+
+def last_trailers(files: DataFrame) -> DataFrame:
+    """The trailer of each file's latest section."""
+    own = trailers(files)
+    last = own.groupBy("doc_id").agg(F.max("section").alias("section"))
+    return own.join(last, ["doc_id", "section"])
+
+
+def stream_entries(streams: DataFrame, widths: list[int]) -> DataFrame:
+    """(doc_id, first, content) of cross-reference streams to (doc_id, num, kind, field2, field3): rows of fixed widths, high byte first.
+
+    A field of width 0 has its default: kind 1, others 0.  A last row that is cut short is left out.
+    """
+    row = sum(widths)
+    places = F.sequence(F.lit(0), F.floor(F.octet_length("content") / row).cast("int") - 1)
+    each = streams.where(F.octet_length("content") >= row).select("doc_id", "first", "content", F.explode(places).alias("i"))
+
+    def field(k: int) -> Column:
+        if not widths[k]:
+            return F.lit(1 if k == 0 else 0).cast("long")
+        at = F.col("i") * row + sum(widths[:k]) + 1
+        return F.conv(F.hex(F.substring("content", at, F.lit(widths[k]))), 16, 10).cast("long")
+
+    kind = F.create_map(*[x for k, v in ((0, "Free"), (1, "InUse"), (2, "Compressed")) for x in (F.lit(k).cast("long"), F.lit(v))])
+    return each.select("doc_id", (F.col("first") + F.col("i")).alias("num"), F.try_element_at(kind, field(0)).alias("kind"), field(1).alias("field2"), field(2).alias("field3"))
+
+
+def stream_objects(streams: DataFrame) -> DataFrame:
+    """(doc_id, n, first, text) of object streams to (doc_id, index, num, body): pairs of number and offset, then the objects themselves.
+
+    A stream whose header holds fewer than n pairs, or offsets that fall, gives no rows.
+    """
+    header = F.filter(F.split(F.substring(F.col("text"), F.lit(1), F.col("first")), "\\s+"), lambda x: x != "")
+    numbers = F.slice(F.transform(header, lambda x: x.try_cast("long")), F.lit(1), 2 * F.col("n"))
+    pair = lambda k: F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("numbers", 2 * i + k))
+    own = streams.withColumn("numbers", numbers).where((F.col("n") > 0) & (F.size("numbers") == 2 * F.col("n")) & ~F.exists("numbers", lambda x: x.isNull()))
+    own = own.withColumns({"nums": pair(0), "offsets": pair(1)}).where(F.col("offsets") == F.array_sort("offsets"))
+    each = own.select("doc_id", "text", "first", "offsets", F.posexplode("nums").alias("index", "num"))
+    start = F.get("offsets", F.col("index"))
+    end = F.coalesce(F.get("offsets", F.col("index") + 1), F.length("text") - F.col("first"))
+    return each.select("doc_id", "index", "num", F.trim(F.substring("text", (F.col("first") + start + 1).cast("int"), (end - start).cast("int"))).alias("body"))
+
+
+def linearization(files: DataFrame) -> DataFrame:
+    """(doc_id, version, length, first_page, n_pages, hint) of files whose first object says that they are linearised."""
+    body = F.regexp_extract(latin(F.col("content")), "(?s)^.*?obj\\b(.*?)\\bendobj", 1)
+    own = files.select(F.col("path").alias("doc_id"), body.alias("b")).where(F.col("b").contains("/Linearized"))
+    number = lambda key: F.regexp_extract("b", f"/{key}\\s+([0-9]+)", 1).try_cast("long")
+    version = F.regexp_extract("b", "/Linearized\\s+([0-9.]+)", 1).try_cast("double")
+    return own.select("doc_id", version.alias("version"), number("L").alias("length"), number("O").alias("first_page"), number("N").alias("n_pages"), F.regexp_extract("b", "/H\\s*\\[\\s*([0-9]+)", 1).try_cast("long").alias("hint"))

@@ -289,3 +289,84 @@ def test_exact_percentiles(spark):
         assert all(got[g, p] == values[(len(values) - 1) * p // 100] for p in (0, 1, 50, 95, 100))
     assert len(got) == 15
     assert [x["value"] for x in aggregates.nearest_rank(df, "v", [50]).collect()] == [sorted(v for _, v in rows if v is not None)[12000 // 2]]
+
+
+def test_lists_outlines_and_orders(spark):
+    from docloom.operators import extractors as x
+
+    n = 37
+    items = [("a", i, i + 1 if i < n - 1 else None) for i in range(n)] + [("b", 5, 3), ("b", 3, 4), ("b", 4, None), ("c", 1, 2), ("c", 2, 1)]
+    got = {(r["doc_id"], r["id"]): r["place"] for r in x.list_places(spark.createDataFrame(items, "doc_id string, id long, next long")).collect()}
+    assert got == {**{("a", i): i for i in range(n)}, ("b", 5): 0, ("b", 3): 1, ("b", 4): 2}  # the ring of c has no first item
+    kids = spark.createDataFrame([("a", 0, 5, 1), ("a", 0, 4, 2), ("a", 5, 9, 1), ("a", 5, 7, 2), ("a", 4, 8, 1)], "doc_id string, src long, dst long, place long")
+    flat = x.flattened(kids, spark.createDataFrame([("a", 0)], "doc_id string, id long"))
+    assert [(r["id"], r["level"]) for r in flat.orderBy("place").collect()] == [(0, 0), (5, 1), (9, 2), (7, 2), (4, 1), (8, 2)]
+
+
+def test_nested_marked_text(spark):
+    from docloom.operators import extractors as x
+
+    ops = [(1, "BDC", 1, None), (2, "Tj", None, "a"), (3, "BDC", 2, None), (4, "Tj", None, "b"), (5, "EMC", None, None), (6, "Tj", None, "c"), (7, "EMC", None, None), (8, "Tj", None, "d"), (9, "BMC", None, None), (10, "Tj", None, "e"), (11, "EMC", None, None)]
+    rows = x.marked_text(spark.createDataFrame([("p", *o) for o in ops], "doc_id string, ord int, op string, mcid long, text string")).collect()
+    assert {r["mcid"]: r["text"] for r in rows} == {1: "ac", 2: "b"}
+
+
+def test_predictors_and_dictionary_codes():
+    import random
+
+    r = random.Random(5)
+    for size in (0, 1, 7, 300, 20_000):
+        data = bytes(r.choice(b"abc") if r.random() < 0.9 else r.randrange(256) for _ in range(size))
+        assert filters.lzw(filters.lzw_encode(data)) == data
+    rows = [bytes(r.randrange(256) for _ in range(6)) for _ in range(9)]
+    coded, above = b"", bytes(6)
+    for k, row in enumerate(rows):
+        kind, out = k % 5, bytearray(6)
+        for i in range(6):
+            a, b, c = (row[i - 2] if i >= 2 else 0), above[i], (above[i - 2] if i >= 2 else 0)
+            near = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+            out[i] = row[i] - [0, a, b, (a + b) // 2, near][kind] & 255
+        coded, above = coded + bytes([kind]) + bytes(out), row
+    assert filters.unpredict(coded, 15, 3, 2) == b"".join(rows)
+    pixels = bytes(range(24))
+    left = b"".join(bytes(row[i] - (row[i - 2] if i >= 2 else 0) & 255 for i in range(6)) for row in (pixels[k : k + 6] for k in range(0, 24, 6)))
+    assert filters.unpredict(left, 2, 3, 2) == pixels and filters.unpredict(b"abc", 1, 3) == b"abc"
+    assert filters.chain(filters.lzw_encode(b"x" * 50_000), ["LZWDecode"], most=1000) is None
+    assert filters.chain(b"61" * 30_000_000, ["ASCIIHexDecode"], most=1 << 26) is not None
+
+
+def test_the_smallest_codec_is_chosen(spark):
+    rows = [(1, "Flate", 10), (1, "LZW", 8), (1, "RunLength", None), (2, "RunLength", 3), (2, "LZW", 3)]
+    got = {r["k"]: r["codec"] for r in filters.smallest(spark.createDataFrame(rows, "k int, codec string, size int"), "k").collect()}
+    assert got == {1: "LZW", 2: "LZW"}
+
+
+def test_shared_folders_are_asked_for_on_clusters(spark, monkeypatch):
+    from docloom import storage
+
+    class Context:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getConf():
+            return {}
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError, match="share"):
+        storage.folder(Session)
+
+
+def test_depths_give_sets(diamond):
+    root = selectors.select(diamond, selectors.has_id(1))
+    with_depth = traversal.closure(diamond.children(), root, depth=3)
+    assert sorted((r["doc_id"], r["id"], r["depth"]) for r in with_depth.collect()) == sorted((r["doc_id"], r["id"], r["depth"]) for r in traversal.closure(diamond.children(), root).collect())
+
+
+def test_cycles_and_what_lies_between_them(spark):
+    g = make(spark, [], [(0, 1, CHILD, 1), (1, 0, CHILD, 1), (1, 2, CHILD, 1), (2, 3, CHILD, 1), (3, 4, CHILD, 1), (4, 3, CHILD, 1), (9, 0, CHILD, 1), (4, 8, CHILD, 1)])
+    assert ids(traversal.on_cycle(g.children())) == [0, 1, 3, 4]  # 2 lies between two cycles
