@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from .. import storage
 from .sampling import by_hash
 
 #: Labelled rows that the model is fitted on, at most; a row takes part by its id's hash.
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, features: int =
             x = pa.array([statistics(t.as_py()) for t in b["text"]], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([x, b["y"], b["fold"]], ["x", "y", "fold"])
 
-    rows = scratch.table(sample(docs, labels, bound).mapInArrow(measure, "x array<double>, y double, fold int"), "statistics")
+    rows = storage.table(sample(docs, labels, bound).mapInArrow(measure, "x array<double>, y double, fold int"), "statistics")
     width = len(statistics(""))
     moments = rows.agg(F.count("*"), F.sum("y"), *[f(F.col("x")[i]) for i in range(width) for f in (F.avg, F.stddev_pop)]).first()
     n, positive = moments[0], moments[1] or 0.0

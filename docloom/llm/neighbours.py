@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scratch
+from .. import storage
 from .sampling import by_hash
 
 NEIGHBOURS, QUERY_EVERY = 20, 20
@@ -165,7 +165,7 @@ def _met(routed: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """(query_id, query, shards) and the filed rows to each query's k best rows of each shard."""
     asked = routed.select("query_id", "query", F.explode("shards").alias("shard"))
     blocks = asked.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_QUERIES).cast("int").alias("blocks"))
-    blocks = scratch.table(blocks, "blocks")  # its size is known when the joins are chosen
+    blocks = storage.table(blocks, "blocks")  # its size is known when the joins are chosen
     asked = asked.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
     filed = index.join(blocks, "shard").select("vec_id", "embedding", F.col("shard").alias("at"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with_block"))
     met = asked.select("query_id", "query", "shard", "block").groupBy("shard", "block").cogroup(filed.groupBy("at", "with_block"))
@@ -212,7 +212,7 @@ def _shards(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def search(vectors: DataFrame, k: int = NEIGHBOURS, every: int = QUERY_EVERY, recall: float = RECALL) -> DataFrame:
     """(vec_id, embedding) to (query_id, rank, vec_id, score) for queries whose vec_id is divisible by ``every``."""
     spark = vectors.sparkSession
-    usable = scratch.table(taking_part(vectors), "vectors")
+    usable = storage.table(taking_part(vectors), "vectors")
     total, asked = usable.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
     if not asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -235,7 +235,7 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, every: int = QUERY_EVERY, re
             v = np.stack(f["embedding"]) if len(f) else np.zeros((0, x.shape[1]))
             yield f.assign(cell=nearest(v[:, :half], books[0]) * codes + nearest(v[:, half:], books[1]))
 
-    filed = scratch.table(usable.mapInPandas(file, "vec_id long, embedding array<double>, cell int"), "filed")
+    filed = storage.table(usable.mapInPandas(file, "vec_id long, embedding array<double>, cell int"), "filed")
     rows = np.zeros(codes * codes, np.int64)
     for cell, n in filed.groupBy("cell").count().collect():  # at most MAX_CODES ** 2
         rows[cell] = n
@@ -246,7 +246,7 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, every: int = QUERY_EVERY, re
     cells = np.flatnonzero(rows)
     where = spark.createDataFrame(list(zip(cells.tolist(), own.base[cells].tolist(), own.parts[cells].tolist())), "cell int, base long, parts long")
     shard = F.col("base") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))
-    index = scratch.table(filed.join(F.broadcast(where), "cell").select("vec_id", "embedding", shard.alias("shard")), "index")  # a row for each cell: bounded
+    index = storage.table(filed.join(F.broadcast(where), "cell").select("vec_id", "embedding", shard.alias("shard")), "index")  # a row for each cell: bounded
     schema = "query_id long, query array<double>, shards array<long>"
 
     def begin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,9 +257,9 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, every: int = QUERY_EVERY, re
         for f in frames:
             yield pd.DataFrame({"query_id": f["vec_id"], "query": f["embedding"], "shards": [own.rest(v, t) for v, t in zip(f["embedding"], f["bound"].fillna(-np.inf))]})
 
-    routed = scratch.table(asks.mapInPandas(begin, schema), "first_round")
-    near = scratch.table(_best(_met(routed, index, k), k).drop("rank"), "near")
+    routed = storage.table(asks.mapInPandas(begin, schema), "first_round")
+    near = storage.table(_best(_met(routed, index, k), k).drop("rank"), "near")
     bounds = near.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("bound"))
     bounded = asks.join(bounds.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
-    routed = scratch.table(bounded.mapInPandas(go_on, schema), "second_round")
+    routed = storage.table(bounded.mapInPandas(go_on, schema), "second_round")
     return _best(near.unionByName(_met(routed, index, k)), k).select("query_id", "rank", "vec_id", "score")

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scratch
+from .. import storage
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: The characters that count as symbols.
@@ -138,13 +138,13 @@ def _starts(points: DataFrame) -> DataFrame:
     quartiles = [F.percentile_approx(v, [0.25, 0.5, 0.75], 10_000).alias(f"q{i}") for i, v in enumerate(V)]
     spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[v])).alias(f"s{i}") for i, v in enumerate(V)]
     middle = points.groupBy("pool").agg(*quartiles).select("pool", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(len(V))], *spread)
-    middle = scratch.table(middle, "middle")
+    middle = storage.table(middle, "middle")
     scaled = _salted(points, middle).select("pool", *[((F.col(v) - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i, v in enumerate(V)])
     squashed, norm = [F.tanh(f"z{i}") for i in range(len(V))], F.sqrt(sum((F.col(f"z{i}") ** 2 for i in range(1, len(V))), F.col("z0") ** 2))
     signs = [F.col(f"z{i}") / F.greatest(norm, F.lit(1e-9)) for i in range(len(V))]
     kinds = {"squashed": squashed, "signs": signs}
     sums = [F.avg(c[i] * c[j]).alias(f"{k}{i}{j}") for k, c in kinds.items() for i, j in PAIRS] + [F.avg(c).alias(f"squashed{i}") for i, c in enumerate(squashed)]
-    shapes = scratch.table(scaled.groupBy("pool").agg(*sums).join(middle, "pool"), "shapes")
+    shapes = storage.table(scaled.groupBy("pool").agg(*sums).join(middle, "pool"), "shapes")
 
     def product(kind: str, i: int, j: int) -> Column:
         return F.col(f"{kind}{i}{j}") - (F.col(f"squashed{i}") * F.col(f"squashed{j}") if kind == "squashed" else F.lit(0.0))
@@ -157,14 +157,14 @@ def _starts(points: DataFrame) -> DataFrame:
         return both * F.when(size > 1e-12, product(kind, i, j) / size).otherwise(0.0)
 
     own = [shapes.select("pool", F.lit(k).alias("start"), *[f"m{i}" for i in range(len(V))], *[covariance(k, i, j).alias(_pair(i, j)) for i, j in PAIRS]) for k in ("spreads", *kinds)]
-    return scratch.table(_factored(own[0].unionByName(own[1]).unionByName(own[2])), "starts")
+    return storage.table(_factored(own[0].unionByName(own[1]).unionByName(own[2])), "starts")
 
 
 def _concentrate(points: DataFrame, now: DataFrame) -> DataFrame:
     """One concentration step of every estimate."""
     far = _distances(points, now)
     limits = far.groupBy("pool", "start").agg(F.percentile_approx("d2", CORE, 10_000).alias("limit"))
-    limited = scratch.table(now.drop("logdet").join(limits, ["pool", "start"]), "limit")
+    limited = storage.table(now.drop("logdet").join(limits, ["pool", "start"]), "limit")
     core = _distances(points, limited).where("d2 <= limit")
     shifted = [F.col(v) - F.col(f"m{i}") for i, v in enumerate(V)]  # about the last centre, for exact sums
     sums = [F.avg(shifted[i]).alias(f"s{i}") for i in range(len(V))]
@@ -174,7 +174,7 @@ def _concentrate(points: DataFrame, now: DataFrame) -> DataFrame:
     moments = moments.select("pool", "start", *[(F.col(f"o{i}") + F.col(f"s{i}")).alias(f"m{i}") for i in range(len(V))], *[
         (F.col(_pair(i, j)) - F.col(f"s{i}") * F.col(f"s{j}")).alias(_pair(i, j)) for i, j in PAIRS
     ])
-    return scratch.table(_factored(moments), "estimate")
+    return storage.table(_factored(moments), "estimate")
 
 
 def estimates(points: DataFrame) -> DataFrame:
@@ -184,23 +184,23 @@ def estimates(points: DataFrame) -> DataFrame:
         now = _concentrate(points, now)
     columns = now.columns
     least = now.groupBy("pool").agg(F.min(F.struct("logdet", "start", *[c for c in columns if c not in ("pool", "start", "logdet")])).alias("best"))
-    now, settled = scratch.table(least.select("pool", "best.*").select(columns), "estimate"), []
+    now, settled = storage.table(least.select("pool", "best.*").select(columns), "estimate"), []
     while True:  # each turn's determinants fall, or the pool is settled
         new = _concentrate(points, now)
         before = now.select("pool", F.struct(*columns).alias("old"), F.col("logdet").alias("at"))
         both = new.select("pool", F.struct(*columns).alias("new"), F.col("logdet").alias("to")).join(before, "pool")
         falls = F.col("to") < F.col("at") - NO_FALL
         settled.append(both.where(~falls).select(F.when(F.col("to") < F.col("at"), F.col("new")).otherwise(F.col("old")).alias("e")).select("e.*"))
-        now = scratch.table(both.where(falls).select("new.*"), "estimate")
+        now = storage.table(both.where(falls).select("new.*"), "estimate")
         if now.isEmpty():
             break
     found = settled[0]
     for more in settled[1:]:
         found = found.unionByName(more)
-    found = scratch.table(found, "settled")
+    found = storage.table(found, "settled")
     middle = _distances(points, found).groupBy("pool").agg(F.percentile_approx("d2", 0.5, 10_000).alias("middle"))
     scale = F.greatest(F.col("middle") / CHI2_MEDIAN, F.lit(1.0)).alias("scale")
-    return scratch.table(found.join(middle, "pool").select(*columns, scale), "estimates")
+    return storage.table(found.join(middle, "pool").select(*columns, scale), "estimates")
 
 
 def pools(rows: DataFrame) -> DataFrame:
@@ -209,7 +209,7 @@ def pools(rows: DataFrame) -> DataFrame:
     sizes = rows.where("v0 is not null").groupBy("lang", "source").agg(F.count("*").alias("size"))
     sizes = sizes.withColumn("language_size", F.sum("size").over(Window.partitionBy("lang")))
     pool = F.when(F.col("size") >= MIN_GROUP, named("source", "lang", "source")).when(F.col("language_size") >= MIN_GROUP, named("language", "lang"))
-    groups = scratch.table(sizes.withColumn("pool", F.coalesce(pool, F.lit("all"))), "groups")
+    groups = storage.table(sizes.withColumn("pool", F.coalesce(pool, F.lit("all"))), "groups")
     anywhere = not groups.where("pool = 'all'").isEmpty()
     borrowed = F.max(F.col("pool").startswith("language:")).over(Window.partitionBy("lang"))
     feeds = [F.when(F.col("size") >= MIN_GROUP, F.col("pool")), F.when(borrowed, named("language", "lang")), F.lit("all" if anywhere else None).cast("string")]
@@ -226,7 +226,7 @@ def kept_rows(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
 
     They are written with a key of their own first, which stays the same when a task runs again.
     """
-    rows = scratch.table(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    rows = storage.table(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
     kept = _judged(rows, cutoff).where("kept").select("row")
     return rows.join(kept, "row", "left_semi").select(docs.columns)
 
@@ -234,10 +234,10 @@ def kept_rows(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
 def _judged(docs: DataFrame, cutoff: float) -> DataFrame:
     rows = vectors(statistics(docs))
     key = F.xxhash64("doc_id", "n_words", "word_chars")
-    rows = scratch.table(rows.withColumn("salt", F.pmod(key, F.lit(SALTS)).cast("int")), "rule_rows")
+    rows = storage.table(rows.withColumn("salt", F.pmod(key, F.lit(SALTS)).cast("int")), "rule_rows")
     name = F.concat(F.lit("name:"), F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"}))
     copies = pools(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = scratch.table(rows.withColumn("name", name).join(copies, ["name", "salt"], "left").drop("name"), "pooled_rows")
+    rows = storage.table(rows.withColumn("name", name).join(copies, ["name", "salt"], "left").drop("name"), "pooled_rows")
     points = rows.where("v0 is not null").select(F.explode("feeds").alias("pool"), "salt", *V)
     judged = _distances(rows, estimates(points), "left").withColumn("distance", F.col("d2") / F.col("scale"))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scratch
+from .. import storage
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 BLOCK = 1 << 15
@@ -94,19 +94,21 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps alternate until nothing changes.  Each step is a
     grouped minimum and a join, and is written to the shared folder.
     """
-    edges = scratch.table(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")), "links")
+    edges = storage.table(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")), "links")
     before = None
     while True:
+        superseded = edges
         # large star: each vertex's larger neighbours move to its smallest neighbour
         both = edges.select("v", "u").unionAll(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
         large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
-        large = scratch.table(large, "large")
+        large = storage.table(large, "large")
         # small star: each vertex's smaller neighbours and itself move to the smallest of them
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.explode(F.array("v", "u")).alias("v"), F.col("m").alias("u")).where("v > u").distinct()
-        small = scratch.table(small, "small")
+        small = storage.table(small, "small")
         state = small.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        storage.free(superseded, large)
         if state == before:
             return small.select("v", F.col("u").alias("root"))
         before, edges = state, small
@@ -114,13 +116,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint as 16 hex digits, component_id: the smallest doc_id reachable)."""
-    prints = scratch.table(fingerprints(docs, shingle), "fingerprints")
-    vertices = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "vertices")
-    roots = scratch.table(components(links(vertices.select("fp"), radius)), "roots")
+    prints = storage.table(fingerprints(docs, shingle), "fingerprints")
+    vertices = storage.table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "vertices")
+    roots = storage.table(components(links(vertices.select("fp"), radius)), "roots")
     # a component's id is the smallest first document of its fingerprints
     rooted = vertices.join(roots, vertices.fp == roots.v, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = scratch.table(rooted.join(named, "root").select("fp", "component_id"), "classes")
+    classes = storage.table(rooted.join(named, "root").select("fp", "component_id"), "classes")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return prints.join(classes, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
@@ -181,7 +183,7 @@ def _marked(docs: DataFrame, shingle: int) -> DataFrame:
 
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
     kinds = ", ".join(f"`{n}` {k}" for n, k in numbered.dtypes)
-    return scratch.table(numbered.mapInArrow(run, f"{kinds}, vertex long, prints array<long>"), "marked")
+    return storage.table(numbered.mapInArrow(run, f"{kinds}, vertex long, prints array<long>"), "marked")
 
 
 def _keys() -> Column:
@@ -244,7 +246,7 @@ def text_links(rows: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAS
     """
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("first")
     vertices = rows.groupBy("vertex").agg(F.min("row").alias("row"), first, F.min("prints").alias("prints"))
-    vertices = scratch.table(vertices, "vertices")
+    vertices = storage.table(vertices, "vertices")
     known = vertices.where("prints is not null").select("vertex", "prints")
     # rows that are small now and many soon: dealt out first, as one small file would be one long task
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -252,28 +254,28 @@ def text_links(rows: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAS
     order = Window.partitionBy("key").orderBy("vertex")
     before = [F.lag("vertex", k).over(order) for k in range(1, LOOK_BACK + 1)]
     met = balls.select("vertex", F.first("vertex").over(order).alias("head"), F.row_number().over(order).alias("at"), *[b.alias(f"b{k}") for k, b in enumerate(before)]).where("at > 1")
-    met = scratch.table(met.select(F.col("vertex").alias("b"), F.array_distinct(F.array_compact(F.array("head", *[f"b{k}" for k in range(LOOK_BACK)]))).alias("others"), (F.col("at") > LOOK_BACK + 1).alias("more")), "met")
-    found = scratch.table(_close(met.select(F.explode("others").alias("a"), "b"), known), "close")
+    met = storage.table(met.select(F.col("vertex").alias("b"), F.array_distinct(F.array_compact(F.array("head", *[f"b{k}" for k in range(LOOK_BACK)]))).alias("others"), (F.col("at") > LOOK_BACK + 1).alias("more")), "met")
+    found = storage.table(_close(met.select(F.explode("others").alias("a"), "b"), known), "close")
     ends = found.select(F.explode(F.array("a", "b")).alias("vertex"))
-    large = scratch.table(met.where("more").select(F.explode(F.array_append("others", F.col("b"))).alias("vertex")).distinct(), "large")
+    large = storage.table(met.where("more").select(F.explode(F.array_append("others", F.col("b"))).alias("vertex")).distinct(), "large")
     chosen = vertices.join(ends.unionByName(large).distinct(), "vertex", "left_semi").select("row")
-    texts = scratch.table(rows.join(chosen, "row", "left_semi").select("vertex", "text"), "texts")
+    texts = storage.table(rows.join(chosen, "row", "left_semi").select("vertex", "text"), "texts")
 
-    links = scratch.table(_verified(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, shingle, least), "links")
-    roots = scratch.table(components(links), "roots")
-    links = scratch.table(links.unionByName(_verified(_across(found, roots), texts, shingle, least)), "links")
-    roots = scratch.table(components(links), "roots")
+    links = storage.table(_verified(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, shingle, least), "links")
+    roots = storage.table(components(links), "roots")
+    links = storage.table(links.unionByName(_verified(_across(found, roots), texts, shingle, least)), "links")
+    roots = storage.table(components(links), "roots")
 
     some = known.join(large, "vertex", "left_semi").join(roots.withColumnRenamed("v", "vertex"), "vertex", "left")
     some = some.select("vertex", "prints", F.coalesce("root", "vertex").alias("root"))
     keyed = some.repartition(parts, "vertex").select("vertex", "root", F.explode(_keys()).alias("key"))
-    mixed = scratch.table(keyed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key"), "mixed")
-    keyed = scratch.table(some.select("vertex", "prints", "root", F.explode(_keys()).alias("key")).join(mixed, "key", "left_semi"), "mixed_keys")
+    mixed = storage.table(keyed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key"), "mixed")
+    keyed = storage.table(some.select("vertex", "prints", "root", F.explode(_keys()).alias("key")).join(mixed, "key", "left_semi"), "mixed_keys")
     one, other = (keyed.select("key", F.col("vertex").alias(v), F.col("prints").alias(p), F.col("root").alias(r)) for v, p, r in (("a", "p", "r"), ("b", "q", "s")))
     rest = one.join(other, "key").where((F.col("r") < F.col("s")) & (_differing("p", "q") <= MOST_BITS)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = rest.join(found, ["a", "b"], "left_anti")  # what was verified in vain
-    links = links.unionByName(_verified(scratch.table(rest, "rest"), texts, shingle, least))
-    return vertices.select("vertex", "first"), scratch.table(components(links), "roots")
+    links = links.unionByName(_verified(storage.table(rest, "rest"), texts, shingle, least))
+    return vertices.select("vertex", "first"), storage.table(components(links), "roots")
 
 
 def first_of_each(docs: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAST) -> DataFrame:

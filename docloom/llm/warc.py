@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import scratch
+from .. import storage
 
 #: Bytes of a file at most, about, and records; a page larger than that has a file of its own.
 FILE_BYTES, RECORDS_PER_FILE = 128 << 20, 2000
@@ -62,7 +62,7 @@ def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html"), *size)
     own = own.withColumn("digest", base32_sha1(F.col("html").cast("binary")))
     groups = own.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.count("*").alias("copies"), F.max("page_id").alias("kept"))
-    shared = scratch.table(groups.where("copies > 1 and kept is not null").select("digest", "kept"), "payloads")
+    shared = storage.table(groups.where("copies > 1 and kept is not null").select("digest", "kept"), "payloads")
     refers = F.when((F.col("page_id") < F.col("kept")) | F.col("page_id").isNull(), F.col("kept"))
     return own.join(shared, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"), *size)
 
@@ -248,7 +248,7 @@ def quarantine(records: DataFrame, path: str) -> DataFrame:
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Writes archives of the pages into the shared folder and returns a row for each record read back; a gap is an error."""
-    write(pages, where := scratch.path(pages.sparkSession, "warc"), least_bytes)
+    write(pages, where := storage.path(pages.sparkSession, "warc"), least_bytes)
     lost = F.raise_error(F.concat_ws(" ", F.lit("a record was not read back:"), "file", "start", "end"))
     records = read(pages.sparkSession, where).withColumn("record_type", F.coalesce("record_type", lost.cast("string")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
