@@ -136,7 +136,10 @@ WORDS, BLOCK_BITS, BLOCK_RADIUS = 7, 28, 2
 MOST_BITS = 98
 #: Texts before it, in order, that a text of a key group is held against at first.
 LOOK_BACK = 3
-_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
+#: Parts that a component's texts are dealt to where another component meets it.
+SALTS = 16
+#: Fixed values of the mixture: two factors, and the step between its streams.
+_MIX, _STEP = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)), 0x9E3779B97F4A7C15
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -159,7 +162,7 @@ def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
     ones = np.zeros((WORDS, 64), np.int64)
     for at in range(0, len(hashes), BLOCK):
         for k in range(WORDS):
-            z = hashes[at : at + BLOCK] + _MIX[2] * np.uint64(k + 1)
+            z = hashes[at : at + BLOCK] + np.uint64(_STEP * (k + 1) % 2**64)
             z = (z ^ z >> np.uint64(30)) * _MIX[0]
             z = (z ^ z >> np.uint64(27)) * _MIX[1]
             z ^= z >> np.uint64(31)
@@ -238,8 +241,8 @@ def text_links(rows: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAS
        never gathered; that is every pair of a group of up to four texts.
     2. Of pairs whose whole fingerprints are near, each text's first is verified; then
        those of the others that are not joined yet.
-    3. The exact way for larger groups: their texts are dealt out on variants again, and
-       in each group those of different components meet, all of them, where their whole
+    3. The exact way for larger groups: components of their texts that still share a
+       variant meet, the smaller one's texts each of the larger one's, where their whole
        fingerprints are near.  Most groups have one component by then.
 
     So links are lost by neither size nor order of a group, and no step makes all pairs of one.
@@ -268,11 +271,21 @@ def text_links(rows: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAS
 
     some = known.join(large, "vertex", "left_semi").join(roots.withColumnRenamed("v", "vertex"), "vertex", "left")
     some = some.select("vertex", "prints", F.coalesce("root", "vertex").alias("root"))
-    keyed = some.repartition(parts, "vertex").select("vertex", "root", F.explode(_keys()).alias("key"))
-    mixed = storage.table(keyed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key"), "mixed")
-    keyed = storage.table(some.select("vertex", "prints", "root", F.explode(_keys()).alias("key")).join(mixed, "key", "left_semi"), "mixed_keys")
-    one, other = (keyed.select("key", F.col("vertex").alias(v), F.col("prints").alias(p), F.col("root").alias(r)) for v, p, r in (("a", "p", "r"), ("b", "q", "s")))
-    rest = one.join(other, "key").where((F.col("r") < F.col("s")) & (_differing("p", "q") <= MOST_BITS)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    some = storage.table(some, "members")
+    keyed = some.repartition(parts, "vertex").select("root", F.explode(_keys()).alias("key")).distinct()
+    keyed = storage.table(keyed, "component_keys")
+    mixed = storage.table(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "mixed")
+    keyed = storage.table(keyed.join(mixed, "key", "left_semi"), "mixed_keys")
+    met = keyed.join(keyed.select("key", F.col("root").alias("other")), "key").where("root < other").select("root", "other").distinct()
+    # of two components the smaller one's texts are sent to the larger one's, which are dealt out over salts
+    sizes = storage.table(some.groupBy("root").agg(F.count("*").alias("size")), "sizes")
+    met = met.join(sizes, "root").join(sizes.select(F.col("root").alias("other"), F.col("size").alias("other_size")), "other")
+    small, large_one = (F.when(F.col("size") <= F.col("other_size"), one).otherwise(two) for one, two in ((F.col("root"), F.col("other")), (F.col("other"), F.col("root"))))
+    met = storage.table(met.select(small.alias("small"), large_one.alias("large")), "component_pairs")
+    sent = met.join(some.select(F.col("root").alias("small"), F.col("vertex").alias("a"), F.col("prints").alias("p")), "small")
+    sent = sent.select("large", "a", "p", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    held = some.select(F.col("root").alias("large"), F.col("vertex").alias("b"), F.col("prints").alias("q"), F.pmod(F.xxhash64("vertex"), F.lit(SALTS)).cast("int").alias("salt"))
+    rest = sent.join(held, ["large", "salt"]).where(_differing("p", "q") <= MOST_BITS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = rest.join(found, ["a", "b"], "left_anti")  # what was verified in vain
     links = links.unionByName(_verified(storage.table(rest, "rest"), texts, shingle, least))
     return vertices.select("vertex", "first"), storage.table(components(links), "roots")
