@@ -132,12 +132,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 TEXT_SHINGLE, LEAST = 5, 0.8
 #: A long fingerprint's words of 64 bits, each of which gives two key blocks of so many bits, and the radius within a block.
 WORDS, BLOCK_BITS, BLOCK_RADIUS = 7, 28, 2
-#: Bits of the long fingerprint in which texts of the least similarity differ: a mean of 68 of 448, and four deviations more.
-MOST_BITS = 98
-#: Texts before it, in order, that a text of a key group is held against at first.
-LOOK_BACK = 3
-#: Parts that a component's texts are dealt to where another component meets it.
-SALTS = 16
+#: Bits of the long fingerprint in which texts of the least similarity differ: a mean of 68 of 448, and three deviations more (one pair in 600 differs in more).
+MOST_BITS = 90
 #: Fixed values of the mixture: two factors, and the step between its streams.
 _MIX, _STEP = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)), 0x9E3779B97F4A7C15
 
@@ -236,14 +232,13 @@ def _across(found: DataFrame, roots: DataFrame) -> DataFrame:
 def text_links(rows: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
     """Rows of ``_marked`` to vertices (vertex, first) and (v, root), the components of the links between different texts.
 
-    1. One shuffle on variants.  In each key group, in the order of vertices, a text is
-       held against the first and the three before it, in a window that spills and is
-       never gathered; that is every pair of a group of up to four texts.
+    1. One shuffle on variants.  In each key group every text is held against the first,
+       in a window that spills and is never gathered.
     2. Of pairs whose whole fingerprints are near, each text's first is verified; then
        those of the others that are not joined yet.
-    3. The exact way for larger groups: components of their texts that still share a
-       variant meet, the smaller one's texts each of the larger one's, where their whole
-       fingerprints are near.  Most groups have one component by then.
+    3. The exact way for groups of more than two: where they still hold texts of different
+       components, these texts meet, all of them, where their whole fingerprints are
+       near.  Most groups have one component by then.
 
     So links are lost by neither size nor order of a group, and no step makes all pairs of one.
     """
@@ -254,14 +249,15 @@ def text_links(rows: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAS
     # rows that are small now and many soon: dealt out first, as one small file would be one long task
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     balls = known.repartition(parts, "vertex").select("vertex", F.explode(_keys()).alias("key"))
-    order = Window.partitionBy("key").orderBy("vertex")
-    before = [F.lag("vertex", k).over(order) for k in range(1, LOOK_BACK + 1)]
-    met = balls.select("vertex", F.first("vertex").over(order).alias("head"), F.row_number().over(order).alias("at"), *[b.alias(f"b{k}") for k, b in enumerate(before)]).where("at > 1")
-    met = storage.table(met.select(F.col("vertex").alias("b"), F.array_distinct(F.array_compact(F.array("head", *[f"b{k}" for k in range(LOOK_BACK)]))).alias("others"), (F.col("at") > LOOK_BACK + 1).alias("more")), "met")
-    found = storage.table(_close(met.select(F.explode("others").alias("a"), "b"), known), "close")
+    group = Window.partitionBy("key")
+    met = balls.select("vertex", "key", F.min("vertex").over(group).alias("head"), F.count("*").over(group).alias("n")).where("n > 1")
+    met = storage.table(met.select(F.col("vertex").alias("b"), F.col("head").alias("a"), F.when(F.col("n") > 2, F.col("key")).alias("key")), "met")
+    found = storage.table(_close(met.where("a < b").select("a", "b"), known), "close")
+    # a text has a bounded number of keys, so those that it shares with many others lie in its row
+    large = met.where("key is not null").groupBy(F.col("b").alias("vertex")).agg(F.collect_set("key").alias("keys"))
+    large = storage.table(large, "large")
     ends = found.select(F.explode(F.array("a", "b")).alias("vertex"))
-    large = storage.table(met.where("more").select(F.explode(F.array_append("others", F.col("b"))).alias("vertex")).distinct(), "large")
-    chosen = vertices.join(ends.unionByName(large).distinct(), "vertex", "left_semi").select("row")
+    chosen = vertices.join(ends.unionByName(large.select("vertex")).distinct(), "vertex", "left_semi").select("row")
     texts = storage.table(rows.join(chosen, "row", "left_semi").select("vertex", "text"), "texts")
 
     links = storage.table(_verified(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, shingle, least), "links")
@@ -269,23 +265,13 @@ def text_links(rows: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAS
     links = storage.table(links.unionByName(_verified(_across(found, roots), texts, shingle, least)), "links")
     roots = storage.table(components(links), "roots")
 
-    some = known.join(large, "vertex", "left_semi").join(roots.withColumnRenamed("v", "vertex"), "vertex", "left")
-    some = some.select("vertex", "prints", F.coalesce("root", "vertex").alias("root"))
-    some = storage.table(some, "members")
-    keyed = some.repartition(parts, "vertex").select("root", F.explode(_keys()).alias("key")).distinct()
-    keyed = storage.table(keyed, "component_keys")
-    mixed = storage.table(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "mixed")
-    keyed = storage.table(keyed.join(mixed, "key", "left_semi"), "mixed_keys")
-    met = keyed.join(keyed.select("key", F.col("root").alias("other")), "key").where("root < other").select("root", "other").distinct()
-    # of two components the smaller one's texts are sent to the larger one's, which are dealt out over salts
-    sizes = storage.table(some.groupBy("root").agg(F.count("*").alias("size")), "sizes")
-    met = met.join(sizes, "root").join(sizes.select(F.col("root").alias("other"), F.col("size").alias("other_size")), "other")
-    small, large_one = (F.when(F.col("size") <= F.col("other_size"), one).otherwise(two) for one, two in ((F.col("root"), F.col("other")), (F.col("other"), F.col("root"))))
-    met = storage.table(met.select(small.alias("small"), large_one.alias("large")), "component_pairs")
-    sent = met.join(some.select(F.col("root").alias("small"), F.col("vertex").alias("a"), F.col("prints").alias("p")), "small")
-    sent = sent.select("large", "a", "p", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    held = some.select(F.col("root").alias("large"), F.col("vertex").alias("b"), F.col("prints").alias("q"), F.pmod(F.xxhash64("vertex"), F.lit(SALTS)).cast("int").alias("salt"))
-    rest = sent.join(held, ["large", "salt"]).where(_differing("p", "q") <= MOST_BITS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    some = large.join(known, "vertex").join(roots.withColumnRenamed("v", "vertex"), "vertex", "left")
+    some = storage.table(some.select("vertex", "prints", F.coalesce("root", "vertex").alias("root"), "keys"), "members")
+    keyed = some.select("vertex", "prints", "root", F.explode("keys").alias("key"))
+    keyed = keyed.withColumns({"least": F.min("root").over(group), "most": F.max("root").over(group)}).where("least < most")
+    keyed = storage.table(keyed.drop("least", "most"), "mixed_keys")
+    one, other = (keyed.select("key", F.col("vertex").alias(v), F.col("prints").alias(p), F.col("root").alias(r)) for v, p, r in (("a", "p", "r"), ("b", "q", "s")))
+    rest = one.join(other, "key").where((F.col("r") < F.col("s")) & (_differing("p", "q") <= MOST_BITS)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = rest.join(found, ["a", "b"], "left_anti")  # what was verified in vain
     links = links.unionByName(_verified(storage.table(rest, "rest"), texts, shingle, least))
     return vertices.select("vertex", "first"), storage.table(components(links), "roots")
