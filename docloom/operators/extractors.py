@@ -280,3 +280,57 @@ def as_toml(rows: DataFrame, key: str) -> DataFrame:
         return F.concat(F.lit(f"{name} = "), quoted if kind == "string" else text)
 
     return rows.select(key, F.concat_ws("\n", *[line(n, k) for n, k in rows.dtypes]).alias("toml"))
+
+
+# --- calculators, images, fragments, media ---
+
+
+def calculated(x: Column, program: str) -> Column:
+    """A postfix program, such as ``{ dup mul 2 div }``, as a column expression of one input; what is topmost at its end is the value."""
+    two = {"add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": lambda a, b: F.try_divide(a, b), "exp": lambda a, b: F.pow(a, b), "mod": lambda a, b: F.try_mod(a, b)}
+    one = {"neg": lambda a: -a, "abs": F.abs, "sqrt": lambda a: F.sqrt(a), "floor": lambda a: F.floor(a).cast("double"), "ceiling": lambda a: F.ceil(a).cast("double"), "truncate": lambda a: F.when(a < 0, F.ceil(a)).otherwise(F.floor(a)).cast("double"), "ln": lambda a: F.ln(a), "log": lambda a: F.log10(a), "sin": lambda a: F.sin(F.radians(a)), "cos": lambda a: F.cos(F.radians(a))}
+    stack: list[Column] = [x.cast("double")]
+    for word in program.strip().removeprefix("{").removesuffix("}").split():
+        if word in two:
+            b, a = stack.pop(), stack.pop()
+            stack.append(two[word](a, b))
+        elif word in one:
+            stack.append(one[word](stack.pop()))
+        elif word == "dup":
+            stack.append(stack[-1])
+        elif word == "pop":
+            stack.pop()
+        elif word == "exch":
+            stack[-2:] = stack[:-3:-1]
+        else:
+            stack.append(F.lit(float(word)))
+    return stack[-1]
+
+
+def inline_images(programs: DataFrame, key: str = "doc_id", text: str = "program") -> DataFrame:
+    """(key, ord, width, height, depth, filter, n_chars) of images that stand in a page program between BI, ID and EI."""
+    each = programs.select(key, F.posexplode(F.regexp_extract_all(text, F.lit("(?s)\\bBI\\b\\s(.*?)\\bID\\s(?:.*?)\\sEI\\b"), F.lit(0))).alias("ord", "image"))
+    head, body = F.regexp_extract("image", "(?s)^BI\\s(.*?)\\bID\\s", 1), F.regexp_extract("image", "(?s)\\bID\\s(.*)\\sEI$", 1)
+    number = lambda short, long: F.regexp_extract(head, f"/(?:{short}|{long})\\s+([0-9]+)", 1).try_cast("long")
+    name = F.regexp_extract(head, "/(?:F|Filter)\\s*/([A-Za-z0-9]+)", 1)
+    return each.select(key, "ord", number("W", "Width").alias("width"), number("H", "Height").alias("height"), number("BPC", "BitsPerComponent").alias("depth"), F.when(name != "", name).alias("filter"), F.length(body).alias("n_chars"))
+
+
+def fragments(rows: DataFrame, key: str, content: str, size: int) -> DataFrame:
+    """(key, ord, n_bytes, sha256): binary content in pieces of so many bytes, each with its digest."""
+    starts = F.when(F.octet_length(content) > 0, F.sequence(F.lit(0), F.floor((F.octet_length(content) - 1) / size).cast("int")))
+    each = rows.select(key, content, F.explode(starts).alias("ord"))
+    part = F.substring(content, F.col("ord") * size + 1, F.lit(size))
+    return each.select(key, "ord", F.octet_length(part).alias("n_bytes"), F.sha2(part, 256).alias("sha256"))
+
+
+#: Kinds of media by an annotation's subtype, and the keys that tell of each.
+MEDIA_KEYS = {"RichMedia": ["Activation", "Views", "Assets"], "3D": ["3DD", "3DV", "3DA"], "Sound": ["R", "C", "B", "E"], "Movie": ["Aspect", "Rotate", "Poster"]}
+
+
+def media(nodes: DataFrame) -> DataFrame:
+    """(doc_id, id, kind, info) of media annotations: the keys that tell of their kind, with their values."""
+    subtype = F.try_element_at("props", F.lit("Subtype"))
+    wanted = F.try_element_at(F.create_map(*[x for k, v in MEDIA_KEYS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), subtype)
+    own = nodes.where(subtype.isin(*MEDIA_KEYS)).withColumn("wanted", wanted)
+    return own.select("doc_id", "id", subtype.alias("kind"), F.map_filter("props", lambda k, v: F.array_contains("wanted", k)).alias("info"))

@@ -9,6 +9,7 @@ from ..functions import filters
 from ..graph import CUSTOMER, NATION, ORDER, Tables, org_graph
 from ..operators import extractors as x
 from ..operators import rules, security
+from ..sources import graphs
 from .registry import ORG, query
 
 
@@ -227,3 +228,45 @@ def codec_choice(t: Tables) -> DataFrame:
     stream = stream.when(k == 2, F.concat(wide, F.repeat(F.lit("\xe9m \xe9l "), 30))).when(k == 3, F.concat(wide, F.repeat(F.lit("\xe9/\xe9[\xe9]\xe9"), 40))).otherwise(wide)
     kind = filters.content_class(stream)
     return t.nation.select("n_nationkey", kind.alias("kind"), filters.best_codec(kind, stream).alias("codec"))
+
+
+@query("SELECT l_quantity, round(sqrt(abs(l_quantity * l_quantity / 2 - 10)) + l_quantity, 6) AS v, count(*) AS n FROM lineitem GROUP BY 1")
+def sc_calculator(t: Tables) -> DataFrame:
+    """Quantities through a postfix program."""
+    v = x.calculated(F.col("l_quantity"), "{ dup dup mul 2 div 10 sub abs sqrt exch add }")
+    return t.lineitem.groupBy("l_quantity", F.round(v, 6).alias("v")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey AS doc_id, i AS ord, (p_size + i)::BIGINT AS width, p_size::BIGINT AS height, 8::BIGINT AS depth, CASE i WHEN 0 THEN 'AHx' END AS filter, length(p_brand) AS n_chars FROM part, unnest([0, 1]) AS u(i)")
+def content_inline_images(t: Tables) -> DataFrame:
+    """Two images in the page program of each part."""
+    image = lambda i, more: F.concat(F.format_string("q BI /W %d /Height %d /BPC 8", F.col("p_size") + i, F.col("p_size")), F.lit(more + " ID "), "p_brand", F.lit("\nEI Q\n"))
+    return x.inline_images(t.part.select(F.col("p_partkey").alias("doc_id"), F.concat(image(0, " /F /AHx"), image(1, "")).alias("program")))
+
+
+@query("SELECT event_id, i AS ord, length(substr(props, 8 * i + 1, 8)) AS n_bytes, sha256(substr(props, 8 * i + 1, 8)) AS sha256 FROM events, unnest(range((length(props) + 7) // 8)) AS u(i)")
+def sc_fragments(t: Tables) -> DataFrame:
+    return x.fragments(t.events.select("event_id", F.col("props").cast("binary").alias("content")), "event_id", "content", 8)
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'Sound' ELSE 'Movie' END AS kind, CASE p_partkey % 3 WHEN 0 THEN p_brand ELSE p_type END AS told FROM part WHERE p_partkey % 3 < 2")
+def media_annotations(t: Tables) -> DataFrame:
+    k = F.col("p_partkey") % 3
+    props = F.create_map(F.lit("Subtype"), F.when(k == 0, "Sound").when(k == 1, "Movie").otherwise("Link"), F.lit("R"), F.col("p_brand"), F.lit("Aspect"), F.col("p_type"))
+    nodes = t.part.select(F.lit("a").alias("doc_id"), F.col("p_partkey").alias("id"), props.alias("props"))
+    return x.media(nodes).select("id", "kind", F.element_at(F.map_values("info"), 1).alias("told"))
+
+
+@query("SELECT n_nationkey AS id, n_name AS name, '1.1.0' AS schema_version, 0 AS n_errors FROM nation")
+def sink_migrated(t: Tables) -> DataFrame:
+    """Rows of an older version brought up to the present one."""
+    old = t.nation.select(F.col("n_nationkey").alias("id"), F.create_map(F.lit("name"), "n_name").alias("properties"), F.lit("1.0.0").alias("schema_version"))
+    new = graphs.migrated(old)
+    return new.select("id", F.try_element_at("props", F.lit("name")).alias("name"), "schema_version", F.size("errors").alias("n_errors"))
+
+
+@query("""SELECT * FROM (VALUES ('nodes', 'doc_id', 'string'), ('nodes', 'errors', 'array'), ('nodes', 'id', 'long'), ('nodes', 'node_type', 'string'), ('nodes', 'props', 'map'), ('nodes', 'value', 'double'),
+    ('edges', 'doc_id', 'string'), ('edges', 'dst', 'long'), ('edges', 'edge_type', 'string'), ('edges', 'ord', 'integer'), ('edges', 'src', 'long')) AS t("table", "column", "kind")""")
+def sink_schema(t: Tables) -> DataFrame:
+    """The stable form as a schema: each table's columns."""
+    return t.spark.createDataFrame(graphs.described(), "table string, column string, kind string")

@@ -11,6 +11,43 @@ from ..graph import Graph
 VERSION = "1.1.0"
 
 
+SCHEMAS = {
+    "nodes": "doc_id string, id long, node_type string, props map<string,string>, value double, errors array<string>",
+    "edges": "doc_id string, src long, dst long, edge_type string, ord int",
+}
+
+
+def described() -> list[tuple[str, str, str]]:
+    """(table, column, kind) of the stable form."""
+    from pyspark.sql.types import StructType
+
+    kind = lambda t: t if isinstance(t, str) else t["type"]
+    return [(name, f["name"], kind(f["type"])) for name, schema in SCHEMAS.items() for f in StructType.fromDDL(schema).jsonValue()["fields"]]
+
+
+def _to_1_1(nodes: DataFrame) -> DataFrame:
+    """1.0.0 called properties by their whole name and knew no errors."""
+    return nodes.withColumnRenamed("properties", "props").withColumn("errors", F.array().cast("array<string>")).withColumn("schema_version", F.lit("1.1.0"))
+
+
+#: What brings rows of a version to the next.
+STEPS = {"1.0.0": _to_1_1}
+
+
+def migrated(nodes: DataFrame) -> DataFrame:
+    """Rows of one older version, step by step, as of the present version; ValueError where no step leads on."""
+    versions = [r[0] for r in nodes.select("schema_version").distinct().limit(2).collect()]
+    if len(versions) > 1:
+        raise ValueError("rows of more than one version")
+    at = versions[0] if versions else VERSION
+    while at != VERSION:
+        if at not in STEPS:
+            raise ValueError(f"no way from version {at} to {VERSION}")
+        nodes = STEPS[at](nodes)
+        at = nodes.select("schema_version").first()[0]
+    return nodes
+
+
 def write(g: Graph, path: str, form: str = "parquet") -> None:
     """Nodes and edges under the path, each row with the version."""
     for name, df in (("nodes", g.nodes), ("edges", g.edges)):
@@ -19,10 +56,7 @@ def write(g: Graph, path: str, form: str = "parquet") -> None:
 
 def read(spark: SparkSession, path: str, form: str = "parquet") -> Graph:
     """The graph under the path; ValueError for rows of another major version."""
-    schemas = {
-        "nodes": "doc_id string, id long, node_type string, props map<string,string>, value double, errors array<string>, schema_version string",
-        "edges": "doc_id string, src long, dst long, edge_type string, ord int, schema_version string",
-    }
+    schemas = {name: f"{schema}, schema_version string" for name, schema in SCHEMAS.items()}
     parts = {}
     for name, schema in schemas.items():
         reader = spark.read.format(form)
