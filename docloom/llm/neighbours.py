@@ -193,7 +193,10 @@ def _reach(index: DataFrame, asks: DataFrame, own: Index, asked: int, k: int, re
         (first, second), halves = own.near(v), (v[: own.half], v[own.half :])
         a, b = mine["cell"].to_numpy() // codes, mine["cell"].to_numpy() % codes
         spread = np.linalg.norm(halves[0]) * own.spreads[0][a] + np.linalg.norm(halves[1]) * own.spreads[1][b]
-        needed += ((mine["score"].min() - first[a] - second[b]) / np.maximum(spread, 1e-12)).tolist()
+        own_reach = (mine["score"].min() - first[a] - second[b]) / np.maximum(spread, 1e-12)
+        cells = mine["cell"].to_numpy()
+        met = np.isin(own.base[cells], own.first(v)) & (own.parts[cells] == 1)  # by the first round, whatever the reach
+        needed += np.where(met, 0.0, own_reach).tolist()
     return max(0.0, float(np.quantile(needed, recall, method="higher"))) if needed else float("inf")
 
 
