@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import values as vl
-from ..graph import CHILD, CUSTOMER, Graph, Tables, org_graph
+from ..graph import CHILD, CUSTOMER, Tables, org_graph
 from ..operators import aggregates, rules, security, transforms, validation
 from ..operators import selectors as s
 from .registry import ORG, query
