@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, main_text, neighbours, packing, pii, rules, simhash, token_counts, warc
+from . import alignment, bpe, classifier, id_files, main_text, neighbours, packing, pii, prefix_trie, rules, simhash, token_counts, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.main_texts(_read(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(_read(spark, sf_dir, "conversations"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.scored(_read(spark, sf_dir, "documents"))
+
+
+def op13_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_files.round_trip(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -67,6 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc,
         op9_simhash,
         op10_main_text,
+        op11_prefix_trie,
+        op12_alignment,
+        op13_id_files,
     )
 }
 
@@ -85,4 +100,22 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN page_id < last THEN last END AS refers_to
         FROM kept""",
+    "op11_prefix_trie": """
+        WITH crc_table AS (SELECT [list_reduce([i] || range(8), lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) FOR i IN range(256)] AS t),
+        turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        ids AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base FROM turns),
+        crcs AS (SELECT conv_id, base, xor(list_reduce([4294967295] || [ord(c)::BIGINT FOR c IN string_split(conv_id::VARCHAR, '')], lambda x, b: xor(x >> 8, t[(xor(x, b) & 255) + 1])), 4294967295) % 4 AS h FROM ids, crc_table),
+        rebuilt AS (SELECT c.conv_id, 0 AS own, p, role, text FROM crcs c JOIN turns t ON t.conv_id = c.base WHERE p <= h
+            UNION ALL SELECT c.conv_id, 1, p, role, text FROM crcs c JOIN turns t ON t.conv_id = c.conv_id WHERE p > h),
+        paths AS (SELECT conv_id, text, list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY own, p) AS path FROM rebuilt
+            UNION ALL SELECT conv_id, '', [] FROM ids),
+        lens AS (SELECT conv_id, max(len(path)) AS n FROM paths GROUP BY 1),
+        nodes AS (SELECT path, len(path) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) AS saving,
+                   coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(path) = n), '') AS ends FROM paths JOIN lens USING (conv_id) GROUP BY 1, 2),
+        parents AS (SELECT c.path, p.conv_id AS parent_conv_id FROM nodes c JOIN nodes p ON c.depth > 0 AND p.path = c.path[:c.depth - 1]),
+        children AS (SELECT path[:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+        above AS (SELECT path[:d] AS path, sum(saving)::BIGINT AS saved_tokens, (count(*) FILTER (n_children IS NULL))::BIGINT AS n_leaves
+            FROM (SELECT n.path, saving, n_children, unnest(range(depth + 1)) AS d FROM nodes n LEFT JOIN children USING (path)) GROUP BY 1)
+        SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(ends) AS ends_sha256
+        FROM nodes LEFT JOIN parents USING (path) LEFT JOIN children USING (path) JOIN above USING (path)""",
 }
