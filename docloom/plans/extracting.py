@@ -26,15 +26,6 @@ def outline_places(t: Tables) -> DataFrame:
     return x.list_places(items)
 
 
-@query(ORG + """SELECT n.doc_id, n.id, CASE node_type WHEN 'region' THEN 0 WHEN 'nation' THEN 1 ELSE 2 END::BIGINT AS level,
-    row_number() OVER (PARTITION BY n.doc_id ORDER BY CASE node_type WHEN 'region' THEN -1 WHEN 'nation' THEN n.id ELSE n.parent END, n.id) AS place FROM n WHERE node_type <> 'order'""")
-def outline_flat(t: Tables) -> DataFrame:
-    """Regions, nations and customers as a walk in depth meets them."""
-    g = org_graph(t)
-    kids = _children(t).where(F.col("dst") < ORDER)
-    return x.flattened(kids, g.of_type("region").select("doc_id", "id"), depth=2)
-
-
 @query("SELECT c_nationkey AS doc_id, count(*) AS n, count(*) FILTER (coalesce(CASE WHEN c_custkey % 3 > 0 THEN c_acctbal END, 0) >= 0) AS n_visible FROM customer GROUP BY 1")
 def outline_visible(t: Tables) -> DataFrame:
     return x.visible_items(t.customer.select(F.col("c_nationkey").alias("doc_id"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_acctbal")).alias("count")))
@@ -190,12 +181,6 @@ def sec_recommendations(t: Tables) -> DataFrame:
     return x.recommendations(_findings(t))
 
 
-@query("SELECT n_regionkey, 'report of ' || n_regionkey || chr(10) || 'nations: ' || count(*) || chr(10) || 'last: ' || max(n_nationkey) AS report FROM nation GROUP BY 1")
-def diff_report(t: Tables) -> DataFrame:
-    counts = t.nation.groupBy("n_regionkey").agg(F.count("*").alias("nations"), F.max("n_nationkey").alias("last"))
-    return x.report_text(counts, "n_regionkey", ["nations", "last"])
-
-
 @query("SELECT n_nationkey, 'n_nationkey: ' || n_nationkey || chr(10) || 'n_name: \"' || n_name || '\"' AS yaml FROM nation")
 def sink_yaml(t: Tables) -> DataFrame:
     return x.as_yaml(t.nation.select("n_nationkey", "n_name"), "n_nationkey")

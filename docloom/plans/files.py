@@ -83,8 +83,8 @@ def raw_revisions(t: Tables) -> DataFrame:
 
 @query(FILES + "SELECT doc_id, 'XREF_PAST_END' AS code FROM d WHERE again = 1")
 def raw_offsets(t: Tables) -> DataFrame:
-    """Files whose tables point past their end."""
-    return raw.offset_findings(_files(t)).where("code = 'XREF_PAST_END'")
+    """Files whose tables point past their end, or have fewer entries than their trailers say."""
+    return raw.offset_findings(_files(t))
 
 
 _ISSUES = FILES + """, w AS (
@@ -130,13 +130,44 @@ def val_all_profiles(t: Tables) -> DataFrame:
     return done.select("doc_id", "profile", "n_error", "n_warning", "valid", "status")
 
 
-@query("SELECT o_orderkey AS doc_id, 7 + i AS num, CASE i WHEN 0 THEN 'InUse' ELSE 'Compressed' END AS kind, CASE i WHEN 0 THEN o_custkey ELSE o_orderkey % 1000 END AS field2, i AS field3 FROM orders, unnest([0::BIGINT, 1::BIGINT]) AS u(i)")
+@query("SELECT o_orderkey AS doc_id, CASE i WHEN 0 THEN 7 WHEN 1 THEN 8 ELSE o_custkey + 100 END AS num, CASE i WHEN 0 THEN 'InUse' WHEN 1 THEN 'Compressed' ELSE 'Free' END AS kind, CASE i WHEN 0 THEN o_custkey WHEN 1 THEN o_orderkey % 1000 ELSE 5 END AS field2, i AS field3 FROM orders, unnest([0::BIGINT, 1::BIGINT, 2::BIGINT]) AS u(i)")
 def raw_xref_stream(t: Tables) -> DataFrame:
-    """Two rows of a cross-reference stream for each order."""
+    """Three rows of a cross-reference stream for each order, in two ranges of numbers; a third range has no rows left."""
     row = lambda kind, a, b: F.format_string("%02x%08x%04x", F.lit(kind), a, F.lit(b))
-    content: Column = F.unhex(F.concat(row(1, F.col("o_custkey"), 0), row(2, F.col("o_orderkey") % 1000, 1)))
-    streams = t.orders.select(F.col("o_orderkey").alias("doc_id"), F.lit(7).cast("long").alias("first"), content.alias("content"))
-    return raw.stream_entries(streams, [1, 4, 2])
+    content: Column = F.unhex(F.concat(row(1, F.col("o_custkey"), 0), row(2, F.col("o_orderkey") % 1000, 1), row(0, F.lit(5), 2)))
+    pair = lambda first, count: F.struct(first.cast("long").alias("first"), F.lit(count).cast("long").alias("count"))
+    index = F.array(pair(F.lit(7), 2), pair(F.col("o_custkey") + 100, 1), pair(F.lit(1), 3))
+    return raw.stream_entries(t.orders.select(F.col("o_orderkey").alias("doc_id"), index.alias("index"), content.alias("content")), [1, 4, 2])
+
+
+#: Files of three sections whose newest stands first: k is the part's key; every fifth file's oldest section leads back to the newest, every seventh's to nowhere.
+_CHAIN = """WITH c AS (SELECT p_partkey AS k, 'c' || p_partkey AS doc_id, 9 + length('c' || p_partkey) + 1 AS a FROM part),
+    s AS (SELECT *, a + 68 AS b, a + 136 AS o FROM c)
+"""
+
+
+def _chained(t: Tables) -> DataFrame:
+    """The newest section, then the oldest, then the middle one; each has one entry and its /Prev, all of 68 bytes."""
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("c"), k.cast("string"))
+    first = F.length(name) + 10
+    section = lambda num, offset, prev: F.format_string("xref\n%d 1\n%010d 00000 n \ntrailer\n<< /Size 9 /Prev %010d >>\n", F.lit(num), offset, prev)
+    last = F.when(k % 5 == 0, first).when(k % 7 == 0, F.lit(3)).otherwise(F.lit(0))
+    text = F.concat(F.lit("%PDF-1.4\n"), name, F.lit("\n"), section(1, k, first + 136), section(3, k + 2, last), section(1, k + 1, first + 68), F.format_string("startxref\n%d\n%%%%EOF\n", first))
+    return t.part.select(name.alias("path"), text.cast("binary").alias("content"))
+
+
+@query(_CHAIN + """SELECT doc_id, 0 AS revision, a AS "offset", NULL::VARCHAR AS anomaly FROM s UNION ALL SELECT doc_id, 1, o, NULL FROM s UNION ALL SELECT doc_id, 2, b, NULL FROM s
+    UNION ALL SELECT doc_id, NULL, a, 'xref_prev_cycle' FROM s WHERE k % 5 = 0 UNION ALL SELECT doc_id, NULL, 3, 'xref_parse_failed' FROM s WHERE k % 5 > 0 AND k % 7 = 0""")
+def raw_xref_chain(t: Tables) -> DataFrame:
+    """Sections in order of time along /Prev, and chains that end early."""
+    return raw.xref_chain(_chained(t))
+
+
+@query(_CHAIN + """SELECT doc_id, 1::BIGINT AS num, 0 AS gen, 'InUse' AS kind, k AS "offset", 0 AS revision FROM s UNION ALL SELECT doc_id, 3, 0, 'InUse', k + 2, 2 FROM s""")
+def raw_chained_entries(t: Tables) -> DataFrame:
+    """Object 1 has entries in two sections, of which the newer stands first in the file."""
+    return raw.chained_xref(_chained(t))
 
 
 @query("SELECT n_nationkey AS doc_id, i::BIGINT AS index, (n_nationkey + 10 * i)::BIGINT AS num, CASE i WHEN 0 THEN '<< /Name (' || n_name || ') >>' ELSE '[' || n_regionkey || ']' END AS body FROM nation, unnest([0, 1]) AS u(i)")

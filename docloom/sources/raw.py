@@ -87,6 +87,47 @@ def merged_xref(entries: DataFrame) -> DataFrame:
     return last.select("doc_id", "num", "e.*")
 
 
+def sections(files: DataFrame) -> DataFrame:
+    """(doc_id, offset, body, prev, start) of each classic cross-reference section: where it stands in the file, what follows its keyword, its trailer's /Prev, and where the file says that the newest stands."""
+    text = files.select(F.col("path").alias("doc_id"), latin(F.col("content")).alias("text"))
+    start = F.regexp_extract("text", "(?s).*\\bstartxref\\s+([0-9]+)", 1).try_cast("long")
+    parts = F.split("text", "\\bxref\\b")
+    places = F.aggregate(parts, F.array(F.lit(-4).cast("long")), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + 4 + F.length(p))))
+    each = text.select("doc_id", start.alias("start"), parts.alias("parts"), places.alias("places")).select("doc_id", "start", "places", F.posexplode("parts").alias("i", "body")).where("i > 0")
+    prev = F.regexp_extract("body", "(?s)^.*?\\btrailer\\s*<<.*?/Prev\\s+([0-9]+).*?>>", 1).try_cast("long")
+    return each.select("doc_id", F.get("places", F.col("i")).alias("offset"), "body", prev.alias("prev"), "start")
+
+
+def xref_chain(files: DataFrame) -> DataFrame:
+    """(doc_id, revision, offset, anomaly): sections along /Prev, the newest 0, whatever their order in the file.
+
+    A last row of no revision tells why a chain ended early: ``xref_prev_cycle`` where /Prev leads back,
+    ``xref_parse_failed`` where it leads to no section.  A file's sections are one row's array.
+    """
+    by = sections(files).groupBy("doc_id").agg(F.max("start").alias("start"), F.map_from_entries(F.collect_list(F.struct("offset", F.struct("prev")))).alias("known"))
+    none = F.array().cast("array<long>")
+    ended = lambda s: s["at"].isNull() | (s["at"] <= 0) | F.array_contains(s["way"], s["at"]) | ~F.map_contains_key("known", s["at"])
+    step = lambda s, _: F.when(ended(s), s).otherwise(F.struct(F.try_element_at("known", s["at"])["prev"].alias("at"), F.concat(s["way"], F.array(s["at"])).alias("way")))
+    walked = F.aggregate(F.sequence(F.lit(0), F.size("known")), F.struct(F.col("start").alias("at"), none.alias("way")), step)
+    own = by.withColumn("w", walked).select("doc_id", F.col("w.at").alias("at"), F.col("w.way").alias("way"))
+    anomaly = F.when(F.array_contains("way", F.col("at")), "xref_prev_cycle").when(F.col("at") > 0, "xref_parse_failed")
+    rows = own.select("doc_id", F.posexplode("way").alias("revision", "offset")).withColumn("anomaly", F.lit(None).cast("string"))
+    return rows.unionByName(own.select("doc_id", F.lit(None).cast("int").alias("revision"), F.col("at").alias("offset"), anomaly.alias("anomaly")).where("anomaly is not null"))
+
+
+def chained_xref(files: DataFrame) -> DataFrame:
+    """(doc_id, num, gen, kind, offset, revision): each object's entry in the newest section of the chain that names it."""
+    row = "[0-9]{10} [0-9]{5} [nf]"
+    chain = xref_chain(files).where("revision is not null").select("doc_id", F.col("offset").alias("section"), "revision")
+    own = sections(files).select("doc_id", F.col("offset").alias("section"), "body").join(chain, ["doc_id", "section"])
+    runs = own.select("doc_id", "revision", F.explode(F.regexp_extract_all(F.regexp_extract("body", f"^\\s+((?:[0-9]+ [0-9]+\\s+(?:{row}\\s*)*)+)", 1), F.lit(f"[0-9]+ [0-9]+\\s+(?:{row}\\s*)*"), F.lit(0))).alias("run"))
+    first = F.regexp_extract("run", "^([0-9]+)", 1).try_cast("long")
+    rows = runs.select("doc_id", "revision", first.alias("first"), F.posexplode(F.regexp_extract_all("run", F.lit(row), F.lit(0))).alias("i", "row"))
+    entry = F.struct(F.substring("row", 12, 5).try_cast("int").alias("gen"), F.when(F.substring("row", 18, 1) == "n", "InUse").otherwise("Free").alias("kind"), F.substring("row", 1, 10).try_cast("long").alias("offset"))
+    newest = rows.groupBy("doc_id", (F.col("first") + F.col("i")).alias("num")).agg(F.min_by(F.struct(entry.alias("e"), "revision"), "revision").alias("x"))
+    return newest.select("doc_id", "num", "x.e.*", "x.revision")
+
+
 def trailers(files: DataFrame) -> DataFrame:
     """(doc_id, section, root, size, prev, n_ids, encrypted) of each trailer, in file order."""
     text = files.select(F.col("path").alias("doc_id"), latin(F.col("content")).alias("text"))
@@ -126,13 +167,22 @@ def last_trailers(files: DataFrame) -> DataFrame:
 
 
 def stream_entries(streams: DataFrame, widths: list[int]) -> DataFrame:
-    """(doc_id, first, content) of cross-reference streams to (doc_id, num, kind, field2, field3): rows of fixed widths, high byte first.
+    """(doc_id, index, content) of cross-reference streams to (doc_id, num, kind, field2, field3): rows of fixed widths, high byte first.
 
-    A field of width 0 has its default: kind 1, others 0.  A last row that is cut short is left out.
+    ``index`` holds pairs of a first number and a count; a pair's rows follow those of the pairs
+    before it.  A field of width 0 has its default: kind 1, others 0.  Rows that the content is too
+    short for are left out.  With a column ``first`` in place of ``index`` all rows are numbered from there.
     """
     row = sum(widths)
-    places = F.sequence(F.lit(0), F.floor(F.octet_length("content") / row).cast("int") - 1)
-    each = streams.where(F.octet_length("content") >= row).select("doc_id", "first", "content", F.explode(places).alias("i"))
+    n_rows = F.floor(F.octet_length("content") / row)
+    if "index" not in streams.columns:
+        streams = streams.withColumn("index", F.array(F.struct(F.col("first").cast("long").alias("first"), n_rows.cast("long").alias("count"))))
+    pair = lambda first, before, count: F.struct(first.cast("long").alias("first"), before.cast("long").alias("before"), count.cast("long").alias("count"))
+    zero = F.array(pair(F.lit(0), F.lit(0), F.lit(0)))
+    placed = F.aggregate("index", zero, lambda a, p: F.concat(a, F.array(pair(p["first"], F.element_at(a, -1)["before"] + F.element_at(a, -1)["count"], p["count"]))))
+    each = streams.select("doc_id", "content", F.explode(placed).alias("p")).where((F.col("p.count") > 0) & (F.col("p.before") < n_rows))
+    count = F.least(F.col("p.count"), n_rows - F.col("p.before"))
+    each = each.select("doc_id", "content", "p", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("j")).withColumn("i", (F.col("p.before") + F.col("j")).cast("int"))
 
     def field(k: int) -> Column:
         if not widths[k]:
@@ -141,7 +191,7 @@ def stream_entries(streams: DataFrame, widths: list[int]) -> DataFrame:
         return F.conv(F.hex(F.substring("content", at, F.lit(widths[k]))), 16, 10).cast("long")
 
     kind = F.create_map(*[x for k, v in ((0, "Free"), (1, "InUse"), (2, "Compressed")) for x in (F.lit(k).cast("long"), F.lit(v))])
-    return each.select("doc_id", (F.col("first") + F.col("i")).alias("num"), F.try_element_at(kind, field(0)).alias("kind"), field(1).alias("field2"), field(2).alias("field3"))
+    return each.select("doc_id", (F.col("p.first") + F.col("j")).alias("num"), F.try_element_at(kind, field(0)).alias("kind"), field(1).alias("field2"), field(2).alias("field3"))
 
 
 def stream_objects(streams: DataFrame) -> DataFrame:
