@@ -132,8 +132,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 TEXT_SHINGLE, LEAST = 5, 0.8
 #: A long fingerprint's words of 64 bits, each of which gives two key blocks of so many bits, and the radius within a block.
 WORDS, BLOCK_BITS, BLOCK_RADIUS = 7, 28, 2
-#: Bits of the long fingerprint in which texts of the least similarity differ: a mean of 68 of 448, and three deviations more (one pair in 600 differs in more).
-MOST_BITS = 90
+#: Bits of the long fingerprint in which texts of the least similarity differ: a mean of 68 of 448, and nearly six deviations of 7.6 more.
+MOST_BITS = 112
+#: A shingle that more members of mixed key groups than this have is common; others are rare.
+RARE = 64
 #: Fixed values of the mixture: two factors, and the step between its streams.
 _MIX, _STEP = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)), 0x9E3779B97F4A7C15
 
@@ -167,7 +169,7 @@ def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, shingle: int) -> DataFrame:
-    """The rows with ``row``, a key of their own, ``vertex``, a hash of their words, and ``prints``; written once, so that they stay."""
+    """(given: the row itself, row: a key of its own, vertex: a hash of its words, prints); written once, so that they stay."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +182,9 @@ def _marked(docs: DataFrame, shingle: int) -> DataFrame:
             own = [pa.array(np.array(vertices, np.uint64).view(np.int64)), pa.array(prints, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *own], [*batch.schema.names, "vertex", "prints"])
 
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    kinds = ", ".join(f"`{n}` {k}" for n, k in numbered.dtypes)
+    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    numbered = docs.select(given.alias("given"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    kinds = ", ".join(f"{n} {k}" for n, k in numbered.dtypes)
     return storage.table(numbered.mapInArrow(run, f"{kinds}, vertex long, prints array<long>"), "marked")
 
 
@@ -198,11 +201,13 @@ def _differing(one: str, other: str) -> Column:
     return sum((F.bit_count(F.get(one, k).bitwiseXOR(F.get(other, k))) for k in range(1, WORDS)), F.bit_count(F.get(one, 0).bitwiseXOR(F.get(other, 0))))
 
 
-def _close(found: DataFrame, vertices: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) whose whole fingerprints are near."""
+def _close(found: DataFrame, vertices: DataFrame, most_bits: int | None) -> DataFrame:
+    """The distinct pairs (a, b) whose whole fingerprints are near; all, where no number of bits is given."""
     prints = lambda v, p: vertices.select(F.col("vertex").alias(v), F.col("prints").alias(p))
+    if most_bits is None:
+        return found.distinct()
     pairs = found.distinct().join(prints("a", "p"), "a").join(prints("b", "q"), "b")
-    return pairs.where(_differing("p", "q") <= MOST_BITS).select("a", "b")
+    return pairs.where(_differing("p", "q") <= most_bits).select("a", "b")
 
 
 def _verified(found: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -229,18 +234,78 @@ def _across(found: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("r", "a") != F.coalesce("s", "b")).select("a", "b")
 
 
-def text_links(rows: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+def _shingle_rows(texts: DataFrame, shingle: int) -> DataFrame:
+    """(vertex, n, s): a row for each of a text's n shingles, as signed longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for vertex, text in zip(batch["vertex"].to_pylist(), batch["text"]):
+                own = shingle_set(words_of(text.as_py()), shingle).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), vertex)), pa.array(np.full(len(own), len(own))), pa.array(own)], ["vertex", "n", "s"])
+
+    return texts.select("vertex", "text").mapInArrow(run, "vertex long, n long, s long")
+
+
+def exact_candidates(members: DataFrame, sets: DataFrame, least: float = LEAST, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
+    """Members (vertex, root) and their shingles (vertex, n, s) to links (a, b) that are sure, and pairs (a, b) of different roots to verify.
+
+    Together they connect all pairs of at least the similarity, and no pair is made because texts are alike:
+
+    - Texts that share a rare shingle share one among the first of each, in order of how many have
+      it: as many as they may differ in, and one.  A rare shingle has ``rare`` texts at most.
+    - Texts that share none have their whole overlap in common shingles, so most of each text is
+      common.  Texts of the same common shingles, h of them, are as like as the numbers of their other
+      shingles say, so each is held against the one that has the fewest; these links need no text.
+    - Different sets of common shingles are few.  They are searched as the texts were, by the first
+      shingles in order of how many sets have each, and the texts of one set meet the text with
+      the fewest others of another set.  Only here could pairs grow with a square: that of the
+      number of different common sets that are like each other.
+    """
+    counts = sets.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    marked = storage.table(sets.join(counts, "s"), "shared_shingles")
+    common = F.col("df") > rare
+    first = lambda n: n - F.ceil(n * least - 1e-9) + 1
+    by = marked.groupBy("vertex").agg(
+        F.max("n").alias("n"), F.count_if(common).alias("h"), F.bit_xor(F.when(common, F.col("s"))).alias("x"), F.bit_xor(F.when(common, F.xxhash64("s"))).alias("y"),
+        F.sort_array(F.collect_list(F.when(~common, F.struct("df", "s")))).alias("rare"),
+    )
+    by = storage.table(by.join(members, "vertex"), "by_shingles")
+    alone = F.col("n") - F.col("h") - F.size("rare")
+    posted = by.select("vertex", "root", "n", F.explode(F.slice("rare", 1, F.greatest(first(F.col("n")) - alone, F.lit(0)).cast("int"))).alias("r")).select("vertex", "root", "n", "r.s")
+    one, other = (posted.select("s", F.col("vertex").alias(v), F.col("root").alias(r), F.col("n").alias(n)) for v, r, n in (("a", "ra", "na"), ("b", "rb", "nb")))
+    alike = lambda m, n, more=0: F.least(m, n) >= least * (F.greatest(F.col(m), F.col(n)) + more) - 1e-9
+    pairs = one.join(other, "s").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & alike("na", "nb")).select("a", "b")
+
+    mostly = by.where((F.col("h") > 0) & (F.col("h") >= least * F.col("n") - 1e-9)).select("vertex", "root", "h", "x", "y", (F.col("n") - F.col("h")).alias("others"))
+    fewest = mostly.groupBy("h", "x", "y").agg(F.min(F.struct("others", "vertex", "root")).alias("best"))
+    fewest = storage.table(fewest.select("h", "x", "y", F.col("best.others").alias("m"), F.col("best.vertex").alias("rep"), F.col("best.root").alias("rep_root")), "common_sets")
+    own = mostly.join(fewest, ["h", "x", "y"])
+    sure = own.where((F.col("vertex") != F.col("rep")) & (F.col("h") >= least * (F.col("h") + F.col("others") + F.col("m")) - 1e-9)).select(F.least("vertex", "rep").alias("a"), F.greatest("vertex", "rep").alias("b"))
+
+    tokens = marked.where(common).join(fewest.select(F.col("rep").alias("vertex"), "h", "m"), "vertex").select(F.col("vertex").alias("rep"), "h", "m", "s")
+    held = tokens.groupBy("s").agg(F.count("*").alias("sets"))
+    ordered = tokens.join(held, "s").groupBy("rep").agg(F.max("h").alias("h"), F.max("m").alias("m"), F.sort_array(F.collect_list(F.struct("sets", "s"))).alias("t"))
+    posted = ordered.select("rep", "h", "m", F.explode(F.slice("t", 1, first(F.col("h")).cast("int"))).alias("t")).where("t.sets > 1").select("rep", "h", "m", "t.s")
+    one, other = (posted.select("s", F.col("rep").alias(v), F.col("h").alias(h), F.col("m").alias(m)) for v, h, m in (("p", "hp", "mp"), ("q", "hq", "mq")))
+    near = one.join(other, "s").where((F.col("p") != F.col("q")) & alike("hp", "hq", F.col("mp") + F.col("mq"))).select("p", "q", "hp", "hq", "mq").distinct()
+    met = own.select(F.col("rep").alias("p"), "vertex", "root", "others").join(near, "p").where(alike("hp", "hq", F.col("others") + F.col("mq")))
+    met = met.join(fewest.select(F.col("rep").alias("q"), "rep_root"), "q").where("root <> rep_root").select(F.least("vertex", "q").alias("a"), F.greatest("vertex", "q").alias("b"))
+    return sure, pairs.unionByName(met).distinct()
+
+
+def text_links(rows: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAST, most_bits: int | None = MOST_BITS, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
     """Rows of ``_marked`` to vertices (vertex, first) and (v, root), the components of the links between different texts.
 
     1. One shuffle on variants.  In each key group every text is held against the first,
        in a window that spills and is never gathered.
     2. Of pairs whose whole fingerprints are near, each text's first is verified; then
        those of the others that are not joined yet.
-    3. The exact way for groups of more than two: where they still hold texts of different
-       components, these texts meet, all of them, where their whole fingerprints are
-       near.  Most groups have one component by then.
+    3. The exact way for groups of more than two that still hold texts of different
+       components: all these texts are searched by their shingles, see ``exact_candidates``,
+       which finds every link among them, whether they share a key or not.
 
     So links are lost by neither size nor order of a group, and no step makes all pairs of one.
+    ``most_bits`` is where two whole fingerprints are not near; None verifies every pair of step 1.
     """
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("first")
     vertices = rows.groupBy("vertex").agg(F.min("row").alias("row"), first, F.min("prints").alias("prints"))
@@ -252,12 +317,9 @@ def text_links(rows: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAS
     group = Window.partitionBy("key")
     met = balls.select("vertex", "key", F.min("vertex").over(group).alias("head"), F.count("*").over(group).alias("n")).where("n > 1")
     met = storage.table(met.select(F.col("vertex").alias("b"), F.col("head").alias("a"), F.when(F.col("n") > 2, F.col("key")).alias("key")), "met")
-    found = storage.table(_close(met.where("a < b").select("a", "b"), known), "close")
-    # a text has a bounded number of keys, so those that it shares with many others lie in its row
-    large = met.where("key is not null").groupBy(F.col("b").alias("vertex")).agg(F.collect_set("key").alias("keys"))
-    large = storage.table(large, "large")
+    found = storage.table(_close(met.where("a < b").select("a", "b"), known, most_bits), "close")
     ends = found.select(F.explode(F.array("a", "b")).alias("vertex"))
-    chosen = vertices.join(ends.unionByName(large.select("vertex")).distinct(), "vertex", "left_semi").select("row")
+    chosen = vertices.join(ends.unionByName(met.where("key is not null").select(F.col("b").alias("vertex"))).distinct(), "vertex", "left_semi").select("row")
     texts = storage.table(rows.join(chosen, "row", "left_semi").select("vertex", "text"), "texts")
 
     links = storage.table(_verified(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, shingle, least), "links")
@@ -265,29 +327,30 @@ def text_links(rows: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAS
     links = storage.table(links.unionByName(_verified(_across(found, roots), texts, shingle, least)), "links")
     roots = storage.table(components(links), "roots")
 
-    some = large.join(known, "vertex").join(roots.withColumnRenamed("v", "vertex"), "vertex", "left")
-    some = storage.table(some.select("vertex", "prints", F.coalesce("root", "vertex").alias("root"), "keys"), "members")
-    keyed = some.select("vertex", "prints", "root", F.explode("keys").alias("key"))
-    keyed = keyed.withColumns({"least": F.min("root").over(group), "most": F.max("root").over(group)}).where("least < most")
-    keyed = storage.table(keyed.drop("least", "most"), "mixed_keys")
-    one, other = (keyed.select("key", F.col("vertex").alias(v), F.col("prints").alias(p), F.col("root").alias(r)) for v, p, r in (("a", "p", "r"), ("b", "q", "s")))
-    rest = one.join(other, "key").where((F.col("r") < F.col("s")) & (_differing("p", "q") <= MOST_BITS)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = rest.join(found, ["a", "b"], "left_anti")  # what was verified in vain
+    keyed = met.where("key is not null").select(F.col("b").alias("v"), "key").join(roots, "v", "left").select("v", "key", F.coalesce("root", "v").alias("root"))
+    mixed = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    members = storage.table(keyed.join(mixed, "key", "left_semi").select(F.col("v").alias("vertex"), "root").distinct(), "members")
+    sets = storage.table(_shingle_rows(texts.join(members, "vertex", "left_semi"), shingle), "shingle_rows")
+    sure, pairs = exact_candidates(members, sets, least, rare)
+    links = storage.table(links.unionByName(sure), "links")
+    roots = storage.table(components(links), "roots")
+    rest = _across(storage.table(pairs, "pairs"), roots).join(found, ["a", "b"], "left_anti")  # what was verified in vain
     links = links.unionByName(_verified(storage.table(rest, "rest"), texts, shingle, least))
+    storage.free(sets)
     return vertices.select("vertex", "first"), storage.table(components(links), "roots")
 
 
-def first_of_each(docs: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAST) -> DataFrame:
+def first_of_each(docs: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAST, most_bits: int | None = MOST_BITS, rare: int = RARE) -> DataFrame:
     """The row of smallest doc_id of each component of near copies; rows without an id stay.
 
     Near copies are texts whose sets of word shingles have the Jaccard similarity, and
     rows of the same words.  A text is lower-cased (A-Z); null is the empty text; texts without words are
     copies of each other; fewer words than a shingle give one shingle of all words.  Rows
-    are told apart by a key of their own, so repeated ids are rows like others; other columns stay.
+    are told apart by a key of their own, so repeated ids are rows like others; other columns stay, whatever their names.
     """
     rows = _marked(docs, shingle)
-    vertices, roots = text_links(rows, shingle, least)
+    vertices, roots = text_links(rows, shingle, least, most_bits, rare)
     rooted = vertices.join(roots, vertices.vertex == roots.v, "left").select("first", F.coalesce("root", "vertex").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     named = rows.where("doc_id is not null").join(kept, "row", "left_semi")
-    return named.unionByName(rows.where("doc_id is null")).select(docs.columns)
+    return named.unionByName(rows.where("doc_id is null")).select("given.*")
