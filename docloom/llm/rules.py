@@ -226,9 +226,10 @@ def kept_rows(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
 
     They are written with a key of their own first, which stays the same when a task runs again.
     """
-    rows = storage.table(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    kept = _judged(rows, cutoff).where("kept").select("row")
-    return rows.join(kept, "row", "left_semi").select(docs.columns)
+    given, known = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), {c.lower() for c in docs.columns}  # whatever their names
+    rows = storage.table(docs.select(given.alias("given"), F.monotonically_increasing_id().alias("row")), "numbered")
+    kept = _judged(rows.select("row", *[F.col(f"given.{c}").alias(c) for c in ("doc_id", "text", "lang", "source") if c in known]), cutoff).where("kept").select("row")
+    return rows.join(kept, "row", "left_semi").select("given.*")
 
 
 def _judged(docs: DataFrame, cutoff: float) -> DataFrame:
