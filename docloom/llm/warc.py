@@ -10,12 +10,14 @@ are written by classes of size, larger pages fewer to a file.  The reader checks
 record's length, terminator and digest.  Where a check fails it searches for the next
 version line or gzip member that begins a valid record, goes on from there, and logs the bytes
 between as a quarantined gap.  A gzip member is fed to the engine in blocks, so its cost is its own
-length, and one that grows beyond ``MOST_MEMBER`` bytes fails its check.
+length, and one that grows beyond ``most_member`` bytes fails its check.  After a failed check each mark is
+searched only once it has been passed, so false marks cost no more than their own bytes.
 
 Defined cases: a null html is the empty payload; a null page_id is the smallest, and a
 null url is not written; rows that share a page_id and a payload are all responses if
 that id is the largest; a payload may hold anything, lines that look like records too; an
-empty table gives an empty result; other columns of the input are not read.
+empty table gives an empty result; a page of 2 GB or more fails, as Spark's own reader of whole files does; other columns
+of the input are not read.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ MOST_MEMBER, FED = 1 << 30, 1 << 16
 #: Fixed values of the format.
 VERSION, TERMINATOR = "WARC/1.1", "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+MARKS = (b"WARC/1.", b"\x1f\x8b\x08")
 ONCE = frozenset(("warc-type", "warc-record-id", "warc-date", "content-length", "warc-payload-digest"))
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 
@@ -167,7 +170,7 @@ def _plain(data: bytes, at: int) -> Record | None:
     return Record(at, start + size + 4, headers, payload, length)
 
 
-def _member(data: bytes, at: int) -> list[Record] | None:
+def _member(data: bytes, at: int, most_member: int = MOST_MEMBER) -> list[Record] | None:
     """The records of the gzip member that begins there, if it and all of them pass."""
     engine, fed, blocks, size = zlib.decompressobj(31), at, [], 0
     try:
@@ -177,7 +180,7 @@ def _member(data: bytes, at: int) -> list[Record] | None:
             fed += 0 if rest else len(block)
             blocks.append(engine.decompress(block, 16 * FED))
             size += len(blocks[-1])
-            if size > MOST_MEMBER:
+            if size > most_member:
                 return None
     except zlib.error:
         return None
@@ -193,11 +196,12 @@ def _member(data: bytes, at: int) -> list[Record] | None:
     return out or None
 
 
-def salvage(data: bytes) -> Iterator[Record | tuple[int, int]]:
+def salvage(data: bytes, most_member: int = MOST_MEMBER) -> Iterator[Record | tuple[int, int]]:
     """The records of an archive file in order, and (start, end) of each quarantined gap."""
     at, gap = 0, None
+    places = {mark: -1 for mark in MARKS}  # the next place of each, searched again only once it is passed
     while at < len(data):
-        found = _member(data, at) if data.startswith(b"\x1f\x8b\x08", at) else [r] if (r := _plain(data, at)) else None
+        found = _member(data, at, most_member) if data.startswith(b"\x1f\x8b\x08", at) else [r] if (r := _plain(data, at)) else None
         if found:
             if gap is not None:
                 yield gap, at
@@ -206,13 +210,16 @@ def salvage(data: bytes) -> Iterator[Record | tuple[int, int]]:
             at = found[-1].end
             continue
         gap = at if gap is None else gap
-        starts = [x for x in (data.find(b"WARC/1.", at + 1), data.find(b"\x1f\x8b\x08", at + 1)) if x >= 0]
-        at = min(starts, default=len(data))
+        for mark in MARKS:
+            if places[mark] <= at:
+                place = data.find(mark, at + 1)
+                places[mark] = place if place >= 0 else len(data)
+        at = min(places.values())
     if gap is not None:
         yield gap, len(data)
 
 
-def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
+def read(spark: SparkSession, path: str, payloads: bool = False, most_member: int = MOST_MEMBER) -> DataFrame:
     """A row for each record and each gap of the archive files under the path.
 
     Returns file, start, end, record_type (null for a gap), page_id, refers_to, url,
@@ -233,7 +240,7 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"]):
-                rows = [row(file.as_py(), x) for x in salvage(content.as_py())]
+                rows = [row(file.as_py(), x) for x in salvage(content.as_py(), most_member)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
 
