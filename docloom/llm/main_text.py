@@ -53,6 +53,8 @@ ASIDE_NAMES = frozenset("ad ads advert adverts advertisement advertising adbox b
 ASIDE_ENDS = ("menu", "nav", "navbar", "sidebar", "footer", "comments", "banner", "popup")
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar".split())
 
+#: Names of containers: inside an article, a name of several words hints at boilerplate if it ends in a word of boilerplate, or begins with one and ends in one of these.
+CONTAINERS = frozenset("area bar block box button buttons container form panel placeholder slot unit widget wrap wrapper zone".split())
 WEAK_NAMES = frozenset("discussion notice notices related recommended recommendations search social feedback reply replies".split())
 #: Names joined to these say what an element has, not what it is.
 JOINED = frozenset("has no with without is show hide".split())
@@ -82,6 +84,9 @@ def _hint(name: str, attributes: str, in_main: bool) -> int:
                 if words & JOINED:
                     continue
                 words -= {"header"} if in_main else set()  # a header inside the article is its own
+                if in_main and len(words) > 1:  # hidden-gem, share-price: the last word says what it is
+                    ordered = NAME.findall(token)
+                    words = {ordered[-1]} if ordered[-1] not in CONTAINERS else {ordered[0], ordered[-1]}
                 if words & ASIDE_NAMES or any(w.endswith(ASIDE_ENDS) for w in words):
                     found = max(found, NAMED)
                 elif words & WEAK_NAMES:
