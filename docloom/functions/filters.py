@@ -205,6 +205,45 @@ def lzw_coded(content: Column) -> Column:
     return run(content)
 
 
+def run_length_encode(data: bytes) -> bytes:
+    """Runs of two bytes or more as such, other bytes in strings of at most 128."""
+    out, plain = bytearray(), bytearray()
+
+    def flush() -> None:
+        for k in range(0, len(plain), 128):
+            out.extend((len(part := plain[k : k + 128]) - 1, *part))
+        plain.clear()
+
+    for m in re.finditer(rb"(.)\1*", data, re.DOTALL):
+        n, byte = m.end() - m.start(), m[1]
+        if n == 1:
+            plain.extend(byte)
+            continue
+        flush()
+        while n:
+            step = min(n, 128)
+            out.extend((257 - step if step > 1 else 0, byte[0]))
+            n -= step
+    flush()
+    return bytes(out) + b"\x80"
+
+
+def coded(content: Column, codec: str) -> Column:
+    """Binary content by a codec: Flate, LZW, RunLength, ASCII85 or ASCIIHex."""
+    own = {"Flate": zlib.compress, "LZW": lzw_encode, "RunLength": run_length_encode, "ASCII85": base64.a85encode, "ASCIIHex": lambda d: d.hex().encode() + b">"}[codec]
+
+    @F.pandas_udf("binary")
+    def run(data: pd.Series) -> pd.Series:
+        return data.map(own, na_action="ignore")
+
+    return run(content)
+
+
+def advice(kind: Column, size: Column, best: Column) -> Column:
+    """What to do about a stream of a kind and size whose best code has so many bytes; null where all is well."""
+    return F.when((kind == "Image") & (best < size * 0.9), "Use an image codec").when(best >= size, "Leave it as it is").when(best < size * 0.9, "Compress it")
+
+
 STEPS = {"FlateDecode": flate, "ASCIIHexDecode": hexadecimal, "ASCII85Decode": base85, "RunLengthDecode": run_length, "LZWDecode": lzw}
 
 

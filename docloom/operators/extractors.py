@@ -35,21 +35,6 @@ def list_places(items: DataFrame) -> DataFrame:
     return now.where("before is null").select("doc_id", "id", "place")
 
 
-def flattened(children: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
-    """(doc_id, src, dst, place) of children and (doc_id, id) of roots to (doc_id, id, level, place): the order in which a walk in depth meets them."""
-    place = children.select("doc_id", F.col("dst").alias("step"), F.col("place").alias("nth"))
-    up = children.select("doc_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    below = traversal.closure(children.select("doc_id", "src", "dst"), roots.select("doc_id", "id"), depth).select("doc_id", "id").distinct()
-    above = traversal.closure(up, below, depth).select("doc_id", F.col("start").alias("id"), F.col("id").alias("step"), "depth")
-    own = below.select("doc_id", "id", F.col("id").alias("step"), F.lit(0).alias("depth"))
-    steps = own.unionByName(above).join(place, ["doc_id", "step"])
-    way = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("d"), "nth"))), lambda s: s["nth"])
-    ways = steps.groupBy("doc_id", "id").agg(way.alias("way"))
-    all_of = roots.select("doc_id", "id", F.array().cast("array<long>").alias("way")).unionByName(ways.withColumn("way", F.col("way").cast("array<long>")))
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("way", "id"))
-    return all_of.select("doc_id", "id", F.size("way").cast("long").alias("level"), order.cast("long").alias("place"))
-
-
 def visible_items(items: DataFrame) -> DataFrame:
     """(doc_id, n, n_visible): a negative count says that an item is shut."""
     return items.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.coalesce("count", F.lit(0)) >= 0).alias("n_visible"))
@@ -223,15 +208,6 @@ def refined_type(kind: Column, props: Column) -> Column:
     )
 
 
-def sampled(x: Column, samples: list[float], domain: tuple[float, float]) -> Column:
-    """A function of equally spaced samples: linear between two of them, held at the ends."""
-    low, high = domain
-    place = (F.greatest(F.lit(low), F.least(F.lit(high), x)) - low) * ((len(samples) - 1) / (high - low))
-    at = F.least(F.floor(place).cast("int"), F.lit(max(0, len(samples) - 2)))
-    values = F.array(*[F.lit(float(v)) for v in samples])
-    return F.get(values, at) + (place - at) * (F.coalesce(F.get(values, at + 1), F.get(values, at)) - F.get(values, at))
-
-
 # --- reports ---
 
 #: Advice for codes of findings.
@@ -256,12 +232,6 @@ def quick_check(found: DataFrame, subjects: DataFrame, by: str = "doc_id") -> Da
     return subjects.select(by).distinct().join(bad, by, "left").select(by, (~F.coalesce("bad", F.lit(False))).alias("safe"))
 
 
-def report_text(counts: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, report): a line for each count."""
-    lines = reduce(lambda a, c: F.concat(a, F.lit(f"\n{c}: "), F.col(c).cast("string")), columns, F.concat(F.lit("report of "), F.col(key).cast("string")))
-    return counts.select(key, lines.alias("report"))
-
-
 def as_yaml(rows: DataFrame, key: str) -> DataFrame:
     """(key, yaml): a line for each column, strings as JSON strings, which YAML takes too; nulls are ``null``."""
     def value(name: str, kind: str) -> Column:
@@ -285,28 +255,6 @@ def as_toml(rows: DataFrame, key: str) -> DataFrame:
 # --- calculators, images, fragments, media ---
 
 
-def calculated(x: Column, program: str) -> Column:
-    """A postfix program, such as ``{ dup mul 2 div }``, as a column expression of one input; what is topmost at its end is the value."""
-    two = {"add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": lambda a, b: F.try_divide(a, b), "exp": lambda a, b: F.pow(a, b), "mod": lambda a, b: F.try_mod(a, b)}
-    one = {"neg": lambda a: -a, "abs": F.abs, "sqrt": lambda a: F.sqrt(a), "floor": lambda a: F.floor(a).cast("double"), "ceiling": lambda a: F.ceil(a).cast("double"), "truncate": lambda a: F.when(a < 0, F.ceil(a)).otherwise(F.floor(a)).cast("double"), "ln": lambda a: F.ln(a), "log": lambda a: F.log10(a), "sin": lambda a: F.sin(F.radians(a)), "cos": lambda a: F.cos(F.radians(a))}
-    stack: list[Column] = [x.cast("double")]
-    for word in program.strip().removeprefix("{").removesuffix("}").split():
-        if word in two:
-            b, a = stack.pop(), stack.pop()
-            stack.append(two[word](a, b))
-        elif word in one:
-            stack.append(one[word](stack.pop()))
-        elif word == "dup":
-            stack.append(stack[-1])
-        elif word == "pop":
-            stack.pop()
-        elif word == "exch":
-            stack[-2:] = stack[:-3:-1]
-        else:
-            stack.append(F.lit(float(word)))
-    return stack[-1]
-
-
 def inline_images(programs: DataFrame, key: str = "doc_id", text: str = "program") -> DataFrame:
     """(key, ord, width, height, depth, filter, n_chars) of images that stand in a page program between BI, ID and EI."""
     each = programs.select(key, F.posexplode(F.regexp_extract_all(text, F.lit("(?s)\\bBI\\b\\s(.*?)\\bID\\s(?:.*?)\\sEI\\b"), F.lit(0))).alias("ord", "image"))

@@ -30,8 +30,8 @@ def _first(kind: str, key: str) -> Column:
     return F.min_by(F.when(F.col("node_type") == kind, value), F.when(F.col("node_type") == kind, F.col("id")))
 
 
-def document_rows(g: Graph) -> DataFrame:
-    """One row for each document: what its rules look at."""
+def document_rows(g: Graph, documents: DataFrame | None = None) -> DataFrame:
+    """One row for each document, what its rules look at; with (doc_id) of all documents also those without any node."""
     keys = lambda kind, key: F.bool_or((F.col("node_type") == kind) & F.map_contains_key("props", key))
     by = g.nodes.groupBy("doc_id").agg(
         F.count("*").alias("n_nodes"),
@@ -41,6 +41,8 @@ def document_rows(g: Graph) -> DataFrame:
     to = g.nodes.select("doc_id", F.col("id").alias("dst"), F.col("node_type").alias("to_type"))
     from_ = g.nodes.select("doc_id", F.col("id").alias("src"), F.col("node_type").alias("from_type"))
     tree = g.edges.join(to, ["doc_id", "dst"]).join(from_, ["doc_id", "src"]).where("from_type = 'Catalog' and to_type = 'Pages'").select("doc_id", F.lit(True).alias("leads_to_pages")).distinct()
+    if documents is not None:
+        by = documents.select("doc_id").distinct().join(by, "doc_id", "left").fillna(0, [c for c in by.columns if c.startswith("n_")])
     return by.join(tree, "doc_id", "left").fillna(False, ["leads_to_pages"])
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import filters
-from ..graph import CUSTOMER, NATION, ORDER, Tables, org_graph
+from ..functions import calculators, filters
+from ..graph import NATION, ORDER, Tables, org_graph
 from ..operators import extractors as x
-from ..operators import rules, security
+from ..operators import rules, security, tours
 from ..sources import graphs
 from .registry import ORG, query
 
@@ -31,11 +31,11 @@ def outline_visible(t: Tables) -> DataFrame:
     return x.visible_items(t.customer.select(F.col("c_nationkey").alias("doc_id"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_acctbal")).alias("count")))
 
 
-@query(ORG + "SELECT p.doc_id, p.id, CASE WHEN p.node_type = 'region' THEN 1 WHEN p.node_type = 'nation' THEN 1 + row_number() OVER (PARTITION BY p.doc_id, p.node_type ORDER BY p.id) END AS place FROM n p WHERE p.node_type IN ('region', 'nation')")
+@query(ORG + """SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY CASE node_type WHEN 'region' THEN -1 WHEN 'nation' THEN id ELSE parent END, CASE node_type WHEN 'customer' THEN id ELSE -1 END) AS place FROM n WHERE node_type <> 'order'""")
 def graph_dfs_order(t: Tables) -> DataFrame:
-    """The order of a walk in depth over regions and nations."""
+    """The order of a walk in depth over regions, nations and customers."""
     roots = org_graph(t).of_type("region").select("doc_id", "id")
-    return x.flattened(_children(t).where(F.col("dst") < CUSTOMER), roots, depth=1).select("doc_id", "id", "place")
+    return tours.walk(_children(t).where(F.col("dst") < ORDER), roots).select("doc_id", "id", "place")
 
 
 @query("SELECT p_brand AS doc_id, p_type AS name, max(p_partkey)::VARCHAR AS value FROM part GROUP BY 1, 2")
@@ -147,7 +147,8 @@ def sel_refined_types(t: Tables) -> DataFrame:
 @query("SELECT l_quantity, round(CASE WHEN l_quantity < 25 THEN l_quantity / 25 * 4 ELSE 4 - (l_quantity - 25) / 25 * 3 END, 6) AS v, count(*) AS n FROM lineitem GROUP BY 1")
 def sc_sampled_function(t: Tables) -> DataFrame:
     """Quantities through a function of three samples."""
-    return t.lineitem.groupBy("l_quantity", F.round(x.sampled(F.col("l_quantity"), [0, 4, 1], (0.0, 50.0)), 6).alias("v")).agg(F.count("*").alias("n"))
+    v = calculators.sampled([F.col("l_quantity")], F.lit(bytes([0, 4, 1])), [3], 8, [(0, 50)], [(0, 255)])[0]
+    return t.lineitem.groupBy("l_quantity", F.round(v, 6).alias("v")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, text AS back, (octet_length(encode(text)) // 16 + 2) * 16 AS n_bytes FROM documents")
@@ -159,24 +160,38 @@ def sc_aes(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", back.cast("string").alias("back"), F.octet_length(coded).cast("long").alias("n_bytes"))
 
 
+#: Every link of a page, its own address and the targets that it names, and of a document: the hosts and the mail addresses that it names, as links.
+_LINKS = """WITH u AS (SELECT 'p' || page_id AS page_id, unnest([url] || regexp_extract_all(html, 'href="([^"]*)"', 1)) AS url FROM pages
+    UNION ALL SELECT 'd' || doc_id, 'http://' || unnest(regexp_extract_all(text, '[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}')) FROM documents
+    UNION ALL SELECT 'd' || doc_id, 'https://mail.example.org/?user=' || unnest(regexp_extract_all(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+')) FROM documents), l AS (SELECT page_id, url, lower(url) AS low FROM u),
+f AS (SELECT page_id, 'SUSPICIOUS_URL' AS code FROM l WHERE regexp_matches(low, 'https?://[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}') OR regexp_matches(low, '[.]tk|[.]ml|[.]ga|[.]cf|[.]cc|[.]info|[.]biz|bit[.]ly|tinyurl|t[.]co|goo[.]gl|ow[.]ly|is[.]gd|/download|/exe|/install|/setup|/update')
+UNION ALL SELECT page_id, 'DATA_EXFILTRATION' FROM l WHERE regexp_matches(low, '[?&](data|info|user)=') OR (contains(low, '=') AND strlen(url) > 100 AND strlen(split_part(url, '?', 2)) > 50 AND regexp_matches(split_part(url, '?', 2), '^[A-Za-z0-9=&]*$'))
+UNION ALL SELECT page_id, 'RISKY_LINK' FROM l WHERE regexp_matches(low, '^(ftp://|file://|javascript:|data:)') OR regexp_matches(low, 'bit[.]ly|tinyurl[.]com|t[.]co|goo[.]gl|ow[.]ly|is[.]gd|[.][.]|localhost|127[.]0[.]0[.]1|192[.]168[.]|10[.]') OR len(string_split(low, '.')) > 7)
+"""
+
+
 def _findings(t: Tables) -> DataFrame:
-    """Findings about made-up links of pages."""
-    k = F.col("page_id")
-    url = F.when(k % 3 == 0, "http://1.2.3.4/x").when(k % 3 == 1, "https://a.example.org/?data=1").otherwise("https://ok.example.org/")
-    return rules.findings(t.pages.select(k.alias("doc_id"), url.alias("url")), security.url_rules(F.col("url")), "doc_id")
+    """Findings about the links of pages and documents."""
+    links = F.concat(F.array("url"), F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
+    found = lambda pattern, start: F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda x: F.concat(F.lit(start), x))
+    named = F.concat(found("[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}", "http://"), found("[A-Za-z0-9._]+@[A-Za-z0-9.]+", "https://mail.example.org/?user="))
+    own = t.pages.select(F.concat(F.lit("p"), "page_id").alias("doc_id"), F.explode(links).alias("url"))
+    own = own.unionByName(t.documents.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), F.explode(named).alias("url")))
+    return rules.findings(own, security.url_rules(F.col("url")), "doc_id")
 
 
-@query("SELECT page_id AS doc_id FROM pages WHERE page_id % 3 = 1")
+@query(_LINKS + "SELECT page_id AS doc_id, count(*) AS n FROM f WHERE code = 'DATA_EXFILTRATION' GROUP BY 1")
 def sec_privacy_risks(t: Tables) -> DataFrame:
-    return x.privacy_risks(_findings(t)).select("doc_id")
+    return x.privacy_risks(_findings(t)).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT page_id AS doc_id, page_id % 3 <> 1 AS safe FROM pages")
+@query(_LINKS + "SELECT doc_id, doc_id NOT IN (SELECT page_id FROM f WHERE code = 'DATA_EXFILTRATION') AS safe FROM (SELECT 'p' || page_id AS doc_id FROM pages UNION ALL SELECT 'd' || doc_id FROM documents)")
 def sec_quick_check(t: Tables) -> DataFrame:
-    return x.quick_check(_findings(t), t.pages.select(F.col("page_id").alias("doc_id")))
+    subjects = t.pages.select(F.concat(F.lit("p"), "page_id").alias("doc_id")).unionByName(t.documents.select(F.concat(F.lit("d"), "doc_id").alias("doc_id")))
+    return x.quick_check(_findings(t), subjects)
 
 
-@query("SELECT page_id AS doc_id, 'Check the links' AS advice FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'Block outgoing data' FROM pages WHERE page_id % 3 = 1")
+@query(_LINKS + "SELECT DISTINCT page_id AS doc_id, CASE code WHEN 'DATA_EXFILTRATION' THEN 'Block outgoing data' ELSE 'Check the links' END AS advice FROM f")
 def sec_recommendations(t: Tables) -> DataFrame:
     return x.recommendations(_findings(t))
 
@@ -218,7 +233,7 @@ def codec_choice(t: Tables) -> DataFrame:
 @query("SELECT l_quantity, round(sqrt(abs(l_quantity * l_quantity / 2 - 10)) + l_quantity, 6) AS v, count(*) AS n FROM lineitem GROUP BY 1")
 def sc_calculator(t: Tables) -> DataFrame:
     """Quantities through a postfix program."""
-    v = x.calculated(F.col("l_quantity"), "{ dup dup mul 2 div 10 sub abs sqrt exch add }")
+    v = calculators.calculated([F.col("l_quantity")], "{ dup dup mul 2 div 10 sub abs sqrt exch add }")[-1]
     return t.lineitem.groupBy("l_quantity", F.round(v, 6).alias("v")).agg(F.count("*").alias("n"))
 
 
@@ -242,16 +257,21 @@ def media_annotations(t: Tables) -> DataFrame:
     return x.media(nodes).select("id", "kind", F.element_at(F.map_values("info"), 1).alias("told"))
 
 
-@query("SELECT n_nationkey AS id, n_name AS name, '1.1.0' AS schema_version, 0 AS n_errors FROM nation")
+@query("SELECT c_custkey AS id, c_mktsegment AS node_type, CASE WHEN c_custkey % 3 > 0 THEN c_name END AS name, '1.1.0' AS schema_version, CASE WHEN c_custkey % 3 = 2 THEN NULL ELSE 0 END AS n_errors FROM customer")
 def sink_migrated(t: Tables) -> DataFrame:
-    """Rows of an older version brought up to the present one."""
-    old = t.nation.select(F.col("n_nationkey").alias("id"), F.create_map(F.lit("name"), "n_name").alias("properties"), F.lit("1.0.0").alias("schema_version"))
+    """A mixture of rows of three versions, brought up to the present one."""
+    k = F.col("c_custkey") % 3
+    named = F.create_map(F.lit("name"), "c_name")
+    old = t.customer.select(
+        F.col("c_custkey").alias("id"), F.when(k == 0, "0.9.0").when(k == 1, "1.0.0").otherwise("1.1.0").alias("schema_version"), F.when(k == 0, F.col("c_mktsegment")).alias("kind"),
+        F.when(k > 0, F.col("c_mktsegment")).alias("node_type"), F.when(k == 1, named).alias("properties"), F.when(k == 2, named).alias("props"),
+    )
     new = graphs.migrated(old)
-    return new.select("id", F.try_element_at("props", F.lit("name")).alias("name"), "schema_version", F.size("errors").alias("n_errors"))
+    return new.select("id", "node_type", F.try_element_at("props", F.lit("name")).alias("name"), "schema_version", F.when(F.col("errors").isNotNull(), F.size("errors")).alias("n_errors"))
 
 
-@query("""SELECT * FROM (VALUES ('nodes', 'doc_id', 'string'), ('nodes', 'errors', 'array'), ('nodes', 'id', 'long'), ('nodes', 'node_type', 'string'), ('nodes', 'props', 'map'), ('nodes', 'value', 'double'),
-    ('edges', 'doc_id', 'string'), ('edges', 'dst', 'long'), ('edges', 'edge_type', 'string'), ('edges', 'ord', 'integer'), ('edges', 'src', 'long')) AS t("table", "column", "kind")""")
+@query(ORG + """SELECT 'nodes' AS "table", c AS "column", k AS kind, (SELECT count(*) FROM n) AS n, CASE c WHEN 'value' THEN (SELECT count(*) FROM n WHERE value IS NULL) ELSE 0 END AS n_null FROM (VALUES ('doc_id', 'bigint'), ('id', 'bigint'), ('node_type', 'string'), ('props', 'map'), ('value', 'double'), ('errors', 'array')) v(c, k)
+    UNION ALL SELECT 'edges', c, k, (SELECT count(*) FROM e), 0 FROM (VALUES ('doc_id', 'bigint'), ('src', 'bigint'), ('dst', 'bigint'), ('edge_type', 'string'), ('ord', 'int')) v(c, k)""")
 def sink_schema(t: Tables) -> DataFrame:
-    """The stable form as a schema: each table's columns."""
-    return t.spark.createDataFrame(graphs.described(), "table string, column string, kind string")
+    """The schema that the rows of the ORG graph have, and how many hold nothing."""
+    return graphs.described(org_graph(t))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,35 +19,63 @@ SCHEMAS = {
 }
 
 
-def described() -> list[tuple[str, str, str]]:
-    """(table, column, kind) of the stable form."""
-    from pyspark.sql.types import StructType
+def described(g: Graph) -> DataFrame:
+    """(table, column, kind, n, n_null): the schema that the rows have, with how many there are and how many hold nothing; one pass over each table."""
+    found = None
+    for name, df in (("nodes", g.nodes), ("edges", g.edges)):
+        fields = {f.name: f.dataType.simpleString().split("<")[0] for f in df.schema.fields}
+        one = df.agg(F.count("*").alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in fields])
+        rows = F.array(*[F.struct(F.lit(name).alias("table"), F.lit(c).alias("column"), F.lit(k).alias("kind"), F.col("n"), F.col(f"null_{c}").alias("n_null")) for c, k in fields.items()])
+        told = one.select(F.explode(rows).alias("r")).select("r.*")
+        found = told if found is None else found.unionByName(told)
+    return found
+
 
-    kind = lambda t: t if isinstance(t, str) else t["type"]
-    return [(name, f["name"], kind(f["type"])) for name, schema in SCHEMAS.items() for f in StructType.fromDDL(schema).jsonValue()["fields"]]
+def as_json_schema(df: DataFrame, title: str) -> str:
+    """The rows' schema as JSON Schema: one object with its properties, those that are never null as required."""
+    kinds = {"string": "string", "long": "integer", "integer": "integer", "short": "integer", "double": "number", "float": "number", "boolean": "boolean"}
 
+    def of(kind) -> dict:
+        if isinstance(kind, str):
+            return {"type": kinds.get(kind, "string")}
+        if kind["type"] == "array":
+            return {"type": "array", "items": of(kind["elementType"])}
+        if kind["type"] == "map":
+            return {"type": "object", "additionalProperties": of(kind["valueType"])}
+        return {"type": "object", "properties": {f["name"]: of(f["type"]) for f in kind["fields"]}, "required": [f["name"] for f in kind["fields"] if not f["nullable"]]}
 
-def _to_1_1(nodes: DataFrame) -> DataFrame:
-    """1.0.0 called properties by their whole name and knew no errors."""
-    return nodes.withColumnRenamed("properties", "props").withColumn("errors", F.array().cast("array<string>")).withColumn("schema_version", F.lit("1.1.0"))
+    return json.dumps({"$schema": "https://json-schema.org/draft/2020-12/schema", "title": title, **of(df.schema.jsonValue())}, sort_keys=True)
 
 
-#: What brings rows of a version to the next.
-STEPS = {"1.0.0": _to_1_1}
+#: What brings a row of a version to the next, oldest first: 0.9.0 called the type ``kind``; 1.0.0 called properties by their whole name and knew no errors.
+STEPS = [
+    ("0.9.0", "1.0.0", {"node_type": lambda: F.col("kind")}),
+    ("1.0.0", VERSION, {"props": lambda: F.col("properties"), "errors": lambda: F.array().cast("array<string>")}),
+]
+#: Columns that only older versions have.
+OLDER = {"kind": "string", "properties": "map<string,string>"}
 
 
 def migrated(nodes: DataFrame) -> DataFrame:
-    """Rows of one older version, step by step, as of the present version; ValueError where no step leads on."""
-    versions = [r[0] for r in nodes.select("schema_version").distinct().limit(2).collect()]
-    if len(versions) > 1:
-        raise ValueError("rows of more than one version")
-    at = versions[0] if versions else VERSION
-    while at != VERSION:
-        if at not in STEPS:
-            raise ValueError(f"no way from version {at} to {VERSION}")
-        nodes = STEPS[at](nodes)
-        at = nodes.select("schema_version").first()[0]
-    return nodes
+    """Rows of any mixture of versions as of the present version, each brought up step by step, in one pass.
+
+    A row of a version that no step leads on from is an error when it is read.  Columns that only older
+    versions have are dropped; those that no row has are added.
+    """
+    wanted = OLDER | {"node_type": "string", "props": "map<string,string>", "errors": "array<string>"}
+    nodes = nodes.withColumns({c: F.lit(None).cast(kind) for c, kind in wanted.items() if c not in nodes.columns})
+    version = F.col("schema_version")
+    for at, to, values in STEPS:
+        nodes = nodes.withColumns({c: F.when(version == at, v()).otherwise(F.col(c)) for c, v in values.items()} | {"schema_version": F.when(version == at, to).otherwise(version)})
+    lost = F.raise_error(F.concat(F.lit("no way from version "), F.coalesce(version, F.lit("null")), F.lit(f" to {VERSION}")))
+    return nodes.withColumn("schema_version", F.when(version == VERSION, version).otherwise(lost)).drop(*OLDER)
+
+
+def report_version(reports: DataFrame, key: str) -> DataFrame:
+    """(key, code) of reports (key, version) that readers refuse: no version, one that is none, or of another major one."""
+    part = lambda i: F.get(F.split("version", "\\."), i).try_cast("int")
+    code = F.when(F.col("version").isNull(), "VERSION_MISSING").when(part(0).isNull() | part(1).isNull(), "VERSION_INVALID").when(part(0) != int(VERSION.split(".")[0]), "VERSION_UNSUPPORTED")
+    return reports.select(key, code.alias("code")).where("code is not null")
 
 
 def write(g: Graph, path: str, form: str = "parquet") -> None:

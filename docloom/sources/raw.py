@@ -54,8 +54,8 @@ def graph(files: DataFrame) -> Graph:
     dictionary = F.regexp_replace(F.substring_index("body", "stream", 1), "\\s+", " ")
     own = own.withColumn("dictionary", dictionary).withColumn("id", F.col("num") * 65536 + F.col("gen"))
     kind = F.regexp_extract("dictionary", "/Type ?/([A-Za-z0-9]+)", 1)
-    keys = F.regexp_extract_all("dictionary", F.lit("/([A-Za-z0-9]+) ?(/[A-Za-z0-9.]+|[0-9.+-]+(?! [0-9]+ R)\\b|\\([^)]*\\)|\\[[^\\]R]*\\]|<<|true|false)"), F.lit(1))
-    values = F.regexp_extract_all("dictionary", F.lit("/([A-Za-z0-9]+) ?(/[A-Za-z0-9.]+|[0-9.+-]+(?! [0-9]+ R)\\b|\\([^)]*\\)|\\[[^\\]R]*\\]|<<|true|false)"), F.lit(2))
+    keys = F.regexp_extract_all("dictionary", F.lit("/([A-Za-z0-9]+) ?(/[A-Za-z0-9._+-]+|[0-9.+-]+(?! [0-9]+ R)\\b|\\([^)]*\\)|\\[[^\\]R]*\\]|<<|true|false)"), F.lit(1))
+    values = F.regexp_extract_all("dictionary", F.lit("/([A-Za-z0-9]+) ?(/[A-Za-z0-9._+-]+|[0-9.+-]+(?! [0-9]+ R)\\b|\\([^)]*\\)|\\[[^\\]R]*\\]|<<|true|false)"), F.lit(2))
     pairs = F.array_distinct(F.arrays_zip(keys.alias("k"), values.alias("v")))
     first = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, 1, i), lambda q: q["k"] == p["k"]))
     props = F.map_from_entries(F.transform(first, lambda p: F.struct(p["k"], F.regexp_replace(p["v"], "^/", ""))))
@@ -149,13 +149,13 @@ def revisions(entries: DataFrame) -> DataFrame:
 
 
 def offset_findings(files: DataFrame) -> DataFrame:
-    """(doc_id, code) of files whose table points past their end, or has fewer entries than the trailer says."""
+    """(doc_id, code) of files whose table points past their end, has fewer entries than the trailer says, or is not there."""
     entries = merged_xref(xref_entries(files))
     size = files.select(F.col("path").alias("doc_id"), "length")
     stated = trailers(files).groupBy("doc_id").agg(F.max_by("size", "section").alias("stated"))
     by = entries.groupBy("doc_id").agg(F.max(F.when(F.col("kind") == "InUse", F.col("offset"))).alias("furthest"), F.count("*").alias("n"))
-    rows = by.join(size, "doc_id").join(stated, "doc_id", "left")
-    hits = F.array(F.when(F.col("furthest") >= F.col("length"), F.lit("XREF_PAST_END")), F.when(F.col("n") < F.col("stated"), F.lit("TRAILER_SIZE")))
+    rows = size.join(by, "doc_id", "left").join(stated, "doc_id", "left")
+    hits = F.array(F.when(F.col("n").isNull(), F.lit("XREF_ENTRIES_MISSING")), F.when(F.col("furthest") >= F.col("length"), F.lit("XREF_PAST_END")), F.when(F.col("n") < F.col("stated"), F.lit("TRAILER_SIZE")))
     return rows.select("doc_id", F.explode(F.array_compact(hits)).alias("code"))
 
 

@@ -293,13 +293,14 @@ def test_exact_percentiles(spark):
 
 def test_lists_outlines_and_orders(spark):
     from docloom.operators import extractors as x
+    from docloom.operators import tours
 
     n = 37
     items = [("a", i, i + 1 if i < n - 1 else None) for i in range(n)] + [("b", 5, 3), ("b", 3, 4), ("b", 4, None), ("c", 1, 2), ("c", 2, 1)]
     got = {(r["doc_id"], r["id"]): r["place"] for r in x.list_places(spark.createDataFrame(items, "doc_id string, id long, next long")).collect()}
     assert got == {**{("a", i): i for i in range(n)}, ("b", 5): 0, ("b", 3): 1, ("b", 4): 2}  # the ring of c has no first item
     kids = spark.createDataFrame([("a", 0, 5, 1), ("a", 0, 4, 2), ("a", 5, 9, 1), ("a", 5, 7, 2), ("a", 4, 8, 1)], "doc_id string, src long, dst long, place long")
-    flat = x.flattened(kids, spark.createDataFrame([("a", 0)], "doc_id string, id long"))
+    flat = tours.walk(kids, spark.createDataFrame([("a", 0)], "doc_id string, id long"))
     assert [(r["id"], r["level"]) for r in flat.orderBy("place").collect()] == [(0, 0), (5, 1), (9, 2), (7, 2), (4, 1), (8, 2)]
 
 
