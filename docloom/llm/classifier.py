@@ -35,6 +35,8 @@ from .sampling import by_hash
 SAMPLE = 12_000
 FEATURES, RIDGE, BANDWIDTH, SEED, FOLDS = 384, 1e-3, 0.5, 7, 4
 THRESHOLD = 0.7
+#: Texts that are scored together.
+AT_ONCE = 512
 DIGIT, LONE_MARKS = re.compile("[0-9]+"), re.compile(r"(?<!\S)[^\w\s]+(?!\S)")
 #: Marks that junk is made of, each counted by itself.
 MARKS = "#*$%&|<>!?.,;:/\\_=+-@()[]{}~^\"'"
@@ -77,8 +79,12 @@ class Model:
         return np.hstack([np.cos(z) * np.sqrt(2 / len(self.phase)), np.ones((len(x), 1))])
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        x = np.array([statistics(t) for t in texts]).reshape(len(texts), -1)
-        return np.clip(np.interp(self.waves(x) @ self.weights, *self.steps), 0, 1) if len(texts) else np.zeros(0)
+        """A score for each text, some texts at a time: their features take more memory than they do."""
+        found = [np.zeros(0)]
+        for k in range(0, len(texts), AT_ONCE):
+            x = np.array([statistics(t) for t in texts[k : k + AT_ONCE]])
+            found.append(np.clip(np.interp(self.waves(x) @ self.weights, *self.steps), 0, 1))
+        return np.concatenate(found)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +161,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = model.scores([t.as_py() or "" for t in b["text"]])
+            parts = (b["text"].slice(k, AT_ONCE) for k in range(0, b.num_rows, AT_ONCE))
+            found = np.concatenate([np.zeros(0), *(model.scores([t or "" for t in p.to_pylist()]) for p in parts)])
             columns = [b["doc_id"], pa.array(found, pa.float64()), pa.array((found >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted"])
 
@@ -167,8 +174,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose text scores at least the threshold, with all their columns."""
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(["" if t is None else t for t in texts]))
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        parts = (texts.slice(k, AT_ONCE) for k in range(0, len(texts), AT_ONCE))
+        return pa.array(np.concatenate([np.zeros(0), *(model.scores([t or "" for t in p.to_pylist()]) for p in parts)]), pa.float64())
 
     return docs.where(scored(F.col("text").cast("string")) >= threshold)
