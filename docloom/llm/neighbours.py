@@ -2,16 +2,17 @@
 
 Vectors are halved and each half is quantised by its own codebook, fitted on a bounded
 sample; every row is filed under its pair of codes, and cells are gathered to shards of
-bounded size (a large cell has several of its own).  Queries meet rows in two rounds.  In the
+bounded size (a large cell has several of its own).  A query is sent to shards, and in a shard it
+meets the rows of the cells that it asks for and no others.  Queries meet rows in two rounds.  In the
 first, a query goes through pairs in the order of summed nearness (a heap over the two
-sorted code lists) until their cells hold ``FIRST`` rows; the k-th best score among those
+sorted code lists) until their cells hold ``FIRST`` times as many rows as it wants; the k-th best score among those
 is a bound that its neighbours must reach.  In the second it goes through the pairs again, in the
 order of what their rows may score at most: a centroid's inner product and ``reach`` times
 the spread of the rows around it; it stops where that falls below its bound.  So a query
 among near vectors meets a few cells, and one without near vectors meets as many as it must.
 
 ``reach`` is measured, on all rows: a bounded number of held queries is searched exactly,
-and the reach is chosen that finds the share ``RECALL`` of their true neighbours.  With
+and the reach is chosen that, with their bounds, finds the share ``RECALL`` of their true neighbours that the first round does not find.  With
 ``recall=1`` the search is exact: every query meets every row.
 
 A shard meets its queries in blocks of bounded size, ranked on the original vectors in
@@ -41,11 +42,11 @@ from .sampling import by_hash
 
 NEIGHBOURS, QUERY_EVERY = 20, 20
 #: Rows that codebooks are fitted on, and queries that the reach is measured with, at most; the share of their neighbours to be found.
-SAMPLE, HELD, RECALL, SEED = 20_000, 64, 0.97, 5
+SAMPLE, HELD, RECALL, SEED = 20_000, 128, 0.96, 5
 #: Codes of a half, at least and at most, and rows of a cell on average.
-LEAST_CODES, MAX_CODES, CELL_ROWS = 6, 256, 256
-#: Rows that a query's first round goes through, rows of a shard, queries of a block, and queries multiplied at a time.
-FIRST, SHARD_ROWS, SHARD_QUERIES, AT_ONCE = 2048, 4096, 8192, 512
+LEAST_CODES, MAX_CODES, CELL_ROWS = 6, 256, 64
+#: Rows that a query's first round goes through for each that it wants, rows of a shard, queries of a block, and queries multiplied at a time.
+FIRST, SHARD_ROWS, SHARD_QUERIES, AT_ONCE = 4, 4096, 8192, 512
 
 
 def taking_part(vectors: DataFrame) -> DataFrame:
@@ -94,18 +95,27 @@ class Index:
         halves = v[: self.half], v[self.half :]
         return tuple(n + self.reach * np.linalg.norm(h) * s for n, h, s in zip(self.near(v), halves, self.spreads))
 
-    def first(self, v: np.ndarray) -> np.ndarray:
-        """Shards of the first round; one of each large cell is enough."""
-        return np.unique(self.base[visited(*self.near(v), self.rows, FIRST)])
+    def first(self, v: np.ndarray, k: int) -> list[int]:
+        """Cells of the first round; one shard of each large one is enough."""
+        return visited(*self.near(v), self.rows, FIRST * k)
 
-    def rest(self, v: np.ndarray, bound: float) -> np.ndarray:
-        """All other shards that may hold a row that scores the bound."""
+    def rest(self, v: np.ndarray, bound: float) -> list[int]:
+        """Cells that may hold a row that scores the bound, those of the first round among them."""
         if np.isfinite(bound) and np.isfinite(self.reach):
-            cells = visited(*self.most(v), self.rows, int(self.rows.sum()), bound)
-        else:
-            cells = np.flatnonzero(self.rows)
-        own = [np.arange(self.base[c], self.base[c] + self.parts[c]) for c in cells]
-        return np.setdiff1d(np.concatenate(own), self.first(v)) if own else np.zeros(0, int)
+            return visited(*self.most(v), self.rows, int(self.rows.sum()), bound)
+        return np.flatnonzero(self.rows).tolist()
+
+    def wants(self, v: np.ndarray, k: int, bound: float | None = None) -> tuple[list[tuple[int, list[int]]], int]:
+        """The shards of a round, each with the cells that are asked for there, and how many rows that is; the second round leaves out what the first has met."""
+        first = set(self.first(v, k))
+        shards: dict[int, list[int]] = {}
+        met = 0.0
+        for cell in first if bound is None else self.rest(v, bound):
+            base, parts = int(self.base[cell]), int(self.parts[cell])
+            for shard in range(base, base + 1) if bound is None else range(base + (cell in first), base + parts):
+                shards.setdefault(shard, []).append(int(cell))
+                met += self.rows[cell] / parts
+        return sorted(shards.items()), round(met)
 
 
 def visited(first: np.ndarray, second: np.ndarray, rows: np.ndarray, enough: int, least: float = -np.inf) -> list[int]:
@@ -148,12 +158,28 @@ FOUND = "query_id long, vec_id long, score double"
 
 
 def _block(asked: pd.DataFrame, some: pd.DataFrame, k: int) -> pd.DataFrame:
+    """A shard's rows, cell by cell, against the queries that ask for each cell; of every query its k best of the shard."""
+    none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    if not len(some) or not len(asked):
+        return none
+    by_cell = some.sort_values(["cell", "vec_id"])
+    rows, ids, cells = np.stack(by_cell["embedding"]), by_cell["vec_id"].to_numpy(), by_cell["cell"].to_numpy()
+    queries, query_ids = np.stack(asked["query"]), asked["query_id"].to_numpy()
+    which, wanted = np.repeat(np.arange(len(asked)), asked["cells"].map(len)), np.concatenate(asked["cells"].to_list())
+    order = np.argsort(wanted, kind="stable")
+    which, wanted = which[order], wanted[order]
+    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for cell in np.unique(wanted):
+        at, own = slice(*np.searchsorted(cells, (cell, cell + 1))), which[slice(*np.searchsorted(wanted, (cell, cell + 1)))]
+        if at.start < at.stop:
+            for query_id, near, scores in best_of_block(queries[own], query_ids[own], rows[at], ids[at], k):
+                found.setdefault(query_id, []).append((near, scores))
     out = []
-    if len(some) and len(asked):
-        rows, ids = np.stack(some["embedding"]), some["vec_id"].to_numpy()
-        for query_id, near, scores in best_of_block(np.stack(asked["query"]), asked["query_id"].to_numpy(), rows, ids, k):
-            out.append(pd.DataFrame({"query_id": query_id, "vec_id": near, "score": scores}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    for query_id, parts in found.items():
+        near, scores = (np.concatenate(x) for x in zip(*parts))
+        best = np.lexsort((near, -scores))[:k]
+        out.append(pd.DataFrame({"query_id": query_id, "vec_id": near[best], "score": scores[best]}))
+    return pd.concat(out) if out else none
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -162,19 +188,23 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 
 def _met(routed: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """(query_id, query, shards) and the filed rows to each query's k best rows of each shard."""
-    asked = routed.select("query_id", "query", F.explode("shards").alias("shard"))
+    """(query_id, query, wants) and the filed rows to each query's k best rows of each shard."""
+    asked = routed.select("query_id", "query", F.explode("wants").alias("w")).select("query_id", "query", "w.*")
     blocks = asked.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_QUERIES).cast("int").alias("blocks"))
     blocks = storage.table(blocks, "blocks")  # its size is known when the joins are chosen
     asked = asked.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
-    filed = index.join(blocks, "shard").select("vec_id", "embedding", F.col("shard").alias("at"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with_block"))
-    met = asked.select("query_id", "query", "shard", "block").groupBy("shard", "block").cogroup(filed.groupBy("at", "with_block"))
+    filed = index.join(blocks, "shard").select("vec_id", "embedding", "cell", F.col("shard").alias("at"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with_block"))
+    met = asked.select("query_id", "query", "cells", "shard", "block").groupBy("shard", "block").cogroup(filed.groupBy("at", "with_block"))
     return met.applyInPandas(lambda a, s: _block(a, s, k), FOUND)
 
 
-def _reach(index: DataFrame, asks: DataFrame, own: Index, asked: int, k: int, recall: float) -> float:
-    """The reach that finds the share ``recall`` of the true neighbours of a bounded number of held queries, searched exactly over all rows."""
-    held = by_hash(asks, "vec_id", HELD, asked).toPandas()  # bounded
+def _reach(index: DataFrame, held: pd.DataFrame, own: Index, k: int, recall: float) -> float:
+    """The reach that finds the share ``recall`` of the true neighbours of held queries (vec_id, embedding, bound), searched exactly over all rows.
+
+    A neighbour's cell is met in the second round if what its rows may score reaches the query's
+    bound from the first; so each neighbour tells the least reach that finds it.  Those that the first round
+    finds anyway tell nothing, so the share holds for queries without near vectors too.
+    """
     queries, query_ids = np.stack(held["embedding"]), held["vec_id"].to_numpy()
 
     def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,19 +215,16 @@ def _reach(index: DataFrame, asks: DataFrame, own: Index, asked: int, k: int, re
                 for q, near, scores in best_of_block(queries, query_ids, rows, ids, k):
                     yield pd.DataFrame({"query_id": q, "vec_id": near, "score": scores, "cell": [cells[i] for i in near.tolist()]})
 
-    true = _best(index.mapInPandas(exact, f"{FOUND}, cell int"), k).select("query_id", "score", "cell").toPandas()  # k rows for each held query
-    needed = []
-    codes = len(own.books[1])
-    for query_id, v in zip(query_ids, queries):
-        mine = true[true["query_id"] == query_id]
+    true = _best(index.mapInPandas(exact, f"{FOUND}, cell int"), k).select("query_id", "cell").toPandas()  # k rows for each held query
+    needed, codes = [], len(own.books[1])
+    for query_id, v, bound in zip(query_ids, queries, held["bound"].fillna(-np.inf)):
+        cells = true.loc[true["query_id"] == query_id, "cell"].to_numpy()
         (first, second), halves = own.near(v), (v[: own.half], v[own.half :])
-        a, b = mine["cell"].to_numpy() // codes, mine["cell"].to_numpy() % codes
+        a, b = cells // codes, cells % codes
         spread = np.linalg.norm(halves[0]) * own.spreads[0][a] + np.linalg.norm(halves[1]) * own.spreads[1][b]
-        own_reach = (mine["score"].min() - first[a] - second[b]) / np.maximum(spread, 1e-12)
-        cells = mine["cell"].to_numpy()
-        met = np.isin(own.base[cells], own.first(v)) & (own.parts[cells] == 1)  # by the first round, whatever the reach
-        needed += np.where(met, 0.0, own_reach).tolist()
-    return max(0.0, float(np.quantile(needed, recall, method="higher"))) if needed else float("inf")
+        met = np.isin(cells, own.first(v, k)) & (own.parts[cells] == 1)
+        needed += ((bound - first[a] - second[b]) / np.maximum(spread, 1e-12))[~met].tolist()
+    return max(0.0, float(np.quantile(needed, recall, method="higher"))) if needed else 0.0
 
 
 def _shards(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,11 +241,16 @@ def _shards(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def search(vectors: DataFrame, k: int = NEIGHBOURS, every: int = QUERY_EVERY, recall: float = RECALL) -> DataFrame:
     """(vec_id, embedding) to (query_id, rank, vec_id, score) for queries whose vec_id is divisible by ``every``."""
+    return search_and_count(vectors, k, every, recall)[0]
+
+
+def search_and_count(vectors: DataFrame, k: int = NEIGHBOURS, every: int = QUERY_EVERY, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """As ``search``, and (query_id, met): the rows that each query is multiplied with in both rounds."""
     spark = vectors.sparkSession
     usable = storage.table(taking_part(vectors), "vectors")
     total, asked = usable.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
     if not asked:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double"), spark.createDataFrame([], "query_id long, met long")
     sample = by_hash(usable, "vec_id", SAMPLE, total).toPandas()  # bounded
     x = np.stack(sample["embedding"])
     half, rng = x.shape[1] // 2, np.random.default_rng(SEED)
@@ -244,25 +276,30 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, every: int = QUERY_EVERY, re
         rows[cell] = n
     own = Index((books[0], books[1]), (spreads[0], spreads[1]), rows, *_shards(rows))
     asks = usable.where(F.col("vec_id") % every == 0)
-    if recall < 1:
-        own.reach = _reach(filed, asks, own, asked, k, recall)
     cells = np.flatnonzero(rows)
     where = spark.createDataFrame(list(zip(cells.tolist(), own.base[cells].tolist(), own.parts[cells].tolist())), "cell int, base long, parts long")
     shard = F.col("base") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))
-    index = storage.table(filed.join(F.broadcast(where), "cell").select("vec_id", "embedding", shard.alias("shard")), "index")  # a row for each cell: bounded
-    schema = "query_id long, query array<double>, shards array<long>"
+    index = storage.table(filed.join(F.broadcast(where), "cell").select("vec_id", "embedding", "cell", shard.alias("shard")), "index")  # a row for each cell: bounded
+    schema = "query_id long, query array<double>, wants array<struct<shard: long, cells: array<int>>>, met long"
+
+    def routes(f: pd.DataFrame, bounds: list[float | None]) -> pd.DataFrame:
+        wants = [own.wants(v, k, t) for v, t in zip(f["embedding"], bounds)]
+        return pd.DataFrame({"query_id": f["vec_id"], "query": f["embedding"], "wants": [[{"shard": s, "cells": c} for s, c in w] for w, _ in wants], "met": [n for _, n in wants]})
 
     def begin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"query_id": f["vec_id"], "query": f["embedding"], "shards": [own.first(v) for v in f["embedding"]]})
+            yield routes(f, [None] * len(f))
 
     def go_on(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"query_id": f["vec_id"], "query": f["embedding"], "shards": [own.rest(v, t) for v, t in zip(f["embedding"], f["bound"].fillna(-np.inf))]})
+            yield routes(f, f["bound"].fillna(-np.inf).tolist())
 
-    routed = storage.table(asks.mapInPandas(begin, schema), "first_round")
-    near = storage.table(_best(_met(routed, index, k), k).drop("rank"), "near")
+    first = storage.table(asks.mapInPandas(begin, schema), "first_round")
+    near = storage.table(_best(_met(first, index, k), k).drop("rank"), "near")
     bounds = near.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("bound"))
     bounded = asks.join(bounds.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
-    routed = storage.table(bounded.mapInPandas(go_on, schema), "second_round")
-    return _best(near.unionByName(_met(routed, index, k)), k).select("query_id", "rank", "vec_id", "score")
+    if recall < 1:
+        own.reach = _reach(filed, by_hash(bounded, "vec_id", HELD, asked).toPandas(), own, k, recall)  # bounded
+    second = storage.table(bounded.mapInPandas(go_on, schema), "second_round")
+    met = first.select("query_id", "met").unionByName(second.select("query_id", "met")).groupBy("query_id").agg(F.sum("met").alias("met"))
+    return _best(near.unionByName(_met(second, index, k)), k).select("query_id", "rank", "vec_id", "score"), met

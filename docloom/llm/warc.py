@@ -170,7 +170,7 @@ def _plain(data: bytes, at: int) -> Record | None:
     return Record(at, start + size + 4, headers, payload, length)
 
 
-def _member(data: bytes, at: int, most_member: int = MOST_MEMBER) -> list[Record] | None:
+def _member(data: bytes, at: int, most_member: int | None) -> list[Record] | None:
     """The records of the gzip member that begins there, if it and all of them pass."""
     engine, fed, blocks, size = zlib.decompressobj(31), at, [], 0
     try:
@@ -180,7 +180,7 @@ def _member(data: bytes, at: int, most_member: int = MOST_MEMBER) -> list[Record
             fed += 0 if rest else len(block)
             blocks.append(engine.decompress(block, 16 * FED))
             size += len(blocks[-1])
-            if size > most_member:
+            if most_member is not None and size > most_member:
                 return None
     except zlib.error:
         return None
@@ -196,9 +196,9 @@ def _member(data: bytes, at: int, most_member: int = MOST_MEMBER) -> list[Record
     return out or None
 
 
-def salvage(data: bytes, most_member: int = MOST_MEMBER) -> Iterator[Record | tuple[int, int]]:
+def salvage(data: bytes, most_member: int | None = None) -> Iterator[Record | tuple[int, int]]:
     """The records of an archive file in order, and (start, end) of each quarantined gap."""
-    at, gap = 0, None
+    at, gap, most_member = 0, None, MOST_MEMBER if most_member is None else most_member
     places = {mark: -1 for mark in MARKS}  # the next place of each, searched again only once it is passed
     while at < len(data):
         found = _member(data, at, most_member) if data.startswith(b"\x1f\x8b\x08", at) else [r] if (r := _plain(data, at)) else None
@@ -219,7 +219,7 @@ def salvage(data: bytes, most_member: int = MOST_MEMBER) -> Iterator[Record | tu
         yield gap, len(data)
 
 
-def read(spark: SparkSession, path: str, payloads: bool = False, most_member: int = MOST_MEMBER) -> DataFrame:
+def read(spark: SparkSession, path: str, payloads: bool = False, most_member: int | None = None) -> DataFrame:
     """A row for each record and each gap of the archive files under the path.
 
     Returns file, start, end, record_type (null for a gap), page_id, refers_to, url,

@@ -125,3 +125,23 @@ def test_named_paragraphs_stay_in_articles(name):
     words = "This paragraph is a part of the article, and it has enough words to be one, as any reader would say."
     page = f"<html><body><nav class='menu'><a href='/'>Home</a></nav><main><p>{words}</p><p class='{name}'>{words} It is named.</p><div class='ad-box'>Buy this</div><p>{words}</p></main><footer>Imprint</footer></body></html>"
     assert main_text.extract(page, main_text.DEFAULTS) == f"{words} {words} It is named. {words}"
+
+
+def test_neighbours_meet_a_part_of_clustered_rows(spark):
+    from docloom.llm import neighbours
+
+    r = np.random.default_rng(0)
+    centres = r.normal(size=(60, 32))
+    x = np.concatenate([centres[r.integers(0, 60, 8000)] + 0.15 * r.normal(size=(8000, 32)), r.normal(size=(4000, 32))])
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    found, met = neighbours.search_and_count(rows, every=100)
+    got = {}
+    for f in found.collect():
+        got.setdefault(f["query_id"], set()).add(f["vec_id"])
+    right = 0
+    for q, near in got.items():
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        right += len(near & set(np.argsort(-scores, kind="stable")[:20].tolist()))
+    assert right / (20 * len(got)) >= 0.9 and len(got) == 120
+    assert met.agg(F.avg("met")).first()[0] < len(x) / 3
