@@ -180,11 +180,11 @@ def _marked(docs: DataFrame, shingle: int) -> DataFrame:
                 vertices.append(xxhash.xxh64_intdigest(b" ".join(words), seed=SEED))
                 prints.append(long_fingerprint(shingle_set(words, shingle)) if words else None)
             own = [pa.array(np.array(vertices, np.uint64).view(np.int64)), pa.array(prints, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *own], [*batch.schema.names, "vertex", "prints"])
+            yield pa.RecordBatch.from_arrays([batch["given"], batch["doc_id"], batch["row"], *own], ["given", "doc_id", "row", "vertex", "prints"])
 
     given = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    numbered = docs.select(given.alias("given"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    kinds = ", ".join(f"{n} {k}" for n, k in numbered.dtypes)
+    numbered = docs.select(given.alias("given"), F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
+    kinds = ", ".join(f"{n} {k}" for n, k in numbered.dtypes if n != "text")  # the text stays in the row itself
     return storage.table(numbered.mapInArrow(run, f"{kinds}, vertex long, prints array<long>"), "marked")
 
 
@@ -320,7 +320,7 @@ def text_links(rows: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAS
     found = storage.table(_close(met.where("a < b").select("a", "b"), known, most_bits), "close")
     ends = found.select(F.explode(F.array("a", "b")).alias("vertex"))
     chosen = vertices.join(ends.unionByName(met.where("key is not null").select(F.col("b").alias("vertex"))).distinct(), "vertex", "left_semi").select("row")
-    texts = storage.table(rows.join(chosen, "row", "left_semi").select("vertex", "text"), "texts")
+    texts = storage.table(rows.join(chosen, "row", "left_semi").select("vertex", F.col("given.text").cast("string").alias("text")), "texts")
 
     links = storage.table(_verified(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, shingle, least), "links")
     roots = storage.table(components(links), "roots")
@@ -330,6 +330,7 @@ def text_links(rows: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAS
     keyed = met.where("key is not null").select(F.col("b").alias("v"), "key").join(roots, "v", "left").select("v", "key", F.coalesce("root", "v").alias("root"))
     mixed = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     members = storage.table(keyed.join(mixed, "key", "left_semi").select(F.col("v").alias("vertex"), "root").distinct(), "members")
+    storage.free(met)
     sets = storage.table(_shingle_rows(texts.join(members, "vertex", "left_semi"), shingle), "shingle_rows")
     sure, pairs = exact_candidates(members, sets, least, rare)
     links = storage.table(links.unionByName(sure), "links")
