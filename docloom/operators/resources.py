@@ -51,7 +51,7 @@ def colour_space(value: Column) -> Column:
         .when(family == "Pattern", part("^\\[ ?/Pattern ?\\[? ?/([A-Za-z]+)"))
     )
     names = F.when(family == "Separation", F.array(part("^\\[ ?/Separation ?/([^\\s/\\[\\]]+)"))).when(family == "DeviceN", F.regexp_extract_all(F.regexp_extract(text, "^\\[ ?/DeviceN ?\\[([^\\]]*)\\]", 1), F.lit("/([^\\s/\\[\\]]+)"), F.lit(1)))
-    most = F.when(family == "Indexed", part("^\\[ ?/Indexed .*?[A-Za-z\\]] ?([0-9]+)\\b").try_cast("long"))
+    most = F.when(family == "Indexed", part("^\\[ ?/Indexed ?(?:\\[[^\\]]*\\]|/[A-Za-z]+|[0-9]+ [0-9]+ R) ?([0-9]+)\\b").try_cast("long"))
     profile = F.when(family == "ICCBased", part("^\\[ ?/ICCBased ([0-9]+) [0-9]+ R").try_cast("long"))
     return F.when(family.isNotNull(), F.struct(family.alias("family"), alternate.alias("alternate"), names.alias("colourants"), most.alias("most"), profile.alias("profile")))
 

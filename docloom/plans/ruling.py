@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..functions import filters
+from ..functions import cbor, filters
 from ..graph import Tables, org_graph
 from ..operators import profiles, resources, rules, security, tours, transforms
 from ..sources import graphs, raw
@@ -275,3 +275,14 @@ def source_binary_files(t: Tables) -> DataFrame:
 def sink_xml(t: Tables) -> DataFrame:
     rows = graphs.as_xml(t.nation.select("n_nationkey", "n_name"))
     return rows.select(F.regexp_extract("xml", "<n_nationkey>([0-9]+)", 1).cast("int").alias("n_nationkey"), F.regexp_replace("xml", ">\\s+<", "><").alias("xml"))
+
+
+_CBOR_TEXT = "CASE WHEN strlen({0}) < 24 THEN printf('%02X', 96 + strlen({0})) WHEN strlen({0}) < 256 THEN '78' || printf('%02X', strlen({0})) ELSE '79' || printf('%04X', strlen({0})) END || hex(encode({0}))"
+
+
+@query(f"SELECT doc_id, 'A3' || {_CBOR_TEXT.format("'lang'")} || {_CBOR_TEXT.format('lang')} || {_CBOR_TEXT.format("'source'")} || {_CBOR_TEXT.format('source')} || {_CBOR_TEXT.format("'text'")} || {_CBOR_TEXT.format('text')} AS cbor, text AS back FROM documents WHERE strlen(text) < 65536")
+def sink_cbor(t: Tables) -> DataFrame:
+    """Documents of under 64 KB, the longest that two bytes of size hold, as CBOR maps, and their texts read back."""
+    own = t.documents.where(F.octet_length("text") < 1 << 16)
+    coded = own.select("doc_id", cbor.encoded(F.create_map(F.lit("text"), "text", F.lit("lang"), "lang", F.lit("source"), "source")).alias("c"))
+    return coded.select("doc_id", F.hex("c").alias("cbor"), F.try_element_at(cbor.decoded(F.col("c")), F.lit("text")).alias("back"))
