@@ -1,8 +1,8 @@
 """Token ids in files of patched frame-of-reference blocks.
 
 A segment is one file: a head, blocks of 1,024 ids, the places where the blocks begin and a table
-of its documents.  A block keeps its least id and the others' distances from it, packed at the width
-that holds the given share of them; the few wider ones are exceptions, kept in a list of place and
+of its documents.  A block keeps its least id and the others' distances from it, packed at the width of one of
+their percentiles, that which makes the block smallest; the wider ones are exceptions, kept in a list of place and
 value.  Any run of ids is read from the blocks that hold it alone.
 
 Documents are dealt out by ranges of doc_id and encoded and written in that order, as a stream: a
@@ -34,8 +34,8 @@ from .bpe import default_vocabulary
 from .packing import ids_of
 
 CLOSING_ID = 2
-#: Ids of a block, ids of a segment from which it is written, and the share of a block's ids that its width holds.
-BLOCK, SEGMENT, SHARE = 1024, 8 << 20, 0.9
+#: Ids of a block, ids of a segment from which it is written, and the shares of a block's ids that its width may hold.
+BLOCK, SEGMENT, SHARES = 1024, 8 << 20, (0.75, 0.9, 0.95, 0.98, 0.99, 1.0)
 #: Fixed values of the format: the first bytes and the last, and the heads of a segment and of a block.
 MAGIC, LAST = b"TOKENS01", b"\n"
 #: Magic, segment's number, ids, documents, ids of a block, where block starts and the documents' table begin.
@@ -50,18 +50,22 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(np.float64))[1]
 
 
-def packed(ids: np.ndarray, block: int = BLOCK, share: float = SHARE) -> list[bytes]:
+def packed(ids: np.ndarray, block: int = BLOCK, shares: tuple[float, ...] = SHARES) -> list[bytes]:
     """The blocks of these ids, as bytes; those of like width are packed together."""
     whole = len(ids) // block
-    found = _packed_rows(ids[: whole * block].reshape(whole, block), share) if whole else []
-    return found + (_packed_rows(ids[whole * block :].reshape(1, -1), share) if len(ids) % block else [])
+    found = _packed_rows(ids[: whole * block].reshape(whole, block), shares) if whole else []
+    return found + (_packed_rows(ids[whole * block :].reshape(1, -1), shares) if len(ids) % block else [])
 
 
-def _packed_rows(rows: np.ndarray, share: float) -> list[bytes]:
+def _packed_rows(rows: np.ndarray, shares: tuple[float, ...]) -> list[bytes]:
     n, size = rows.shape
     least = rows.min(axis=1)
     off = rows - least[:, None]
-    widths = _bits(np.partition(off, k := max(0, int(np.ceil(share * size)) - 1), axis=1)[:, k])
+    ranked = np.sort(off, axis=1)
+    choices = np.stack([_bits(ranked[:, max(0, int(np.ceil(s * size)) - 1)]) for s in shares])
+    over = np.stack([(_bits(ranked) > c[:, None]).sum(axis=1) for c in choices])
+    best = np.argmin((size * choices + 7) // 8 + 6 * over, axis=0)
+    widths = choices[best, np.arange(n)]
     out: list[bytes] = [b""] * n
     for width in np.unique(widths).tolist():
         own = np.flatnonzero(widths == width)
@@ -139,10 +143,10 @@ class Segment:
             at += n
 
 
-def segment(number: int, doc_ids: list[int | None], ids: list[np.ndarray], block: int = BLOCK, share: float = SHARE) -> bytes:
+def segment(number: int, doc_ids: list[int | None], ids: list[np.ndarray], block: int = BLOCK, shares: tuple[float, ...] = SHARES) -> bytes:
     """The segment of these documents, without its last byte."""
     all_ids = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-    blocks = [b for k in range(0, len(all_ids), 256 * block) for b in packed(all_ids[k : k + 256 * block], block, share)]
+    blocks = [b for k in range(0, len(all_ids), 256 * block) for b in packed(all_ids[k : k + 256 * block], block, shares)]
     ends = np.cumsum([HEAD.size, *map(len, blocks)], dtype="<i8")
     table = [np.array([len(x) for x in ids], "<i8"), np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is not None for d in doc_ids], np.uint8)]
     parts = [HEAD.pack(MAGIC, number, len(all_ids), len(ids), block, int(ends[-1]), int(ends[-1]) + 8 * len(blocks)), *blocks, ends[:-1].tobytes(), *(t.tobytes() for t in table)]
@@ -150,7 +154,7 @@ def segment(number: int, doc_ids: list[int | None], ids: list[np.ndarray], block
     return data + struct.pack("<I", zlib.crc32(data))
 
 
-def write(docs: DataFrame, path: str, vocabulary: str | None = None, closing_id: int = CLOSING_ID, segment_ids: int = SEGMENT, block: int = BLOCK, share: float = SHARE) -> None:
+def write(docs: DataFrame, path: str, vocabulary: str | None = None, closing_id: int = CLOSING_ID, segment_ids: int = SEGMENT, block: int = BLOCK, shares: tuple[float, ...] = SHARES) -> None:
     """Writes every text's ids, each with the closing id, in ascending order of doc_id."""
     place = vocabulary or default_vocabulary()
 
@@ -160,7 +164,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, closing_id:
         number, doc_ids, ids, held = TaskContext.get().partitionId() << 32, [], [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([segment(number, doc_ids, ids, block, share)], pa.binary())], ["value"])
+            return pa.RecordBatch.from_arrays([pa.array([segment(number, doc_ids, ids, block, shares)], pa.binary())], ["value"])
 
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
