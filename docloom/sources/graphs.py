@@ -101,7 +101,8 @@ def stable_ids(g: Graph, named: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, id, stable_id): the same in every export of a document.
 
     A node of a named type is called by that property (``{"Font": "BaseFont"}``), others by a
-    digest of their place: ids from the root down.  Nodes of one name are told apart by number.
+    digest of their place: ids from the root down.  Nodes of one name are told apart by number; one
+    that would then be called as another is by its own name has a digest of its id added.
     """
     from pyspark.sql import Window
 
@@ -115,7 +116,10 @@ def stable_ids(g: Graph, named: dict[str, str] | None = None) -> DataFrame:
         name = F.when((F.col("node_type") == t) & value.isNotNull(), F.concat(kind, F.lit("_"), value)).otherwise(name)
     own = g.nodes.join(paths, ["doc_id", "id"]).withColumn("name", name)
     number = F.row_number().over(Window.partitionBy("doc_id", "name").orderBy("id"))
-    return own.withColumn("n", number).select("doc_id", "id", F.when(F.col("n") == 1, F.col("name")).otherwise(F.concat_ws("_", "name", "n")).alias("stable_id"))
+    own = own.withColumn("n", number).withColumn("called", F.when(F.col("n") == 1, F.col("name")).otherwise(F.concat_ws("_", "name", "n")))
+    again = F.row_number().over(Window.partitionBy("doc_id", "called").orderBy("n", "id"))
+    digest = F.concat_ws("_", "called", F.substring(F.md5(F.col("id").cast("string")), 1, 12))
+    return own.withColumn("again", again).select("doc_id", "id", F.when(F.col("again") == 1, F.col("called")).otherwise(digest).alias("stable_id"))
 
 
 def as_json(df: DataFrame, name: str = "json") -> DataFrame:

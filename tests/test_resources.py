@@ -124,3 +124,10 @@ def test_cyclic_moves(spark):
     walked = tours.walk(kids, spark.createDataFrame([("a", 0)], "doc_id string, id long"))
     moves = spark.createDataFrame([("a", 1, 3), ("a", 1, 1), ("a", 1, 4), ("a", 2, 3), ("a", 0, 4), ("a", 9, 1)], "doc_id string, root long, new_parent long")
     assert {(r["root"], r["new_parent"]): r["cycle"] for r in transforms.cyclic_moves(walked, moves).collect()} == {(1, 3): True, (1, 1): True, (1, 4): False, (2, 3): False, (0, 4): True, (9, 1): None}
+
+
+def test_stable_ids_are_given_once(spark):
+    nodes = [(1, i, "Font", {"F": name}, None, []) for i, name in enumerate(["a", "a", "a_2", "a_2"])]
+    g = Graph(spark.createDataFrame(nodes, "doc_id long, id long, node_type string, props map<string,string>, value double, errors array<string>"), spark.createDataFrame([], "doc_id long, src long, dst long, edge_type string, ord int"))
+    names = {r["id"]: r["stable_id"] for r in graphs.stable_ids(g, {"Font": "F"}).collect()}
+    assert len(set(names.values())) == 4 and names[0] == "font_a" and names[2] == "font_a_2"
