@@ -8,9 +8,10 @@ a join of two streams without a watermark never does.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -76,12 +77,24 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return frame.astype({"key": "int64", "ref": "int64", "target": "Int64", "state": "str"})
 
 
+@contextmanager
+def store(spark: SparkSession) -> Iterator[None]:
+    """While it is open, streams that are started keep their state in the store that lists and timers need."""
+    key, name = STORE
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, name)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def resolved(references: DataFrame, targets: DataFrame, wait: str, wait_ms: int) -> DataFrame:
     """Streams (key, ref, at) and (key, target, at) to (key, ref, target, state): bound references, whichever side came first, and expired ones.
 
-    ``wait`` is the watermark's delay, ``wait_ms`` how long either side waits for the other in event time.
+    ``wait`` is the watermark's delay, ``wait_ms`` how long either side waits for the other in event
+    time.  The stream must be started while ``store`` is open.
     """
-    references.sparkSession.conf.set(*STORE)
     none = lambda c: F.lit(None).cast("long").alias(c)
     both = references.select("key", "ref", none("target"), "at").unionByName(targets.select("key", none("ref"), "target", "at"))
     both = both.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", wait)

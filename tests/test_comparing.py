@@ -402,8 +402,9 @@ def test_waiting_state_shrinks(spark, tmp_path):
         left = streams.source(spark, refs, f"key long, ref long, at {day}")
         right = streams.source(spark, targets, f"key long, target long, at {day}")
         stream = waiting.resolved(left, right, "1 day", 5 * 86_400_000)
-        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "progress")).outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination()
+        with waiting.store(spark):
+            query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "progress")).outputMode("append").trigger(availableNow=True).start()
+            query.awaitTermination()
         names.append([s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]][-1])
         return sorted((r["key"], r["ref"], r["target"], r["state"]) for r in spark.read.schema("key long, ref long, target long, state string").parquet(str(tmp_path / "out")).collect())
 
