@@ -94,7 +94,7 @@ def test_queries_are_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
