@@ -203,41 +203,45 @@ def estimates(points: DataFrame) -> DataFrame:
     return storage.table(found.join(middle, "pool").select(*columns, scale), "estimates")
 
 
-def pools(rows: DataFrame) -> DataFrame:
-    """(lang, source) to ``pool``, whose estimate judges the group, and ``feeds``, the pools that its rows take part in."""
+def pools(rows: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """(lang, source) to ``pool``, whose estimate judges the group, and ``feeds``, the pools that its rows take part in.
+
+    A group of at least ``min_group`` rows has an estimate of its own; a smaller one is judged by its
+    language if that has as many, else by all rows: so few rows have no robust estimate in five components.
+    """
     named = lambda kind, *c: F.concat(F.lit(f"{kind}:"), F.to_json(F.struct(*c), {"ignoreNullFields": "false"}))
     sizes = rows.where("v0 is not null").groupBy("lang", "source").agg(F.count("*").alias("size"))
     sizes = sizes.withColumn("language_size", F.sum("size").over(Window.partitionBy("lang")))
-    pool = F.when(F.col("size") >= MIN_GROUP, named("source", "lang", "source")).when(F.col("language_size") >= MIN_GROUP, named("language", "lang"))
+    pool = F.when(F.col("size") >= min_group, named("source", "lang", "source")).when(F.col("language_size") >= min_group, named("language", "lang"))
     groups = storage.table(sizes.withColumn("pool", F.coalesce(pool, F.lit("all"))), "groups")
     anywhere = not groups.where("pool = 'all'").isEmpty()
     borrowed = F.max(F.col("pool").startswith("language:")).over(Window.partitionBy("lang"))
-    feeds = [F.when(F.col("size") >= MIN_GROUP, F.col("pool")), F.when(borrowed, named("language", "lang")), F.lit("all" if anywhere else None).cast("string")]
+    feeds = [F.when(F.col("size") >= min_group, F.col("pool")), F.when(borrowed, named("language", "lang")), F.lit("all" if anywhere else None).cast("string")]
     return groups.select(named("name", "lang", "source").alias("name"), "pool", F.array_compact(F.array(*feeds)).alias("feeds"))
 
 
-def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+def judge(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
     """Counts of each text, base_failed, kept, and the scaled squared distance (null where there is none)."""
-    return _judged(docs, cutoff).drop("row")
+    return _judged(docs, cutoff, min_group).drop("row")
 
 
-def kept_rows(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+def kept_rows(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
     """The rows of the documents that are kept, each by its own verdict, whatever its id.
 
     They are written with a key of their own first, which stays the same when a task runs again.
     """
     given, known = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), {c.lower() for c in docs.columns}  # whatever their names
     rows = storage.table(docs.select(given.alias("given"), F.monotonically_increasing_id().alias("row")), "numbered")
-    kept = _judged(rows.select("row", *[F.col(f"given.{c}").alias(c) for c in ("doc_id", "text", "lang", "source") if c in known]), cutoff).where("kept").select("row")
+    kept = _judged(rows.select("row", *[F.col(f"given.{c}").alias(c) for c in ("doc_id", "text", "lang", "source") if c in known]), cutoff, min_group).where("kept").select("row")
     return rows.join(kept, "row", "left_semi").select("given.*")
 
 
-def _judged(docs: DataFrame, cutoff: float) -> DataFrame:
+def _judged(docs: DataFrame, cutoff: float, min_group: int) -> DataFrame:
     rows = vectors(statistics(docs))
     key = F.xxhash64("doc_id", "n_words", "word_chars")
     rows = storage.table(rows.withColumn("salt", F.pmod(key, F.lit(SALTS)).cast("int")), "rule_rows")
     name = F.concat(F.lit("name:"), F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"}))
-    copies = pools(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = pools(rows, min_group).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = storage.table(rows.withColumn("name", name).join(copies, ["name", "salt"], "left").drop("name"), "pooled_rows")
     points = rows.where("v0 is not null").select(F.explode("feeds").alias("pool"), "salt", *V)
     judged = _distances(rows, estimates(points), "left").withColumn("distance", F.col("d2") / F.col("scale"))

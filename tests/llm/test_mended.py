@@ -145,3 +145,15 @@ def test_neighbours_meet_a_part_of_clustered_rows(spark):
         right += len(near & set(np.argsort(-scores, kind="stable")[:20].tolist()))
     assert right / (20 * len(got)) >= 0.9 and len(got) == 120
     assert met.agg(F.avg("met")).first()[0] < len(x) / 3
+
+
+@pytest.mark.parametrize("n", [29, 30, 31])
+def test_groups_of_a_least_size_have_an_estimate_of_their_own(spark, n):
+    rows = [("en", "web", 0.0)] * n + [("en", "news", 0.0)] * 40 + [("de", "web", 0.0)] * 5
+    df = spark.createDataFrame(rows, "lang string, source string, v0 double")
+    found = {r["name"]: (r["pool"], r["feeds"]) for r in rules.pools(df, 30).collect()}
+    own = next(v for k, v in found.items() if '"en"' in k and '"web"' in k)
+    small = next(v for k, v in found.items() if '"de"' in k)
+    assert own[0].startswith("source:" if n >= 30 else "language:") and small[0] == "all" and "all" in own[1]
+    assert next(v for k, v in found.items() if '"news"' in k)[0].startswith("source:")
+    assert all(p[0] == "all" for p in ((r["pool"], r["feeds"]) for r in rules.pools(df, 1000).collect()))
