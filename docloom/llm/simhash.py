@@ -134,8 +134,10 @@ TEXT_SHINGLE, LEAST = 5, 0.8
 WORDS, BLOCK_BITS, BLOCK_RADIUS = 7, 28, 2
 #: Bits of the long fingerprint in which texts of the least similarity differ: a mean of 68 of 448, and nearly six deviations of 7.6 more.
 MOST_BITS = 112
-#: A shingle that more members of mixed key groups than this have is common; others are rare.
-RARE = 64
+#: Key groups of at most so many texts meet in full: a bounded number of pairs for each text.
+FEW = 8
+#: A shingle that more members of larger mixed key groups than this have is common; others are rare.
+RARE = 16
 #: Fixed values of the mixture: two factors, and the step between its streams.
 _MIX, _STEP = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)), 0x9E3779B97F4A7C15
 
@@ -301,7 +303,8 @@ def text_links(rows: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAS
     2. Of pairs whose whole fingerprints are near, each text's first is verified; then
        those of the others that are not joined yet.
     3. The exact way for groups of more than two that still hold texts of different
-       components: all these texts are searched by their shingles, see ``exact_candidates``,
+       components.  Those of at most ``FEW`` texts meet in full, where their whole fingerprints are
+       near.  The texts of larger ones are searched by their shingles, see ``exact_candidates``,
        which finds every link among them, whether they share a key or not.
 
     So links are lost by neither size nor order of a group, and no step makes all pairs of one.
@@ -316,7 +319,7 @@ def text_links(rows: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAS
     balls = known.repartition(parts, "vertex").select("vertex", F.explode(_keys()).alias("key"))
     group = Window.partitionBy("key")
     met = balls.select("vertex", "key", F.min("vertex").over(group).alias("head"), F.count("*").over(group).alias("n")).where("n > 1")
-    met = storage.table(met.select(F.col("vertex").alias("b"), F.col("head").alias("a"), F.when(F.col("n") > 2, F.col("key")).alias("key")), "met")
+    met = storage.table(met.select(F.col("vertex").alias("b"), F.col("head").alias("a"), F.when(F.col("n") > 2, F.col("key")).alias("key"), F.col("n")), "met")
     found = storage.table(_close(met.where("a < b").select("a", "b"), known, most_bits), "close")
     ends = found.select(F.explode(F.array("a", "b")).alias("vertex"))
     chosen = vertices.join(ends.unionByName(met.where("key is not null").select(F.col("b").alias("vertex"))).distinct(), "vertex", "left_semi").select("row")
@@ -327,15 +330,20 @@ def text_links(rows: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAS
     links = storage.table(links.unionByName(_verified(_across(found, roots), texts, shingle, least)), "links")
     roots = storage.table(components(links), "roots")
 
-    keyed = met.where("key is not null").select(F.col("b").alias("v"), "key").join(roots, "v", "left").select("v", "key", F.coalesce("root", "v").alias("root"))
+    keyed = met.where("key is not null").select(F.col("b").alias("v"), "key", "n").join(roots, "v", "left").select(F.col("v").alias("vertex"), "key", "n", F.coalesce("root", "v").alias("root"))
     mixed = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    members = storage.table(keyed.join(mixed, "key", "left_semi").select(F.col("v").alias("vertex"), "root").distinct(), "members")
-    storage.free(met)
+    keyed = storage.table(keyed.join(mixed, "key", "left_semi"), "mixed_keys")
+    few = keyed.where(F.col("n") <= FEW).join(known, "vertex")
+    one, other = (few.select("key", F.col("vertex").alias(v), F.col("root").alias(r), F.col("prints").alias(p)) for v, r, p in (("a", "ra", "p"), ("b", "rb", "q")))
+    near = F.lit(True) if most_bits is None else _differing("p", "q") <= most_bits
+    few = storage.table(one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct(), "few")
+    members = storage.table(keyed.where(F.col("n") > FEW).select("vertex", "root").distinct(), "members")
+    storage.free(met, keyed)
     sets = storage.table(_shingle_rows(texts.join(members, "vertex", "left_semi"), shingle), "shingle_rows")
     sure, pairs = exact_candidates(members, sets, least, rare)
     links = storage.table(links.unionByName(sure), "links")
     roots = storage.table(components(links), "roots")
-    rest = _across(storage.table(pairs, "pairs"), roots).join(found, ["a", "b"], "left_anti")  # what was verified in vain
+    rest = _across(storage.table(pairs.unionByName(few).distinct(), "pairs"), roots).join(found, ["a", "b"], "left_anti")  # what was verified in vain
     links = links.unionByName(_verified(storage.table(rest, "rest"), texts, shingle, least))
     storage.free(sets)
     return vertices.select("vertex", "first"), storage.table(components(links), "roots")
