@@ -138,20 +138,25 @@ def visited(first: np.ndarray, second: np.ndarray, rows: np.ndarray, enough: int
     return cells
 
 
-def best_of_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Each query's k best of the rows, itself left out: products by matrix, then the best again row by row.
+def _best_rows(q: np.ndarray, own: int, at: np.ndarray, values: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of the rows at some places for one query, itself left out, from products by matrix (``values``), the best again row by row.
 
     Sums by row are alike for like rows, so that copies tie; those that might be among the best are all looked at.
     """
+    values[ids[at] == own] = -np.inf
+    few = np.partition(values, len(values) - k)[len(values) - k] if len(values) > k else -np.inf
+    near = at[(values >= few - 1e-9 * (1 + abs(few))) & (values > -np.inf) if few > -np.inf else values > -np.inf]
+    scores = (rows[near] * q).sum(axis=1)
+    order = np.lexsort((ids[near], -scores))[:k]
+    return ids[near][order], scores[order]
+
+
+def best_of_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each query's k best of the rows."""
     for start in range(0, len(queries), AT_ONCE):
         some, own_ids = queries[start : start + AT_ONCE], query_ids[start : start + AT_ONCE]
-        for q, own, at in zip(some, own_ids, some @ rows.T):
-            at[ids == own] = -np.inf
-            few = np.partition(at, len(at) - k)[len(at) - k] if len(at) > k else -np.inf
-            near = np.flatnonzero((at >= few - 1e-9 * (1 + abs(few))) & (at > -np.inf)) if few > -np.inf else np.flatnonzero(at > -np.inf)
-            scores = (rows[near] * q).sum(axis=1)
-            order = np.lexsort((ids[near], -scores))[:k]
-            yield int(own), ids[near][order], scores[order]
+        for q, own, values in zip(some, own_ids, some @ rows.T):
+            yield (int(own), *_best_rows(q, own, np.arange(len(rows)), values, rows, ids, k))
 
 
 FOUND = "query_id long, vec_id long, score double"
@@ -168,17 +173,21 @@ def _block(asked: pd.DataFrame, some: pd.DataFrame, k: int) -> pd.DataFrame:
     which, wanted = np.repeat(np.arange(len(asked)), asked["cells"].map(len)), np.concatenate(asked["cells"].to_list())
     order = np.argsort(wanted, kind="stable")
     which, wanted = which[order], wanted[order]
-    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for cell in np.unique(wanted):
-        at, own = slice(*np.searchsorted(cells, (cell, cell + 1))), which[slice(*np.searchsorted(wanted, (cell, cell + 1)))]
-        if at.start < at.stop:
-            for query_id, near, scores in best_of_block(queries[own], query_ids[own], rows[at], ids[at], k):
-                found.setdefault(query_id, []).append((near, scores))
     out = []
-    for query_id, parts in found.items():
-        near, scores = (np.concatenate(x) for x in zip(*parts))
-        best = np.lexsort((near, -scores))[:k]
-        out.append(pd.DataFrame({"query_id": query_id, "vec_id": near[best], "score": scores[best]}))
+    for start in range(0, len(queries), AT_ONCE):  # products of so many queries are held
+        some = (which >= start) & (which < start + AT_ONCE)
+        by, asks = which[some], wanted[some]
+        products: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        bounds = np.flatnonzero(np.concatenate(([True], asks[1:] != asks[:-1], [True]))) if len(asks) else np.zeros(1, int)
+        for i, j in zip(bounds[:-1], bounds[1:]):
+            at = np.arange(*np.searchsorted(cells, (asks[i], asks[i] + 1)))
+            if len(at):
+                for q, values in zip(by[i:j].tolist(), queries[by[i:j]] @ rows[at].T):
+                    products.setdefault(q, []).append((at, values))
+        for q, parts in products.items():
+            at, values = (np.concatenate(x) for x in zip(*parts))
+            near, scores = _best_rows(queries[q], query_ids[q], at, values, rows, ids, k)
+            out.append(pd.DataFrame({"query_id": query_ids[q], "vec_id": near, "score": scores}))
     return pd.concat(out) if out else none
 
 
