@@ -21,7 +21,7 @@ fingerprint and then verified on the exact shingle sets.  See there.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -248,8 +248,23 @@ def _shingle_rows(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("vertex", "text").mapInArrow(run, "vertex long, n long, s long")
 
 
-def exact_candidates(members: DataFrame, sets: DataFrame, least: float = LEAST, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
-    """Members (vertex, root) and their shingles (vertex, n, s) to links (a, b) that are sure, and pairs (a, b) of different roots to verify.
+def _covers(tokens: DataFrame) -> DataFrame:
+    """Sets (rep, h, m, s), a row for each of their h shingles, to (rep, cover, both, most): a large set that has ``both`` of rep's shingles and whose text has ``most`` <= h + m in all.
+
+    Each shingle of a set votes for the largest set that has it and whose text is no longer;
+    the set of most votes is held against it, a row for each shingle.  Where ``both`` = h, it covers the set.
+    """
+    upto = Window.partitionBy("s").orderBy("size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    largest = F.max(F.struct("h", (-F.col("size")).alias("most"), F.col("rep").alias("cover"))).over(upto)
+    votes = tokens.select("*", (F.col("h") + F.col("m")).alias("size")).select("rep", largest.alias("by")).groupBy("rep", "by").agg(F.count("*").alias("votes"))
+    chosen = votes.groupBy("rep").agg(F.max(F.struct("votes", "by")).alias("best"))
+    chosen = chosen.select("rep", F.col("best.by.cover").alias("cover"), (-F.col("best.by.most")).alias("most")).where("rep <> cover")
+    found = tokens.select("rep", "s").join(chosen, "rep").join(tokens.select(F.col("rep").alias("cover"), "s"), ["cover", "s"])
+    return found.groupBy("rep", "cover", "most").agg(F.count("*").alias("both"))
+
+
+def exact_search(sets: DataFrame, least: float = LEAST, rare: int = RARE) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Texts' shingles (vertex, n, s) to links (a, b) that are sure, and what gives the pairs (a, b) to verify, from roots (v, root) that hold those links.
 
     Together they connect all pairs of at least the similarity, and no pair is made because texts are alike:
 
@@ -258,10 +273,16 @@ def exact_candidates(members: DataFrame, sets: DataFrame, least: float = LEAST,
     - Texts that share none have their whole overlap in common shingles, so most of each text is
       common.  Texts of the same common shingles, h of them, are as like as the numbers of their other
       shingles say, so each is held against the one that has the fewest; these links need no text.
-    - Different sets of common shingles are few.  They are searched as the texts were, by the first
-      shingles in order of how many sets have each, and the texts of one set meet the text with
-      the fewest others of another set.  Only here could pairs grow with a square: that of the
-      number of different common sets that are like each other.
+    - A set of common shingles may lie in another, its cover, whose text is no longer.  What is
+      like a text of the set by common shingles is then at least as like the cover's text.  So a text that
+      is like the cover needs that link alone, which needs no text; one that is not can only be
+      like texts of fewer shingles than the cover's, which lie in no cover that they are like.
+    - Sets that lie in no other are linked to the one that has most of them, if that is like them.
+      What is left is searched as the texts were, by the first shingles in order of how many sets have
+      each: sets of different roots meet, unless both are covered, and the texts of one set meet the
+      text with the fewest others of another.  At a shingle all but the sets of its most frequent root
+      meet the rest.  Only here could pairs grow with a square: that of the number of sets that are
+      like each other, are of different roots and lie in no other.
     """
     counts = sets.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     marked = storage.table(sets.join(counts, "s"), "shared_shingles")
@@ -271,28 +292,56 @@ def exact_candidates(members: DataFrame, sets: DataFrame, least: float = LEAST,
         F.max("n").alias("n"), F.count_if(common).alias("h"), F.bit_xor(F.when(common, F.col("s"))).alias("x"), F.bit_xor(F.when(common, F.xxhash64("s"))).alias("y"),
         F.sort_array(F.collect_list(F.when(~common, F.struct("df", "s")))).alias("rare"),
     )
-    by = storage.table(by.join(members, "vertex"), "by_shingles")
-    alone = F.col("n") - F.col("h") - F.size("rare")
-    posted = by.select("vertex", "root", "n", F.explode(F.slice("rare", 1, F.greatest(first(F.col("n")) - alone, F.lit(0)).cast("int"))).alias("r")).select("vertex", "root", "n", "r.s")
-    one, other = (posted.select("s", F.col("vertex").alias(v), F.col("root").alias(r), F.col("n").alias(n)) for v, r, n in (("a", "ra", "na"), ("b", "rb", "nb")))
+    by = storage.table(by, "by_shingles")
     alike = lambda m, n, more=0: F.least(m, n) >= least * (F.greatest(F.col(m), F.col(n)) + more) - 1e-9
-    pairs = one.join(other, "s").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & alike("na", "nb")).select("a", "b")
-
-    mostly = by.where((F.col("h") > 0) & (F.col("h") >= least * F.col("n") - 1e-9)).select("vertex", "root", "h", "x", "y", (F.col("n") - F.col("h")).alias("others"))
-    fewest = mostly.groupBy("h", "x", "y").agg(F.min(F.struct("others", "vertex", "root")).alias("best"))
-    fewest = storage.table(fewest.select("h", "x", "y", F.col("best.others").alias("m"), F.col("best.vertex").alias("rep"), F.col("best.root").alias("rep_root")), "common_sets")
-    own = mostly.join(fewest, ["h", "x", "y"])
-    sure = own.where((F.col("vertex") != F.col("rep")) & (F.col("h") >= least * (F.col("h") + F.col("others") + F.col("m")) - 1e-9)).select(F.least("vertex", "rep").alias("a"), F.greatest("vertex", "rep").alias("b"))
+    pair = lambda v, w: (F.least(v, w).alias("a"), F.greatest(v, w).alias("b"))
 
+    mostly = by.where((F.col("h") > 0) & (F.col("h") >= least * F.col("n") - 1e-9)).select("vertex", "h", "x", "y", (F.col("n") - F.col("h")).alias("others"))
+    fewest = mostly.groupBy("h", "x", "y").agg(F.min(F.struct("others", "vertex")).alias("best"))
+    fewest = storage.table(fewest.select("h", "x", "y", F.col("best.others").alias("m"), F.col("best.vertex").alias("rep")), "common_sets")
     tokens = marked.where(common).join(fewest.select(F.col("rep").alias("vertex"), "h", "m"), "vertex").select(F.col("vertex").alias("rep"), "h", "m", "s")
-    held = tokens.groupBy("s").agg(F.count("*").alias("sets"))
-    ordered = tokens.join(held, "s").groupBy("rep").agg(F.max("h").alias("h"), F.max("m").alias("m"), F.sort_array(F.collect_list(F.struct("sets", "s"))).alias("t"))
-    posted = ordered.select("rep", "h", "m", F.explode(F.slice("t", 1, first(F.col("h")).cast("int"))).alias("t")).where("t.sets > 1").select("rep", "h", "m", "t.s")
-    one, other = (posted.select("s", F.col("rep").alias(v), F.col("h").alias(h), F.col("m").alias(m)) for v, h, m in (("p", "hp", "mp"), ("q", "hq", "mq")))
-    near = one.join(other, "s").where((F.col("p") != F.col("q")) & alike("hp", "hq", F.col("mp") + F.col("mq"))).select("p", "q", "hp", "hq", "mq").distinct()
-    met = own.select(F.col("rep").alias("p"), "vertex", "root", "others").join(near, "p").where(alike("hp", "hq", F.col("others") + F.col("mq")))
-    met = met.join(fewest.select(F.col("rep").alias("q"), "rep_root"), "q").where("root <> rep_root").select(F.least("vertex", "q").alias("a"), F.greatest("vertex", "q").alias("b"))
-    return sure, pairs.unionByName(met).distinct()
+    tokens = storage.table(tokens, "set_tokens")
+    own = mostly.join(fewest, ["h", "x", "y"]).join(_covers(tokens), "rep", "left")
+    like = F.coalesce(F.col("both") >= least * (F.col("h") + F.col("others") + F.col("most") - F.col("both")) - 1e-9, F.lit(False))
+    covered = F.col("both") == F.col("h")
+    own = storage.table(own.select("rep", "vertex", "h", "others", "m", "cover", like.alias("like"), (like & covered).alias("held"), F.when(covered, F.col("most")).alias("most")), "under_covers")
+    sure = own.where((F.col("vertex") != F.col("rep")) & (F.col("h") >= least * (F.col("h") + F.col("others") + F.col("m")) - 1e-9)).select(*pair("vertex", "rep"))
+    sure = sure.unionByName(own.where("like").select(*pair("vertex", "cover"))).distinct()
+
+    def search(roots: DataFrame) -> DataFrame:
+        rooted = lambda df, v: df.join(roots.select(F.col("v").alias(v), "root"), v, "left").withColumn("root", F.coalesce("root", v))
+        alone = F.col("n") - F.col("h") - F.size("rare")
+        posted = rooted(by, "vertex").select("vertex", "root", "n", F.explode(F.slice("rare", 1, F.greatest(first(F.col("n")) - alone, F.lit(0)).cast("int"))).alias("r")).select("vertex", "root", "n", "r.s")
+        one, other = (posted.select("s", F.col("vertex").alias(v), F.col("root").alias(r), F.col("n").alias(n)) for v, r, n in (("a", "ra", "na"), ("b", "rb", "nb")))
+        pairs = one.join(other, "s").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & alike("na", "nb")).select("a", "b")
+
+        left = storage.table(rooted(own.where("not held"), "vertex"), "left")
+        of_set = left.groupBy("rep").agg(F.max("h").alias("h"), F.min("others").alias("m"), F.max("most").alias("most"), F.when(F.min("root") == F.max("root"), F.min("root")).alias("root"))
+        held = tokens.groupBy("s").agg(F.count("*").alias("sets"))
+        ordered = tokens.select("rep", "s").join(held, "s").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("sets", "s"))).alias("t")).join(of_set, "rep")
+        posted = ordered.select("rep", "h", "m", "most", "root", F.explode(F.slice("t", 1, first(F.col("h")).cast("int"))).alias("t")).where("t.sets > 1").select("rep", "h", "m", "most", "root", "t.s")
+        posted = storage.table(posted, "posted_sets")
+        usual = posted.where("root is not null").groupBy("s", "root").agg(F.count("*").alias("sets")).groupBy("s").agg(F.max(F.struct("sets", "root"))["root"].alias("usual"))
+        names = ("rep", "h", "m", "most", "root")
+        one, other = (posted.select("s", *[F.col(c).alias(f"{c}_{k}") for c in names]) for k in "pq")
+        one = one.join(usual, "s", "left").where("root_p is null or root_p <> usual").drop("usual")
+        smaller = lambda k, o: F.col(f"most_{k}").isNull() | (F.col(f"most_{o}").isNull() & (F.col(f"h_{o}") + F.col(f"m_{o}") < F.col(f"most_{k}")))
+        apart = (F.col("rep_p") != F.col("rep_q")) & (F.col("root_p").isNull() | F.col("root_q").isNull() | (F.col("root_p") != F.col("root_q")))
+        near = one.join(other, "s").where(apart & smaller("p", "q") & smaller("q", "p") & alike("h_p", "h_q", F.col("m_p") + F.col("m_q"))).select("rep_p", "rep_q").distinct()
+        near = near.unionByName(near.select(F.col("rep_q").alias("rep_p"), F.col("rep_p").alias("rep_q"))).distinct()
+        met = left.select(F.col("rep").alias("rep_p"), "vertex", F.col("root").alias("r"), F.col("h").alias("h_p"), "others").join(near, "rep_p")
+        met = met.join(rooted(fewest.select(F.col("rep").alias("rep_q"), F.col("h").alias("h_q"), F.col("m").alias("m_q")), "rep_q"), "rep_q")
+        met = met.where((F.col("r") != F.col("root")) & alike("h_p", "h_q", F.col("others") + F.col("m_q"))).select(*pair("vertex", "rep_q"))
+        return pairs.unionByName(met).distinct()
+
+    return sure, search
+
+
+def exact_candidates(members: DataFrame, sets: DataFrame, least: float = LEAST, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
+    """Members (vertex, root) and their shingles to the links of ``exact_search`` that are sure, and its pairs of different roots to verify."""
+    sure, search = exact_search(sets, least, rare)
+    joined = members.where("vertex <> root").select(F.least("vertex", "root").alias("a"), F.greatest("vertex", "root").alias("b"))
+    return sure, search(storage.table(components(sure.unionByName(joined)), "roots"))
 
 
 def text_links(rows: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAST, most_bits: int | None = MOST_BITS, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
@@ -304,7 +353,7 @@ def text_links(rows: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAS
        those of the others that are not joined yet.
     3. The exact way for groups of more than two that still hold texts of different
        components.  Those of at most ``FEW`` texts meet in full, where their whole fingerprints are
-       near.  The texts of larger ones are searched by their shingles, see ``exact_candidates``,
+       near.  The texts of larger ones are searched by their shingles, see ``exact_search``,
        which finds every link among them, whether they share a key or not.
 
     So links are lost by neither size nor order of a group, and no step makes all pairs of one.
@@ -330,20 +379,22 @@ def text_links(rows: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAS
     links = storage.table(links.unionByName(_verified(_across(found, roots), texts, shingle, least)), "links")
     roots = storage.table(components(links), "roots")
 
-    keyed = met.where("key is not null").select(F.col("b").alias("v"), "key", "n").join(roots, "v", "left").select(F.col("v").alias("vertex"), "key", "n", F.coalesce("root", "v").alias("root"))
-    mixed = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    keyed = storage.table(keyed.join(mixed, "key", "left_semi"), "mixed_keys")
+    # a text's keys, a bounded number, take its root together
+    keyed = met.where("key is not null").groupBy(F.col("b").alias("v")).agg(F.collect_list(F.struct("key", "n")).alias("keys")).join(roots, "v", "left")
+    keyed = keyed.select(F.col("v").alias("vertex"), F.coalesce("root", "v").alias("root"), F.explode("keys").alias("k")).select("vertex", "k.key", "k.n", "root")
+    keyed = keyed.select("*", F.min("root").over(group).alias("low"), F.max("root").over(group).alias("high")).where("low < high").drop("low", "high")
+    keyed = storage.table(keyed, "mixed_keys")
     few = keyed.where(F.col("n") <= FEW).join(known, "vertex")
     one, other = (few.select("key", F.col("vertex").alias(v), F.col("root").alias(r), F.col("prints").alias(p)) for v, r, p in (("a", "ra", "p"), ("b", "rb", "q")))
     near = F.lit(True) if most_bits is None else _differing("p", "q") <= most_bits
     few = storage.table(one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct(), "few")
-    members = storage.table(keyed.where(F.col("n") > FEW).select("vertex", "root").distinct(), "members")
+    members = storage.table(keyed.where(F.col("n") > FEW).select("vertex").distinct(), "members")
     storage.free(met, keyed)
     sets = storage.table(_shingle_rows(texts.join(members, "vertex", "left_semi"), shingle), "shingle_rows")
-    sure, pairs = exact_candidates(members, sets, least, rare)
+    sure, search = exact_search(sets, least, rare)
     links = storage.table(links.unionByName(sure), "links")
     roots = storage.table(components(links), "roots")
-    rest = _across(storage.table(pairs.unionByName(few).distinct(), "pairs"), roots).join(found, ["a", "b"], "left_anti")  # what was verified in vain
+    rest = _across(storage.table(search(roots).unionByName(few).distinct(), "pairs"), roots).join(found, ["a", "b"], "left_anti")  # what was verified in vain
     links = links.unionByName(_verified(storage.table(rest, "rest"), texts, shingle, least))
     storage.free(sets)
     return vertices.select("vertex", "first"), storage.table(components(links), "roots")

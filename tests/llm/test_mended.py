@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docloom import storage
 from docloom.llm import main_text, rules, simhash, warc
 
 
@@ -78,6 +79,62 @@ def test_like_texts_make_no_pairs(spark):
     assert made == [0, 0]
 
 
+def changed_texts(n, base=True, dropped=False):
+    """Texts of 150 words, of which each changes up to four; with the text itself, or texts that lack a word."""
+    r = random.Random(n)
+    words = [f"w{i}" for i in range(150)]
+    rows = [list(words)] if base else []
+    while len(rows) < n:
+        own = list(words)
+        for i in r.sample(range(150), r.randint(1, 4)):
+            own[i] = f"o{r.randrange(10**9)}"
+        if dropped and r.random() < 0.2:
+            del own[r.randrange(150)]
+        rows.append(own)
+    return [(i, simhash.shingle_set(simhash.words_of(" ".join(x))).view(np.int64).tolist()) for i, x in enumerate(rows)]
+
+
+def candidates(spark, rows):
+    sets = spark.createDataFrame([(i, len(s), x) for i, s in rows for x in s], "vertex long, n long, s long")
+    found = simhash.exact_candidates(spark.createDataFrame([(i, i) for i, _ in rows], "vertex long, root long"), sets)
+    return [{(r["a"], r["b"]) for r in df.collect()} for df in found]
+
+
+def test_changed_copies_of_one_text_make_no_pairs(spark):
+    for n in (150, 300):
+        rows = changed_texts(n)
+        sure, pairs = candidates(spark, rows)
+        sets = {i: set(s) for i, s in rows}
+        want = brute_links(sets)
+        assert len(want) > 10 * n and sure <= want and classes(sets, sure | pairs & want) == classes(sets, want)
+        assert len(sure) <= 2 * n and len(pairs) <= n
+
+
+@pytest.mark.parametrize(("base", "dropped"), [(False, False), (True, True), (False, True)])
+def test_changed_copies_without_their_text_or_a_word(spark, base, dropped):
+    rows = changed_texts(120, base, dropped)
+    sure, pairs = candidates(spark, rows)
+    sets = {i: set(s) for i, s in rows}
+    want = brute_links(sets)
+    assert sure <= want and classes(sets, sure | pairs & want) == classes(sets, want)
+
+
+def shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {x for x in manager.getAllBlocks().mkString(" ").split() if x.startswith("shuffle_")}
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    before, setting = shuffle_files(spark), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    table = storage.table(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(50):  # they go in the background
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before and table.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
 def test_like_texts_are_kept(spark):
     rows = like_texts(400)
     copies = [(1000, rows[7][1].replace("o", "O")), (1001, rows[9][1] + " end"), (1002, rows[9][1])]
