@@ -347,10 +347,10 @@ def exact_candidates(members: DataFrame, sets: DataFrame, least: float = LEAST,
 def text_links(rows: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAST, most_bits: int | None = MOST_BITS, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
     """Rows of ``_marked`` to vertices (vertex, first) and (v, root), the components of the links between different texts.
 
-    1. One shuffle on variants.  In each key group every text is held against the first,
+    1. One shuffle on variants.  In each key group every text is paired with the first,
        in a window that spills and is never gathered.
-    2. Of pairs whose whole fingerprints are near, each text's first is verified; then
-       those of the others that are not joined yet.
+    2. Each text's pair of most common keys is verified, if the whole fingerprints are near; then
+       those of the groups of two that are not joined yet and near.
     3. The exact way for groups of more than two that still hold texts of different
        components.  Those of at most ``FEW`` texts meet in full, where their whole fingerprints are
        near.  The texts of larger ones are searched by their shingles, see ``exact_search``,
@@ -369,14 +369,15 @@ def text_links(rows: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAS
     group = Window.partitionBy("key")
     met = balls.select("vertex", "key", F.min("vertex").over(group).alias("head"), F.count("*").over(group).alias("n")).where("n > 1")
     met = storage.table(met.select(F.col("vertex").alias("b"), F.col("head").alias("a"), F.when(F.col("n") > 2, F.col("key")).alias("key"), F.col("n")), "met")
-    found = storage.table(_close(met.where("a < b").select("a", "b"), known, most_bits), "close")
-    ends = found.select(F.explode(F.array("a", "b")).alias("vertex"))
-    chosen = vertices.join(ends.unionByName(met.where("key is not null").select(F.col("b").alias("vertex"))).distinct(), "vertex", "left_semi").select("row")
+    found = storage.table(met.where("a < b").groupBy("a", "b").agg(F.count("*").alias("keys"), F.min("n").alias("n")), "found")
+    chosen = vertices.join(met.select(F.col("b").alias("vertex")).distinct(), "vertex", "left_semi").select("row")  # the first of a group is among its texts
     texts = storage.table(rows.join(chosen, "row", "left_semi").select("vertex", F.col("given.text").cast("string").alias("text")), "texts")
 
-    links = storage.table(_verified(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, shingle, least), "links")
+    likeliest = found.groupBy("b").agg(F.max(F.struct("keys", "a"))["a"].alias("a")).select("a", "b")
+    links = storage.table(_verified(_close(likeliest, known, most_bits), texts, shingle, least), "links")
     roots = storage.table(components(links), "roots")
-    links = storage.table(links.unionByName(_verified(_across(found, roots), texts, shingle, least)), "links")
+    others = storage.table(_close(_across(found.where("n = 2"), roots), known, most_bits), "close")
+    links = storage.table(links.unionByName(_verified(others, texts, shingle, least)), "links")
     roots = storage.table(components(links), "roots")
 
     # a text's keys, a bounded number, take its root together
@@ -389,12 +390,12 @@ def text_links(rows: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAS
     near = F.lit(True) if most_bits is None else _differing("p", "q") <= most_bits
     few = storage.table(one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct(), "few")
     members = storage.table(keyed.where(F.col("n") > FEW).select("vertex").distinct(), "members")
-    storage.free(met, keyed)
+    storage.free(met, keyed, found)
     sets = storage.table(_shingle_rows(texts.join(members, "vertex", "left_semi"), shingle), "shingle_rows")
     sure, search = exact_search(sets, least, rare)
     links = storage.table(links.unionByName(sure), "links")
     roots = storage.table(components(links), "roots")
-    rest = _across(storage.table(search(roots).unionByName(few).distinct(), "pairs"), roots).join(found, ["a", "b"], "left_anti")  # what was verified in vain
+    rest = _across(storage.table(search(roots).unionByName(few).distinct(), "pairs"), roots).join(others, ["a", "b"], "left_anti")  # what was verified in vain
     links = links.unionByName(_verified(storage.table(rest, "rest"), texts, shingle, least))
     storage.free(sets)
     return vertices.select("vertex", "first"), storage.table(components(links), "roots")
