@@ -22,7 +22,7 @@ fingerprint and then verified on the exact shingle sets.  See there.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
@@ -134,6 +134,8 @@ TEXT_SHINGLE, LEAST = 5, 0.8
 WORDS, BLOCK_BITS, BLOCK_RADIUS = 7, 28, 2
 #: Bits of the long fingerprint in which texts of the least similarity differ: a mean of 68 of 448, and nearly six deviations of 7.6 more.
 MOST_BITS = 112
+#: The key blocks are shuffled in so many turns, one after the other, each of which holds that part of all keys on disk.
+TURNS = 2
 #: Key groups of at most so many texts meet in full: a bounded number of pairs for each text.
 FEW = 8
 #: A shingle that more members of larger mixed key groups than this have is common; others are rare.
@@ -190,13 +192,13 @@ def _marked(docs: DataFrame, shingle: int) -> DataFrame:
     return storage.table(numbered.mapInArrow(run, f"{kinds}, vertex long, prints array<long>"), "marked")
 
 
-def _keys() -> Column:
-    """Every variant of each key block of ``prints`` within half the radius, with the block's number in the high bits."""
+def _keys(turn: int = 0, turns: int = 1) -> Column:
+    """Every variant of each key block of ``prints`` within half the radius, with the block's number in the high bits; of the turn's blocks."""
     low = (1 << BLOCK_BITS) - 1
     masks = [sum(1 << b for b in bits) for d in range(BLOCK_RADIUS // 2 + 1) for bits in combinations(range(BLOCK_BITS), d)]
     blocks = [F.get("prints", k).bitwiseAND(F.lit(low)).bitwiseOR(F.lit(2 * k << BLOCK_BITS)) for k in range(WORDS)]
     blocks += [F.shiftright(F.get("prints", k), BLOCK_BITS).bitwiseAND(F.lit(low)).bitwiseOR(F.lit(2 * k + 1 << BLOCK_BITS)) for k in range(WORDS)]
-    return F.flatten(F.transform(F.array(*blocks), lambda b: F.transform(F.array(*map(F.lit, masks)), lambda m: b.bitwiseXOR(m))))
+    return F.flatten(F.transform(F.array(*blocks[turn::turns]), lambda b: F.transform(F.array(*map(F.lit, masks)), lambda m: b.bitwiseXOR(m))))
 
 
 def _differing(one: str, other: str) -> Column:
@@ -212,8 +214,12 @@ def _close(found: DataFrame, vertices: DataFrame, most_bits: int | None) -> Data
     return pairs.where(_differing("p", "q") <= most_bits).select("a", "b")
 
 
-def _verified(found: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs whose shingle sets have at least the Jaccard similarity."""
+def _text() -> Column:
+    return F.col("given.text").cast("string").alias("text")
+
+
+def _verified(found: DataFrame, vertices: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs whose shingle sets have at least the Jaccard similarity; texts are read from the rows by their key, so no second copy of them is written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,9 +230,10 @@ def _verified(found: DataFrame, texts: DataFrame, shingle: int, least: float) ->
                 right.append(both >= least * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(right, pa.bool_()))
 
-    one = texts.select(F.col("vertex").alias("a"), F.col("text").alias("one"))
-    other = texts.select(F.col("vertex").alias("b"), F.col("text").alias("other"))
-    return found.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
+    at = lambda v, r: vertices.select(F.col("vertex").alias(v), F.col("row").alias(r))
+    one, other = (rows.select(F.col("row").alias(r), _text().alias(t)) for r, t in (("p", "one"), ("q", "other")))
+    placed = found.join(at("a", "p"), "a").join(at("b", "q"), "b")
+    return placed.join(one, "p").join(other, "q").select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
 
 
 def _across(found: DataFrame, roots: DataFrame) -> DataFrame:
@@ -347,8 +354,8 @@ def exact_candidates(members: DataFrame, sets: DataFrame, least: float = LEAST,
 def text_links(rows: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAST, most_bits: int | None = MOST_BITS, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
     """Rows of ``_marked`` to vertices (vertex, first) and (v, root), the components of the links between different texts.
 
-    1. One shuffle on variants.  In each key group every text is paired with the first,
-       in a window that spills and is never gathered.
+    1. A shuffle on variants, in ``TURNS`` turns of key blocks.  In each key group every text is
+       paired with the first, in a window that spills and is never gathered.
     2. Each text's pair of most common keys is verified, if the whole fingerprints are near; then
        those of the groups of two that are not joined yet and near.
     3. The exact way for groups of more than two that still hold texts of different
@@ -365,19 +372,21 @@ def text_links(rows: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAS
     known = vertices.where("prints is not null").select("vertex", "prints")
     # rows that are small now and many soon: dealt out first, as one small file would be one long task
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    balls = known.repartition(parts, "vertex").select("vertex", F.explode(_keys()).alias("key"))
     group = Window.partitionBy("key")
-    met = balls.select("vertex", "key", F.min("vertex").over(group).alias("head"), F.count("*").over(group).alias("n")).where("n > 1")
-    met = storage.table(met.select(F.col("vertex").alias("b"), F.col("head").alias("a"), F.when(F.col("n") > 2, F.col("key")).alias("key"), F.col("n")), "met")
+
+    def meetings(turn: int) -> DataFrame:
+        balls = known.repartition(parts, "vertex").select("vertex", F.explode(_keys(turn, TURNS)).alias("key"))
+        met = balls.select("vertex", "key", F.min("vertex").over(group).alias("head"), F.count("*").over(group).alias("n")).where("n > 1")
+        return met.select(F.col("vertex").alias("b"), F.col("head").alias("a"), F.when(F.col("n") > 2, F.col("key")).alias("key"), F.col("n"))
+
+    met = reduce(DataFrame.unionByName, [storage.table(meetings(turn), "met") for turn in range(TURNS)])  # a key has its block's number, so no group spans turns
     found = storage.table(met.where("a < b").groupBy("a", "b").agg(F.count("*").alias("keys"), F.min("n").alias("n")), "found")
-    chosen = vertices.join(met.select(F.col("b").alias("vertex")).distinct(), "vertex", "left_semi").select("row")  # the first of a group is among its texts
-    texts = storage.table(rows.join(chosen, "row", "left_semi").select("vertex", F.col("given.text").cast("string").alias("text")), "texts")
 
     likeliest = found.groupBy("b").agg(F.max(F.struct("keys", "a"))["a"].alias("a")).select("a", "b")
-    links = storage.table(_verified(_close(likeliest, known, most_bits), texts, shingle, least), "links")
+    links = storage.table(_verified(_close(likeliest, known, most_bits), vertices, rows, shingle, least), "links")
     roots = storage.table(components(links), "roots")
     others = storage.table(_close(_across(found.where("n = 2"), roots), known, most_bits), "close")
-    links = storage.table(links.unionByName(_verified(others, texts, shingle, least)), "links")
+    links = storage.table(links.unionByName(_verified(others, vertices, rows, shingle, least)), "links")
     roots = storage.table(components(links), "roots")
 
     # a text's keys, a bounded number, take its root together
@@ -391,12 +400,13 @@ def text_links(rows: DataFrame, shingle: int = TEXT_SHINGLE, least: float = LEAS
     few = storage.table(one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct(), "few")
     members = storage.table(keyed.where(F.col("n") > FEW).select("vertex").distinct(), "members")
     storage.free(met, keyed, found)
-    sets = storage.table(_shingle_rows(texts.join(members, "vertex", "left_semi"), shingle), "shingle_rows")
+    chosen = vertices.join(members, "vertex", "left_semi").select("row")
+    sets = storage.table(_shingle_rows(rows.join(chosen, "row", "left_semi").select("vertex", _text()), shingle), "shingle_rows")
     sure, search = exact_search(sets, least, rare)
     links = storage.table(links.unionByName(sure), "links")
     roots = storage.table(components(links), "roots")
     rest = _across(storage.table(search(roots).unionByName(few).distinct(), "pairs"), roots).join(others, ["a", "b"], "left_anti")  # what was verified in vain
-    links = links.unionByName(_verified(storage.table(rest, "rest"), texts, shingle, least))
+    links = links.unionByName(_verified(storage.table(rest, "rest"), vertices, rows, shingle, least))
     storage.free(sets)
     return vertices.select("vertex", "first"), storage.table(components(links), "roots")
 

@@ -1,5 +1,6 @@
 """Like texts that are no copies, damaged archives, named paragraphs and clashing columns."""
 
+import os
 import random
 import time
 
@@ -214,3 +215,35 @@ def test_groups_of_a_least_size_have_an_estimate_of_their_own(spark, n):
     assert own[0].startswith("source:" if n >= 30 else "language:") and small[0] == "all" and "all" in own[1]
     assert next(v for k, v in found.items() if '"news"' in k)[0].startswith("source:")
     assert all(p[0] == "all" for p in ((r["pool"], r["feeds"]) for r in rules.pools(df, 1000).collect()))
+
+
+def test_near_copies_keep_texts_once_and_keys_by_turns(spark, monkeypatch, tmp_path):
+    """The most that tables and the shuffles of the next one take together, against the input."""
+    r = random.Random(5)
+    vocabulary = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 9))) for _ in range(5000)]
+    texts = [" ".join(r.choices(vocabulary, k=300)) for _ in range(800)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, f"{t} end") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    size = lambda folder: sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+    known, written, table, most = set(storage._written), [], storage.table, {}
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        store = spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    def watched(df, name):
+        held, before = sum(size(w.removeprefix("file:")) for s, w in storage._written if (s, w) not in known), shuffled()
+        out = table(df, name)
+        most[name] = max(most.get(name, 0), held + shuffled() - before)
+        return out
+
+    monkeypatch.setattr(storage, "table", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large for it
+    try:
+        assert simhash.first_of_each(spark.read.parquet(str(tmp_path / "docs"))).count() == 800
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    given = size(tmp_path / "docs")
+    assert max(most.values()) < 3.2 * given and most["met"] < 2.2 * given
