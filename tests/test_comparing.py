@@ -415,3 +415,70 @@ def test_waiting_state_shrinks(spark, tmp_path):
     assert run() == [(1, 10, 100, "bound"), (2, 20, None, "expired"), (3, 30, None, "expired")]
     assert names[-1] < names[0]
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_waiting_keys_share_timers(spark, tmp_path):
+    """Neither timers nor state grow with the keys: their calls, one by one, are what took the time."""
+    from docloom.streaming import streams, waiting
+
+    ids = spark.range(9000).select(F.col("id").alias("key"), F.timestamp_seconds(F.col("id") % 7 * 86_400 + 86_400).alias("at"))
+    ids.select("key", F.col("key").alias("ref"), "at").coalesce(1).write.parquet(refs := str(tmp_path / "refs"))
+    ids.where("key % 2 = 0").select("key", (F.col("key") + 5).alias("target"), "at").coalesce(1).write.parquet(targets := str(tmp_path / "targets"))
+    with waiting.store(spark):
+        left, right = streams.source(spark, refs, "key long, ref long, at timestamp"), streams.source(spark, targets, "key long, target long, at timestamp")
+        stream = waiting.resolved(left, right, "1 day", 2 * 86_400_000)
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "progress")).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    told = [s for p in query.recentProgress for s in p["stateOperators"]]
+    assert 0 < told[0]["customMetrics"]["numRegisteredTimers"] <= 4096 and told[0]["numRowsTotal"] <= 2 * 4096
+    got = {tuple(r) for r in spark.read.schema(waiting.COLUMNS).parquet(str(tmp_path / "out")).collect()}
+    assert got == {(k, k, k + 5, "bound") for k in range(0, 9000, 2)} | {(k, k, None, "expired") for k in range(1, 9000, 2) if k % 7 + 1 + 2 <= 7 - 1}
+
+
+def test_waiting_by_batches(spark, tmp_path):
+    """Batches in three buckets, of more rows than come in a frame, against a plain model; without a key or a target a row only moves the mark."""
+    from docloom.streaming import streams, waiting
+
+    day, wait, chance = 86_400_000_000, 5 * 86_400_000_000, random.Random(5)
+    refs, targets = str(tmp_path / "refs"), str(tmp_path / "targets")
+
+    def rows(n, keys, batch):
+        return [(chance.randrange(keys), chance.randrange(1000), (batch * 3 + 1 + chance.randrange(4)) * day + chance.choice([0, 0, 0, 1, 999, 1500])) for _ in range(n)]
+
+    batches = [(rows(40_000, 300, 0), rows(80, 300, 0)), *((rows(300, 300, b), rows(60, 300, b) + [(7, None, (b * 3 + 6) * day)]) for b in range(1, 4))]
+    held, found, out, mark = [], {}, [], 0
+    for left, right in [*batches, ([], [])]:
+        for key, target, at in sorted((r for r in right if r[1] is not None), key=lambda r: (r[2], r[1])):
+            found.setdefault(key, (target, at))
+        held += left
+        out += [(key, ref, found[key][0], "bound") for key, ref, at in held if key in found]
+        held = [r for r in held if r[0] not in found]
+        over = lambda at, mark=mark: (at + wait) // 1000 <= mark
+        out += [(key, ref, None, "expired") for key, ref, at in held if over(at)]
+        held, found = [r for r in held if not over(r[2])], {k: x for k, x in found.items() if not over(x[1])}
+        mark = max([mark, *(at // 1000 - 86_400_000 for _, _, at in left + right)])
+        for path, own, column in ((refs, left, "ref"), (targets, right, "target")):
+            if own:
+                spark.createDataFrame(own, f"key long, {column} long, us long").select("key", column, F.timestamp_micros("us").alias("at")).coalesce(1).write.mode("append").parquet(path)
+
+    with waiting.store(spark):
+        left = streams.source(spark, refs, "key long, ref long, at timestamp", 1)
+        stream = waiting.resolved(left, streams.source(spark, targets, "key long, target long, at timestamp", 1), "1 day", wait // 1000, buckets=3)
+        got = streams.appended(stream, "by_batches").collect()
+    order = lambda r: (r[0], r[1], r[2] or 0, r[3])
+    assert sorted((tuple(r) for r in got), key=order) == sorted(out, key=order)
+    assert {r[3] for r in out} == {"bound", "expired"} and held
+
+
+def test_waiting_mark_counts_all_orders(spark, tmp_path):
+    """The latest date is that of an order that never comes; columns that can be empty."""
+    import datetime
+
+    from docloom import plans
+
+    at = lambda d: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=d)
+    lines, orders = [(1, 10, at(0)), (1, 10, at(3)), (2, 20, at(0)), (2, 21, at(9)), (2, 22, at(10)), (2, None, None)], [(1, "O", at(1)), (2, "P", at(40)), (3, "F", None)]
+    for name, rows, schema in (("lineitem", lines, "l_orderkey long, l_partkey long, l_shipdate timestamp_ntz"), ("orders", orders, "o_orderkey long, o_orderstatus string, o_orderdate timestamp_ntz")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {tuple(r) for r in plans.QUERIES["stream_waiting"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 10, 1, "bound", 2), (2, 20, None, "expired", 1), (2, 21, None, "expired", 1)}
