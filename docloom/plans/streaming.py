@@ -10,9 +10,9 @@ from ..streaming import streams
 from .registry import query
 
 
-def _stream(t: Tables, name: str) -> DataFrame:
+def _stream(t: Tables, name: str, files_per_batch: int = 1000) -> DataFrame:
     """A table as a stream; the pattern lets it be one file or a folder of files."""
-    return streams.source(t.spark, f"{t.folder}/{name}.parque[t]", getattr(t, name).schema)
+    return streams.source(t.spark, f"{t.folder}/{name}.parque[t]", getattr(t, name).schema, files_per_batch)
 
 
 def _plain(df: DataFrame, *columns: str) -> DataFrame:

@@ -482,3 +482,23 @@ def test_waiting_mark_counts_all_orders(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
     got = {tuple(r) for r in plans.QUERIES["stream_waiting"](spark, str(tmp_path)).collect()}
     assert got == {(1, 10, 1, "bound", 2), (2, 20, None, "expired", 1), (2, 21, None, "expired", 1)}
+
+
+def test_stream_waiting_takes_all_files(spark, tmp_path):
+    """An order in the last of 2,001 files binds its line, whatever dates the files before it hold."""
+    import datetime
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from docloom import plans
+
+    at = lambda d: pa.array([datetime.datetime(2024, 1, 1) + datetime.timedelta(days=d)], pa.timestamp("us"))
+    for name in ("lineitem", "orders"):
+        (tmp_path / f"{name}.parquet").mkdir()
+    pq.write_table(pa.table({"l_orderkey": [1], "l_partkey": [10], "l_shipdate": at(0)}), tmp_path / "lineitem.parquet/0.parquet")
+    for i in range(2001):
+        last = i == 2000
+        pq.write_table(pa.table({"o_orderkey": [1 if last else i + 5], "o_orderstatus": ["O"], "o_orderdate": at(50 if last else 100)}), where := tmp_path / f"orders.parquet/{i:04}.parquet")
+        os.utime(where, (1_700_000_000 + i, 1_700_000_000 + i))
+    assert [tuple(r) for r in plans.QUERIES["stream_waiting"](spark, str(tmp_path)).collect()] == [(1, 10, 1, "bound", 1)]
